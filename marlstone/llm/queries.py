@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.tokens import PATTERN
-from marlstone.llm import boundaries, bpe, packing
+from marlstone.llm import boundaries, bpe, furniture, markup, packing
 from marlstone.tables import table
 
 QUERIES: dict = {}
@@ -83,3 +83,52 @@ ORACLE["p3_found"] = _over(512)
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of every document."""
     return bpe.encode(table(spark, folder, "documents"), ("doc_id",), "text")
+
+
+# 2: markup
+
+
+@query
+def p2_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk as clean text, with the kinds of markup found. Code chunks pass as they are."""
+    prose = F.col("block_type").isin("Prose", "Table")
+    return markup.clean_texts(table(spark, folder, "chunks"), ("chunk_id", "block_type", "sequence_index"), "content", prose)
+
+
+@query
+def p2_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fetched body as the text a browser would show."""
+    return markup.clean_pages(table(spark, folder, "fetched"), ("fetch_id", "kind"), "body", "kind")
+
+
+@query
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks in which rendering met markup."""
+    return p2_chunks(spark, folder).where(F.size("markup") > 0).select("chunk_id").distinct()
+
+
+# 5: page furniture
+
+
+def site(url) -> Column:
+    """The host of an address, or the collection in a path such as /srv/<collection>/page.md."""
+    host = F.regexp_extract(url, r"^[a-z]+://([^/]+)", 1)
+    return F.when(host != "", host).otherwise(F.regexp_extract(url, r"^/[^/]+/([^/]+)/", 1))
+
+
+@query
+def p5_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The top-level blocks of stored trees that are furniture, why, and on how many pages of the site they recur."""
+    return furniture.tree_furniture(table(spark, folder, "documents"), "doc_id", "doc_json", site(F.col("raw_source")))
+
+
+@query
+def p5_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every fetched HTML page."""
+    pages = table(spark, folder, "fetched").where("kind = 'Html'")
+    return furniture.main_bodies(pages, "fetch_id", "body", site(F.coalesce("final_url", "url")))
+
+
+@query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_blocks(spark, folder).select("doc_id", "block_index").distinct()
