@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.tokens import PATTERN
-from marlstone.llm import boundaries, bpe, furniture, markup, packing
-from marlstone.tables import table
+from marlstone.llm import boundaries, bpe, furniture, markup, neardup, packing
+from marlstone.tables import cut, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -132,3 +132,41 @@ def p5_pages(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_blocks(spark, folder).select("doc_id", "block_index").distinct()
+
+
+# 4: near-duplicates
+
+
+def _alike(spark: SparkSession, folder: str) -> neardup.Groups:
+    """Prose chunks of 60 words or more, by runs of three words, half of them common. A chunk without a document stands for
+    a document of its own."""
+    documents = table(spark, folder, "documents").select("document_id", F.lower("content_hash").alias("hash"))
+    documents = documents.where(F.col("document_id").isNotNull()).groupBy("document_id").agg(F.min("hash").alias("hash"))
+    chunks = table(spark, folder, "chunks").where("block_type = 'Prose'").select("chunk_id", "document_id", "content")
+    found = neardup.Groups(chunks, "chunk_id", "content", neardup.Sketch(shingle=3), 0.5, 60, ("document_id",))
+    found.members = (
+        found.members.join(documents, "document_id", "left")
+        .withColumn("document_id", F.coalesce("document_id", "key"))
+        .withColumn("hash", F.coalesce("hash", "document_id"))
+    )
+    return found
+
+
+@query
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every Prose chunk of 60 words or more with its class of equal words, its group and its number of links."""
+    return _alike(spark, folder).groups().withColumnRenamed("key", "chunk_id")
+
+
+@query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks of different documents that are alike."""
+    alike = _alike(spark, folder)
+    members = cut(alike.members.select("class", "key", "document_id", "hash"))
+    x = members.select(F.col("class").alias("a"), *[F.col(c).alias(f"{c}_x") for c in ("key", "document_id", "hash")])
+    y = members.select(F.col("class").alias("b"), *[F.col(c).alias(f"{c}_y") for c in ("key", "document_id", "hash")])
+    apart = "document_id_x <> document_id_y AND hash_x <> hash_y"
+    between = alike.pairs.select("a", "b").join(x, "a").join(y, "b").where(apart)
+    within = x.join(y.withColumnRenamed("b", "a"), "a").where(f"key_x < key_y AND {apart}")
+    pairs = between.select("key_x", "key_y").unionByName(within.select("key_x", "key_y"))
+    return pairs.select(F.least("key_x", "key_y").alias("chunk_id_a"), F.greatest("key_x", "key_y").alias("chunk_id_b")).distinct()
