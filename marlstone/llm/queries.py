@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.tokens import PATTERN
-from marlstone.llm import boundaries, bpe, furniture, markup, neardup, packing
+from marlstone.llm import boundaries, bpe, furniture, markup, neardup, packing, vectors
 from marlstone.tables import cut, table
 
 QUERIES: dict = {}
@@ -170,3 +170,20 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     within = x.join(y.withColumnRenamed("b", "a"), "a").where(f"key_x < key_y AND {apart}")
     pairs = between.select("key_x", "key_y").unionByName(within.select("key_x", "key_y"))
     return pairs.select(F.least("key_x", "key_y").alias("chunk_id_a"), F.greatest("key_x", "key_y").alias("chunk_id_b")).distinct()
+
+
+# 6: similar vectors
+
+
+@query
+def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 most similar vectors of every valid vector."""
+    return vectors.neighbours(table(spark, folder, "chunk_embeddings"), "chunk_id", "dimension", "vector_json", 10)
+
+
+@query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs that have each other among their 10 most similar, with cosine of 0.95 or more."""
+    near = p6_neighbours(spark, folder).where("cosine >= 0.95 - 1e-9")
+    pair = near.select(F.least("chunk_id", "neighbour").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour").alias("chunk_id_b"))
+    return pair.groupBy("chunk_id_a", "chunk_id_b").agg(F.count("*").alias("n")).where("n = 2").drop("n")
