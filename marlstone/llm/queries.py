@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.tokens import PATTERN
-from marlstone.llm import boundaries, bpe, furniture, markup, neardup, packing, vectors
+from marlstone.llm import boundaries, bpe, furniture, markup, mixing, mojibake, neardup, packing, vectors
 from marlstone.tables import cut, table
 
 QUERIES: dict = {}
@@ -187,3 +187,35 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     near = p6_neighbours(spark, folder).where("cosine >= 0.95 - 1e-9")
     pair = near.select(F.least("chunk_id", "neighbour").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour").alias("chunk_id_b"))
     return pair.groupBy("chunk_id_a", "chunk_id_b").agg(F.count("*").alias("n")).where("n = 2").drop("n")
+
+
+# 8: mixture
+
+
+@query
+def p8_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+@query
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of all tokens that each source has in the mixture, beside its target."""
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
+# 9: garbled text
+
+
+@query
+def p9_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document: whether its text is garbled, the codes found, the restored text. Code spans of pages, which their
+    text no longer marks, are read from the stored tree."""
+    documents = table(spark, folder, "documents")
+    code = F.regexp_extract_all("doc_json", F.lit(r'"Code":"((?:[^"\\]|\\.){1,80})"'), F.lit(1))
+    return mojibake.restore(documents, "doc_id", "text", F.when(F.col("source_format") == "Html", code))
+
+
+@query
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_texts(spark, folder).where("garbled").select("doc_id").distinct()
