@@ -1,10 +1,555 @@
-"""All queries of the core and the SQL that each is checked against."""
+"""All queries of the core, each beside the SQL it is checked against. Where SQL can't express one, tests do."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.emitters import html as html_emitter
+from marlstone.emitters import markdown as markdown_emitter
+from marlstone.functions import text as fn
+from marlstone.functions.tokens import PATTERN, token_count
+from marlstone.ir import check
+from marlstone.operators import chunking, documents, retrieval
+from marlstone.parsers import html, markdown
+from marlstone.sources import net
+from marlstone.tables import table
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+SPACE = "hash-space-v1|dimension=256"
+SPLIT = 512
+QUESTION = "how does the cache keep the index when a document is parsed again"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Functions of a text
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def content_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", fn.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query(
+    f"""SELECT doc_id, sha256('fp2|format=' || source_format || '|parser_policy=' || CASE source_format WHEN 'Markdown' THEN 'md1' ELSE 'html1' END
+    || '|normalize_bare_callouts=false|chunker={chunking.VERSION}|token_budget=512|embedder={SPACE}|embed_dimension=256') AS fingerprint FROM documents"""
+)
+def processing_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    made = fn.processing_fingerprint(F.col("source_format"), SPACE, 256, chunking.VERSION)
+    return table(spark, folder, "documents").select("doc_id", made.alias("fingerprint"))
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '{PATTERN}')) AS tokens FROM documents")
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", token_count(F.col("text")).alias("tokens"))
+
+
+_SENTENCES = r"""SELECT doc_id, regexp_replace(s, '^\s+|\s+$', '', 'g') AS sentence FROM
+    (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.?!])\s', '\1' || chr(1), 'g'), '\n', chr(1), 'g'), chr(1))) AS s FROM documents)
+    WHERE regexp_replace(s, '^\s+|\s+$', '', 'g') <> ''"""
+
+
+@query(_SENTENCES)
+def sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", F.explode(fn.sentences(F.col("text"))).alias("sentence"))
+
+
+@query(f"SELECT doc_id, count(*) AS sentences FROM ({_SENTENCES}) GROUP BY doc_id")
+def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
+    made = table(spark, folder, "documents").select("doc_id", F.size(fn.sentences(F.col("text"))).cast("bigint").alias("sentences"))
+    return made.where("sentences > 0")
+
+
+@query(
+    r"""SELECT chunk_id, CASE WHEN length(f) > 160 THEN left(f, 160) || '…' ELSE f END AS snippet FROM
+    (SELECT chunk_id, regexp_replace(regexp_replace(content, '\s+', ' ', 'g'), '^ | $', '', 'g') AS f FROM chunks)"""
+)
+def snippets(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "chunks").select("chunk_id", fn.snippet(F.col("content")).alias("snippet"))
+
+
+@query("SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM documents")
+def html_escape(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", fn.html_escaped(F.col("text")).alias("escaped"))
+
+
+@query(r"SELECT fetch_id, strlen(regexp_replace(body, '\s+', '', 'g')) AS bytes FROM fetched")
+def text_density(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "fetched").select("fetch_id", fn.text_density(F.col("body")).alias("bytes"))
+
+
+@query(r"SELECT chunk_id, CASE WHEN regexp_replace(content, '\s+', '', 'g') = '' THEN '' ELSE regexp_replace(content, '\s+', ' ', 'g') END AS content FROM chunks")
+def collapsed_whitespace(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "chunks").select("chunk_id", fn.collapsed(F.col("content")).alias("content"))
+
+
+@query(r"SELECT chunk_id, regexp_matches(content, '[\\=^{}]') AS maths FROM chunks")
+def math_signs(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "chunks").select("chunk_id", fn.looks_like_math(F.col("content")).alias("maths"))
+
+
+@query("SELECT fetch_id, CASE WHEN length(body) > 512 THEN left(body, 512) || '… (truncated)' ELSE body END AS quoted FROM fetched")
+def truncated_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "fetched").select("fetch_id", fn.truncated(F.col("body")).alias("quoted"))
+
+
+@query(
+    r"""SELECT doc_id, CASE WHEN NOT contains(rtrim(text, chr(10) || chr(13)), chr(10)) AND contains(rtrim(text, chr(10) || chr(13)), '\n')
+    THEN regexp_replace(text, '(?:\\r)?\\n', chr(10), 'g') ELSE text END AS decoded FROM documents"""
+)
+def escaped_newlines(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", fn.newlines_decoded(F.col("text")).alias("decoded"))
+
+
+@query(
+    r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?ms)\A---\r*\n.*?^---\r*(?:\n|\z)')
+    THEN replace(regexp_extract(text, '(?ms)\A---\r*\n(.*?)^---\r*(?:\n|\z)', 1), chr(13) || chr(10), chr(10)) END AS frontmatter FROM documents"""
+)
+def frontmatter_split(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", fn.frontmatter(F.col("text")).alias("frontmatter"))
+
+
+@query(
+    """SELECT doc_id, list_min(w) AS least, list_max(w) AS most, list_min(w) >= 2 AND list_min(w) = list_max(w) AND len(w) >= 2 AS promoted FROM
+    (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: len(string_split(x, chr(9)))) AS w FROM documents)"""
+)
+def tab_promotion(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select("doc_id", fn.tab_widths(F.col("text")).alias("w"))
+    least, most = F.array_min("w"), F.array_max("w")
+    return rows.select("doc_id", least.cast("bigint").alias("least"), most.cast("bigint").alias("most"), ((least >= 2) & (least == most) & (F.size("w") >= 2)).alias("promoted"))
+
+
+# Sources
+
+_STRONG = r"len(list_filter(l, lambda x: regexp_matches(x, '^\s*(?:#{1,6} |```|~~~)'))) > 0"
+_WEAK = r"""(CASE WHEN trim(l[1]) = '---' THEN 1 ELSE 0 END
+    + len(list_filter(l, lambda x: contains(x, '|') AND contains(x, '-') AND regexp_matches(x, '^[\s|:-]+$')))
+    + len(list_filter(l, lambda x: contains(x, '](') AND contains(x, '[')))
+    + CASE WHEN len(list_filter(l, lambda x: regexp_matches(x, '^\s*(?:[-*+] |\d+\. )'))) >= 2 THEN 1 ELSE 0 END) >= 2"""
+
+
+@query(
+    rf"""SELECT fetch_id, split_part(k, '/', 1) AS kind, split_part(k, '/', 2) AS basis FROM (SELECT fetch_id, CASE
+    WHEN m IN ('text/markdown', 'text/x-markdown') THEN 'Markdown/MediaType' WHEN m IN ('text/html', 'application/xhtml+xml') THEN 'Html/MediaType'
+    WHEN e IN ('md', 'markdown', 'mdown', 'mkd') THEN 'Markdown/Extension' WHEN e IN ('html', 'htm', 'xhtml') THEN 'Html/Extension'
+    WHEN starts_with(h, '<!doctype') OR starts_with(h, '<html') OR starts_with(h, '<?xml') THEN 'Html/BodySignal'
+    WHEN {_STRONG} OR {_WEAK} THEN 'Markdown/BodySignal' ELSE 'Html/Fallback' END AS k FROM (SELECT fetch_id,
+    lower(trim(split_part(coalesce(content_type, ''), ';', 1))) AS m,
+    lower(regexp_extract(final_url, '^[a-z]+://[^/?#]+/(?:[^?#]*/)?[^/?#]*\.([A-Za-z0-9]+)(?:[?#].*)?$', 1)) AS e,
+    lower(substr(regexp_replace(body, '^\s+', ''), 1, 64)) AS h, string_split(body, chr(10))[1:200] AS l FROM fetched))"""
+)
+def detect_format(spark: SparkSession, folder: str) -> DataFrame:
+    made = fn.detect_format(F.col("content_type"), fn.url_extension(F.col("final_url")), F.col("body"))
+    return table(spark, folder, "fetched").select("fetch_id", made.alias("f")).select("fetch_id", "f.kind", "f.basis")
+
+
+@query(
+    f"""SELECT fetch_id, CASE WHEN status NOT BETWEEN 200 AND 299 THEN 'status' WHEN strlen(body) > {net.MAX_BODY} THEN 'size' WHEN body IS NULL THEN 'empty' ELSE 'ok' END
+    AS outcome FROM fetched"""
+)
+def fetch_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    made = (
+        F.when(~F.col("status").between(200, 299), "status")
+        .when(F.octet_length("body") > net.MAX_BODY, "size")
+        .when(F.col("body").isNull(), "empty")
+        .otherwise("ok")
+    )
+    return table(spark, folder, "fetched").select("fetch_id", made.alias("outcome"))
+
+
+@query(
+    r"""SELECT doc_id, starts_with(raw_source, 'http://') OR starts_with(raw_source, 'https://') AS is_url,
+    CASE WHEN lower(regexp_extract(raw_source, '\.([^./\\]*)$', 1)) = 'md' THEN 'Markdown'
+    WHEN lower(regexp_extract(raw_source, '\.([^./\\]*)$', 1)) IN ('html', 'htm') THEN 'Html' END AS kind FROM documents"""
+)
+def source_descriptors(spark: SparkSession, folder: str) -> DataFrame:
+    raw = F.col("raw_source")
+    return table(spark, folder, "documents").select("doc_id", fn.is_url(raw).alias("is_url"), fn.file_kind(raw)["kind"].alias("kind"))
+
+
+# Deduplication
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash, count(*) AS copies FROM documents GROUP BY text")
+def dedupe_exact(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select("doc_id", fn.content_hash(F.col("text")).alias("content_hash"))
+    return rows.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, lower(content_hash) AS h, processing_fingerprint AS fp, ingested_at FROM documents),
+    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY ingested_at NULLS FIRST, doc_id) AS r FROM d) WHERE r = 1)
+    SELECT d.doc_id, f.doc_id AS stored_id, CASE WHEN d.doc_id = f.doc_id THEN 'insert' WHEN d.fp = f.fp THEN 'skip' ELSE 'reprocess' END AS decision
+    FROM d JOIN f USING (h)"""
+)
+def dedupe_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document against the first of the same content: a partial minimum, never a sorted group."""
+    d = table(spark, folder, "documents").select("doc_id", F.lower("content_hash").alias("h"), F.col("processing_fingerprint").alias("fp"), "ingested_at")
+    first = d.groupBy("h").agg(F.min(F.struct("ingested_at", "doc_id", "fp")).alias("first"))
+    decision = F.when(F.col("doc_id") == F.col("first.doc_id"), "insert").when(F.col("fp") == F.col("first.fp"), "skip").otherwise("reprocess")
+    return d.join(first, "h").select("doc_id", F.col("first.doc_id").alias("stored_id"), decision.alias("decision"))
+
+
+# Stored trees
+
+_BODY = "SELECT doc_id, unnest(json_extract(doc_json, '$.body[*]')) AS b FROM documents WHERE json_valid(doc_json)"
+
+
+@query(
+    f"""SELECT doc_id, kind, count(*) AS blocks FROM (SELECT doc_id, CASE WHEN json_type(b, '$.block') = 'VARCHAR' THEN b->>'$.block'
+    ELSE json_keys(b, '$.block')[1] END AS kind FROM ({_BODY})) GROUP BY ALL"""
+)
+def blocks_by_kind(spark: SparkSession, folder: str) -> DataFrame:
+    from marlstone.ir.tree import BLOCK_NAMES
+
+    rows = table(spark, folder, "documents").select("doc_id", documents.stored(F.col("doc_json")).alias("document"))
+    names = F.create_map([F.lit(x) for pair in BLOCK_NAMES.items() for x in pair])
+    return documents.blocks(rows, "doc_id").where("depth = 0").groupBy("doc_id", names[F.col("kind")].alias("kind")).agg(F.count("*").alias("blocks"))
+
+
+@query(
+    f"""SELECT doc_id, CAST(ord AS INTEGER) AS ord, array_to_string(CAST(json_extract_string(b, '$.prov.section_path[*]') AS VARCHAR[]), ' > ') AS path FROM
+    (SELECT doc_id, b, row_number() OVER (PARTITION BY doc_id) - 1 AS ord FROM
+    (SELECT doc_id, unnest(json_extract(doc_json, '$.body[*]')) AS b FROM documents WHERE json_valid(doc_json)))"""
+)
+def section_paths(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select("doc_id", documents.stored(F.col("doc_json")).alias("document"))
+    return documents.blocks(rows, "doc_id").where("depth = 0").select("doc_id", "ord", F.array_join("section_path", " > ").alias("path"))
+
+
+@query("SELECT doc_id, text FROM documents WHERE source_format = 'Html' AND json_valid(doc_json) AND text IS NOT NULL")
+def emit_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The text of a page is its stored tree rendered."""
+    rows = table(spark, folder, "documents").where("source_format = 'Html' AND text IS NOT NULL")
+    return rows.select("doc_id", documents.rendered(F.col("doc_json"), "text").alias("text")).where("text IS NOT NULL")
+
+
+@query()
+def emit_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", documents.rendered(F.col("doc_json"), "markdown").alias("markdown"))
+
+
+@query()
+def emit_html(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", documents.rendered(F.col("doc_json"), "html").alias("html"))
+
+
+@query("SELECT doc_id, CAST(NULL AS VARCHAR) AS fault, json_valid(doc_json) AS stored FROM documents WHERE doc_json IS NOT NULL")
+def validate_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of stored trees; all that parse are valid."""
+    rows = table(spark, folder, "documents").where("doc_json IS NOT NULL")
+    parsed = rows.select("doc_id", documents.faults(F.col("doc_json")).alias("fault"), documents.stored(F.col("doc_json"))["error"].isNull().alias("stored"))
+    return parsed
+
+
+# Parsers
+
+
+def _of_markdown(make):
+    @F.pandas_udf("string")
+    def run(texts):
+        import pandas as pd
+
+        return pd.Series([None if t is None else make(markdown.parse(t)) for t in texts], dtype=object)
+
+    return run
+
+
+@query("SELECT doc_id, CAST(NULL AS VARCHAR) AS difference FROM documents WHERE source_format = 'Markdown'")
+def markdown_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Parsed, written and parsed again: where the trees differ."""
+
+    def differs(d: dict) -> str | None:
+        again = markdown.parse(markdown_emitter.emit(d))
+        return check.document_difference(d | {"body": check.normalized(d["body"])}, again | {"body": check.normalized(again["body"])})
+
+    return table(spark, folder, "documents").where("source_format = 'Markdown'").select("doc_id", _of_markdown(differs)("text").alias("difference"))
+
+
+@query()
+def cross_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Markdown written as HTML and parsed again: where the bodies differ."""
+
+    def differs(d: dict) -> str | None:
+        again = html.parse(f"<body>{html_emitter.emit(d)}</body>", False)
+        return check.difference(check.normalized(d["body"]), check.normalized(again["body"]))
+
+    return table(spark, folder, "documents").where("source_format = 'Markdown'").select("doc_id", _of_markdown(differs)("text").alias("difference"))
+
+
+def _parsed_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "fetched").select("fetch_id", documents.parsed(F.col("body"), F.col("kind")).alias("document"))
+
+
+@query()
+def parse_fetched(spark: SparkSession, folder: str) -> DataFrame:
+    return _parsed_pages(spark, folder).select("fetch_id", "document.title", "document.error", F.size("document.nodes").alias("nodes"), F.size("document.inlines").alias("inlines"))
+
+
+@query()
+def parse_documents(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").where("source_format = 'Markdown'")
+    made = rows.select("doc_id", documents.parsed(F.col("text"), F.col("source_format")).alias("document"))
+    return made.select("doc_id", "document.title", "document.frontmatter", "document.error", F.size("document.nodes").alias("nodes"))
+
+
+@query(
+    r"""SELECT fetch_id, html_title AS title FROM (SELECT fetch_id, trim(regexp_replace(regexp_extract(body, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS t,
+    replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS html_title FROM fetched WHERE kind = 'Html') WHERE t <> ''"""
+)
+def html_titles(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "fetched").where("kind = 'Html'").select("fetch_id", documents.parsed(F.col("body"), F.col("kind"))["title"].alias("title"), "body")
+    return rows.where(F.col("body").rlike(r"(?is)<title>\s*[^\s<]")).select("fetch_id", "title")
+
+
+@query()
+def diagnostics(spark: SparkSession, folder: str) -> DataFrame:
+    return _parsed_pages(spark, folder).select("fetch_id", F.inline("document.diagnostics"))
+
+
+@query()
+def structural_differences(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the tree of a Markdown source differs from the stored one."""
+
+    @F.pandas_udf("string")
+    def compare(texts, trees):
+        import pandas as pd
+
+        from marlstone.errors import MarlstoneError
+        from marlstone.ir import tree
+
+        out = []
+        for t, j in zip(texts, trees):
+            try:
+                a, b = (None, None) if t is None or j is None else (markdown.parse(t), tree.loads(j))
+                out.append(None if a is None else check.difference(check.normalized(a["body"]), check.normalized(b["body"])))
+            except MarlstoneError as e:
+                out.append(str(e))
+        return pd.Series(out, dtype=object)
+
+    return table(spark, folder, "documents").where("source_format = 'Markdown'").select("doc_id", compare("text", "doc_json").alias("difference"))
+
+
+# Chunks
+
+
+@query()
+def chunk_trees(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", F.inline(documents.chunks_of(F.col("doc_json"))))
+
+
+@query()
+def chunk_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return documents.chunk_sources(table(spark, folder, "documents").where("source_format = 'Markdown'"), "doc_id", "text", F.col("source_format"))
+
+
+@query(
+    f"""SELECT chunk_id, CAST(w AS INTEGER) AS window_index, least({SPLIT}, n - w * {SPLIT}) AS tokens FROM (SELECT chunk_id, n, unnest(range(0, greatest(1, (n + {SPLIT - 1}) // {SPLIT}))) AS w
+    FROM (SELECT DISTINCT chunk_id, len(regexp_extract_all(content, '{PATTERN}')) AS n FROM chunks WHERE content IS NOT NULL))"""
+)
+def token_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of 512 tokens of every chunk. Only counts are shuffled."""
+    rows = table(spark, folder, "chunks").where("content IS NOT NULL").select("chunk_id", token_count(F.col("content")).alias("n")).distinct()
+    last = F.greatest(F.lit(0), F.ceil(F.col("n") / SPLIT).cast("int") - 1)
+    made = rows.select("chunk_id", "n", F.explode(F.sequence(F.lit(0), last)).alias("window_index"))
+    return made.select("chunk_id", "window_index", F.least(F.lit(SPLIT), F.col("n") - F.col("window_index") * SPLIT).cast("bigint").alias("tokens"))
+
+
+@query(
+    f"""SELECT chunk_id, token_count AS recorded, len(regexp_extract_all(content, '{PATTERN}')) AS counted FROM chunks
+    WHERE token_count IS DISTINCT FROM len(regexp_extract_all(content, '{PATTERN}'))"""
+)
+def wrong_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "chunks").select("chunk_id", F.col("token_count").alias("recorded"), token_count(F.col("content")).alias("counted"))
+    return rows.where(~F.col("recorded").eqNullSafe(F.col("counted")))
+
+
+@query("SELECT DISTINCT document_id, sequence_index, chunk_id, block_type FROM chunks")
+def chunks_by_document(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "chunks").select("document_id", "sequence_index", "chunk_id", "block_type").distinct()
+
+
+@query(
+    """SELECT document_id, count(*) AS chunks, count(DISTINCT sequence_index) AS places, min(sequence_index) AS first, max(sequence_index) AS last,
+    min(sequence_index) = 0 AND max(sequence_index) = count(*) - 1 AND count(DISTINCT sequence_index) = count(*) AS contiguous
+    FROM (SELECT DISTINCT chunk_id, document_id, sequence_index FROM chunks) GROUP BY document_id"""
+)
+def validate_projection(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "chunks").select("chunk_id", "document_id", "sequence_index").distinct()
+    made = rows.groupBy("document_id").agg(
+        F.count("*").alias("chunks"), F.count_distinct("sequence_index").alias("places"), F.min("sequence_index").alias("first"), F.max("sequence_index").alias("last")
+    )
+    return made.withColumn("contiguous", F.expr("first = 0 AND last = chunks - 1 AND places = chunks"))
+
+
+# Store
+
+
+@query("SELECT document_id, source, source_format, title, ingested_at, content_hash FROM documents")
+def list_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("document_id", "source", "source_format", "title", "ingested_at", "content_hash").orderBy("ingested_at", "document_id")
+
+
+@query("SELECT d.document_id, d.title, count(DISTINCT c.chunk_id) AS chunk_count FROM documents d LEFT JOIN chunks c USING (document_id) GROUP BY ALL")
+def info_chunk_count(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks are counted before the join, so that a document of many chunks is one row in it."""
+    counts = table(spark, folder, "chunks").select("document_id", "chunk_id").distinct().groupBy("document_id").agg(F.count("*").alias("chunk_count"))
+    rows = table(spark, folder, "documents").select("document_id", "title").join(counts, "document_id", "left")
+    return rows.select("document_id", "title", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+
+
+_ERRORS = "SELECT DISTINCT document_id FROM fetched WHERE status NOT BETWEEN 200 AND 299 AND document_id IS NOT NULL"
+
+
+@query(f"SELECT DISTINCT chunk_id, document_id, sequence_index FROM chunks WHERE document_id NOT IN ({_ERRORS})")
+def remove_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks left when the documents of error pages are removed."""
+    gone = table(spark, folder, "fetched").where("status NOT BETWEEN 200 AND 299").select("document_id").distinct()
+    return table(spark, folder, "chunks").select("chunk_id", "document_id", "sequence_index").distinct().join(gone, "document_id", "left_anti")
+
+
+@query(
+    f"""SELECT DISTINCT chunk_id, document_id, sequence_index FROM chunks WHERE document_id NOT IN ({_ERRORS})
+    UNION ALL SELECT 'new-' || document_id, document_id, 0 FROM ({_ERRORS})"""
+)
+def replace_projection(spark: SparkSession, folder: str) -> DataFrame:
+    """The same documents with one new chunk each."""
+    gone = table(spark, folder, "fetched").where("status NOT BETWEEN 200 AND 299 AND document_id IS NOT NULL").select("document_id").distinct()
+    new = gone.select(F.concat(F.lit("new-"), "document_id").alias("chunk_id"), "document_id", F.lit(0).cast("bigint").alias("sequence_index"))
+    kept = table(spark, folder, "chunks").select("chunk_id", "document_id", "sequence_index").distinct().join(gone, "document_id", "left_anti")
+    return kept.select("chunk_id", "document_id", "sequence_index").unionByName(new)
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT chunk_id) AS chunks, count(DISTINCT dimension) AS dimensions, max(dimension) AS largest FROM chunk_embeddings")
+def index_integrity(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "chunk_embeddings").agg(
+        F.count("*").alias("rows"), F.count_distinct("chunk_id").alias("chunks"), F.count_distinct("dimension").alias("dimensions"), F.max("dimension").alias("largest")
+    )
+
+
+@query(
+    """SELECT dimension, count(*) AS vectors, dimension = (SELECT embedding_dimension FROM library_metadata) AS bound FROM chunk_embeddings GROUP BY dimension"""
+)
+def space_binding(spark: SparkSession, folder: str) -> DataFrame:
+    bound = table(spark, folder, "library_metadata").first()["embedding_dimension"]
+    return table(spark, folder, "chunk_embeddings").groupBy("dimension").agg(F.count("*").alias("vectors")).withColumn("bound", F.col("dimension") == bound)
+
+
+@query("SELECT e.chunk_id FROM (SELECT DISTINCT chunk_id FROM chunk_embeddings) e WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.chunk_id = e.chunk_id)")
+def orphan_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "chunk_embeddings").select("chunk_id").distinct().join(table(spark, folder, "chunks"), "chunk_id", "left_anti")
+
+
+# Vectors and answers
+
+
+@query(
+    """SELECT c.doc_id, c.bucket, round(c.n / sqrt(t.s), 6) AS weight FROM
+    (SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 15))::UBIGINT % 256 AS INTEGER) AS bucket, count(*) AS n FROM
+    (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL) c JOIN
+    (SELECT doc_id, sum(n * n) AS s FROM (SELECT doc_id, ('0x' || substr(md5(w), 1, 15))::UBIGINT % 256 AS b, count(*) AS n FROM
+    (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL) GROUP BY doc_id) t USING (doc_id)""".replace("\\\\", "\\")
+)
+def hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
+    made = retrieval.sparse_embedding(table(spark, folder, "documents"), "doc_id", "text")
+    return made.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+@query("SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AS valid FROM embeddings")
+def validate_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").select("vec_id", retrieval.valid_vector(F.col("embedding"), 64).alias("valid"))
+
+
+def _distance(a: str, b: str) -> str:
+    x, y = f"CAST({a} AS DOUBLE[])", f"CAST({b} AS DOUBLE[])"
+    return f"1 - list_dot_product({x}, {y}) / sqrt(list_dot_product({x}, {x}) * list_dot_product({y}, {y}))"
+
+
+_FIRST = "SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1"
+
+
+@query(f"SELECT vec_id, round({_distance('embedding', 'q')}, 6) AS distance FROM embeddings, ({_FIRST}) ORDER BY {_distance('embedding', 'q')}, vec_id LIMIT 10")
+def knn_top10(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    asked = vectors.orderBy("vec_id").first()["embedding"]
+    return retrieval.search(vectors, "vec_id", "embedding", asked, 10).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+_BATCH = f"""SELECT q.vec_id AS query_id, e.vec_id, e.label, {_distance('e.embedding', 'q.embedding')} AS distance,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY {_distance('e.embedding', 'q.embedding')}, e.vec_id) AS r
+    FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0 QUALIFY r <= 10"""
+
+
+def _batch(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    return retrieval.search_many(vectors, "vec_id", "embedding", queries, "query_id", "asked", 10, 64)
+
+
+@query(f"SELECT query_id, vec_id, round(distance, 6) AS distance, CAST(r AS INTEGER) AS rank FROM ({_BATCH})")
+def knn_batch(spark: SparkSession, folder: str) -> DataFrame:
+    return _batch(spark, folder).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(f"SELECT query_id, label, count(*) AS votes FROM ({_BATCH}) GROUP BY ALL")
+def knn_label_vote(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "embeddings").select("vec_id", "label")
+    return _batch(spark, folder).join(labels, "vec_id").groupBy("query_id", "label").agg(F.count("*").alias("votes"))
+
+
+@query("SELECT p.position, e.vec_id, e.label FROM (SELECT unnest([7, 3, 7, 100000000, 0]) AS vec_id, unnest([0, 1, 2, 3, 4]) AS position) p JOIN embeddings e USING (vec_id)")
+def ordered_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.ordered_lookup(table(spark, folder, "embeddings"), "vec_id", [7, 3, 7, 100_000_000, 0]).select("position", "vec_id", "label")
+
+
+@query(
+    r"""SELECT chunk_id, '[Source: ' || array_to_string(list_concat([t], CASE WHEN p[1] = t THEN p[2:] ELSE p END), ' > ') || ']' AS header FROM
+    (SELECT DISTINCT c.chunk_id, coalesce(c.section_path, []) AS p, CASE WHEN regexp_replace(coalesce(d.title, ''), '\s+', '', 'g') = '' THEN 'untitled' ELSE d.title END AS t
+    FROM chunks c JOIN documents d USING (document_id))"""
+)
+def source_headers(spark: SparkSession, folder: str) -> DataFrame:
+    titles = table(spark, folder, "documents").select("document_id", fn.shown_title(F.col("title")).alias("t"))
+    rows = table(spark, folder, "chunks").select("chunk_id", "document_id", "section_path").dropDuplicates(["chunk_id"])
+    return rows.join(titles, "document_id").select("chunk_id", fn.source_header(F.col("t"), F.col("section_path")).alias("header"))
+
+
+def _hits(spark: SparkSession, folder: str, limit: int) -> DataFrame:
+    """The chunks nearest to the fixed question, by hashed words."""
+    from marlstone.operators.embedding import HashEmbedder
+
+    chunks = table(spark, folder, "chunks").where("content IS NOT NULL").dropDuplicates(["chunk_id"])
+    vectors = retrieval.hash_embedding(chunks, "chunk_id", "content")
+    hits = retrieval.search(vectors, "chunk_id", "vector", HashEmbedder().embed([QUESTION])[0], limit)
+    return chunks.join(F.broadcast(hits), "chunk_id")  # limit rows
+
+
+@query()
+def nearest_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return flagship(spark, folder)
+
+
+@query()
+def context_window(spark: SparkSession, folder: str) -> DataFrame:
+    """The context for the fixed question within the context budget."""
+    budget = table(spark, folder, "chunk_budgets").where("profile = 'context'").first()["token_budget"]
+    parts = retrieval.context_parts(_hits(spark, folder, retrieval.CANDIDATES), table(spark, folder, "documents"))
+    text = retrieval.fold_context([(r["rank"], r["chunk_id"], r["part"]) for r in parts.collect()], budget)
+    return spark.createDataFrame([(text,)], "context string")
 
 
-def flagship(spark, folder):
-    raise NotImplementedError
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 chunks nearest to a fixed question, with where they come from."""
+    titles = table(spark, folder, "documents").select("document_id", fn.shown_title(F.col("title")).alias("title"))
+    joined = _hits(spark, folder, 10).join(titles, "document_id", "left")
+    header = fn.source_header(fn.shown_title(F.col("title")), F.col("section_path"))
+    return joined.select("rank", "chunk_id", header.alias("header"), F.round("distance", 6).alias("distance"), fn.snippet(F.col("content")).alias("snippet")).orderBy("rank")
