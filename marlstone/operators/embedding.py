@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
@@ -16,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.errors import EmbeddingError, InvalidInput
-from marlstone.functions.tokens import TOKENIZER  # noqa: F401
 
 
 @dataclass(frozen=True)
@@ -48,11 +48,15 @@ def check_batch(vectors: list[list[float]], expected: int, dimension: int) -> No
             raise EmbeddingError(f"embedding {i} contains a non-finite value")
 
 
+_blank = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
 class HashEmbedder:
-    """Counts of hashed words, of length 1; as `retrieval.hash_embedding`."""
+    """Counts of hashed lower-case words, of length 1; a text without words is the first axis."""
 
     def __init__(self, dimension: int = 256):
         self._dimension = dimension
+        self._places: dict[str, int] = {}
 
     def dimension(self) -> int:
         return self._dimension
@@ -61,11 +65,17 @@ class HashEmbedder:
         return f"hash-space-v1|dimension={self._dimension}"
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        out = []
+        out, places = [], self._places
+        if len(places) > 500_000:
+            places.clear()
         for t in texts:
             v = [0.0] * self._dimension
-            for w in t.lower().split():
-                v[int(md5(w.encode()).hexdigest()[:15], 16) % self._dimension] += 1.0
+            for w in _blank.split(t.lower()):
+                if not w:
+                    continue
+                if w not in places:
+                    places[w] = int(md5(w.encode()).hexdigest()[:15], 16) % self._dimension
+                v[places[w]] += 1.0
             norm = math.sqrt(sum(x * x for x in v))
             if norm:
                 v = [x / norm for x in v]

@@ -19,30 +19,8 @@ def bucket(word: Column, dimension: int = DIMENSION) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("bigint"), F.lit(dimension)).cast("int")
 
 
-def hash_embedding(frame: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:
-    """(key, vector ARRAY<FLOAT>): counts of hashed lower-case words, of length 1. A text without words is the first axis.
-
-    No shuffle: words are placed and added up within the row. Null texts count as empty.
-    """
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")
-    # Sorted places, so that equal ones are runs that array_position can't find twice.
-    places = F.transform(words, lambda w: bucket(w, dimension))
-    counts = F.aggregate(places, F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<int>")), _add)
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at(F.col("counts"), i), F.lit(0)).cast("double"))
-    made = frame.select(F.col(key), counts.alias("counts")).select(key, dense.alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    axis = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-    return made.select(key, F.when(norm > 0, F.transform("v", lambda x: x / norm)).otherwise(axis).cast("array<float>").alias("vector"))
-
-
-def _add(counts: Column, place: Column) -> Column:
-    return F.map_concat(
-        F.map_filter(counts, lambda k, v: k != place), F.map_from_arrays(F.array(place), F.array(F.coalesce(F.try_element_at(counts, place), F.lit(0)) + 1))
-    )
-
-
 def sparse_embedding(frame: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:
-    """(key, bucket, weight): the same, one row for each place that isn't 0."""
+    """(key, bucket, weight): the vectors of `HashEmbedder`, one row for each place that isn't 0."""
     words = frame.select(key, F.explode(F.split(F.lower(text), r"\s+")).alias("word")).where("word <> ''")
     counts = words.groupBy(key, bucket(F.col("word"), dimension).alias("bucket")).agg(F.count("*").alias("n"))
     norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))

@@ -11,6 +11,7 @@ from marlstone.functions import text as fn
 from marlstone.functions.tokens import PATTERN, token_count
 from marlstone.ir import check
 from marlstone.operators import chunking, documents, retrieval
+from marlstone.operators.embedding import HashEmbedder, embed_table
 from marlstone.parsers import html, markdown
 from marlstone.sources import net
 from marlstone.tables import table
@@ -218,9 +219,8 @@ def blocks_by_kind(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT doc_id, CAST(ord AS INTEGER) AS ord, array_to_string(CAST(json_extract_string(b, '$.prov.section_path[*]') AS VARCHAR[]), ' > ') AS path FROM
-    (SELECT doc_id, b, row_number() OVER (PARTITION BY doc_id) - 1 AS ord FROM
-    (SELECT doc_id, unnest(json_extract(doc_json, '$.body[*]')) AS b FROM documents WHERE json_valid(doc_json)))"""
+    """SELECT doc_id, CAST(i AS INTEGER) AS ord, array_to_string(CAST(json_extract_string(b, '$.prov.section_path[*]') AS VARCHAR[]), ' > ') AS path FROM
+    (SELECT doc_id, unnest(l) AS b, unnest(range(len(l))) AS i FROM (SELECT doc_id, json_extract(doc_json, '$.body[*]') AS l FROM documents WHERE json_valid(doc_json)))"""
 )
 def section_paths(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").select("doc_id", documents.stored(F.col("doc_json")).alias("document"))
@@ -453,12 +453,13 @@ def orphan_vectors(spark: SparkSession, folder: str) -> DataFrame:
 # Vectors and answers
 
 
+_WORDS = r"SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+')) AS w FROM documents"
+_BUCKETS = f"SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 15))::UBIGINT % 256 AS INTEGER) AS bucket, count(*) AS n FROM ({_WORDS}) WHERE w <> '' GROUP BY ALL"
+
+
 @query(
-    """SELECT c.doc_id, c.bucket, round(c.n / sqrt(t.s), 6) AS weight FROM
-    (SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 15))::UBIGINT % 256 AS INTEGER) AS bucket, count(*) AS n FROM
-    (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL) c JOIN
-    (SELECT doc_id, sum(n * n) AS s FROM (SELECT doc_id, ('0x' || substr(md5(w), 1, 15))::UBIGINT % 256 AS b, count(*) AS n FROM
-    (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL) GROUP BY doc_id) t USING (doc_id)""".replace("\\\\", "\\")
+    f"""SELECT c.doc_id, c.bucket, round(c.n / sqrt(t.s), 6) AS weight FROM ({_BUCKETS}) c
+    JOIN (SELECT doc_id, sum(n * n) AS s FROM ({_BUCKETS}) GROUP BY doc_id) t USING (doc_id)"""
 )
 def hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
     made = retrieval.sparse_embedding(table(spark, folder, "documents"), "doc_id", "text")
@@ -525,11 +526,10 @@ def source_headers(spark: SparkSession, folder: str) -> DataFrame:
 
 def _hits(spark: SparkSession, folder: str, limit: int) -> DataFrame:
     """The chunks nearest to the fixed question, by hashed words."""
-    from marlstone.operators.embedding import HashEmbedder
-
     chunks = table(spark, folder, "chunks").where("content IS NOT NULL").dropDuplicates(["chunk_id"])
-    vectors = retrieval.hash_embedding(chunks, "chunk_id", "content")
-    hits = retrieval.search(vectors, "chunk_id", "vector", HashEmbedder().embed([QUESTION])[0], limit)
+    embedder = HashEmbedder()
+    vectors = embed_table(chunks.select("chunk_id", "content"), "content", embedder)
+    hits = retrieval.search(vectors, "chunk_id", "vector", embedder.embed([QUESTION])[0], limit)
     return chunks.join(F.broadcast(hits), "chunk_id")  # limit rows
 
 
