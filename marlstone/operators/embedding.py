@@ -70,7 +70,7 @@ class HashEmbedder:
             places.clear()
         for t in texts:
             v = [0.0] * self._dimension
-            for w in _blank.split(t.lower()):
+            for w in _blank.split(t.lower().replace("ς", "σ")):
                 if not w:
                     continue
                 if w not in places:

@@ -21,7 +21,8 @@ def bucket(word: Column, dimension: int = DIMENSION) -> Column:
 
 def sparse_embedding(frame: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:
     """(key, bucket, weight): the vectors of `HashEmbedder`, one row for each place that isn't 0."""
-    words = frame.select(key, F.explode(F.split(F.lower(text), r"\s+")).alias("word")).where("word <> ''")
+    # The two small sigmas are one, as engines disagree on which to write.
+    words = frame.select(key, F.explode(F.split(F.translate(F.lower(text), "ς", "σ"), r"\s+")).alias("word")).where("word <> ''")
     counts = words.groupBy(key, bucket(F.col("word"), dimension).alias("bucket")).agg(F.count("*").alias("n"))
     norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     return counts.join(norms, key).select(key, "bucket", (F.col("n") / F.col("norm")).alias("weight"))

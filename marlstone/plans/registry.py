@@ -453,7 +453,7 @@ def orphan_vectors(spark: SparkSession, folder: str) -> DataFrame:
 # Vectors and answers
 
 
-_WORDS = r"SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+')) AS w FROM documents"
+_WORDS = r"SELECT doc_id, unnest(regexp_split_to_array(replace(lower(text), 'ς', 'σ'), '[ \t\n\x0B\f\r]+')) AS w FROM documents"
 _BUCKETS = f"SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 15))::UBIGINT % 256 AS INTEGER) AS bucket, count(*) AS n FROM ({_WORDS}) WHERE w <> '' GROUP BY ALL"
 
 
