@@ -138,11 +138,14 @@ class Pairs:
         """Of each adjacent pair: damped mutual information, negated, in bits; above 0 is improbable."""
         a, b = c[:-1], c[1:]
         expected = self.first[a] * self.second[b] / self.total
-        return np.log2((expected + RARE * self.total) / (self.n[a * self.size + b] + 0.5))
+        return np.log2((expected + max(2.0, RARE * self.total)) / (self.n[a * self.size + b] + 0.5))
 
-    def rates(self, text: str) -> np.ndarray:
+    def counts(self, text: str) -> np.ndarray:
         c = classes_of(text)
-        return (self.n[c[:-1] * self.size + c[1:]] + 0.05) / self.total
+        return self.n[c[:-1] * self.size + c[1:]]
+
+    def rates(self, text: str) -> np.ndarray:
+        return (self.counts(text) + 0.05) / self.total
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int]]:
@@ -233,8 +236,9 @@ class Restorer:
     def _one_byte(self, word: str) -> list[tuple[float, str, str]]:
         if len(word) < 2 or not re.search(r"[^\W\d_]", word):
             return []
-        before = self.pairs.rates(f" {word} ")
-        base = float(np.log2(before).sum())
+        before = self.pairs.counts(f" {word} ")
+        base = float(np.log2(before + 0.05).sum())
+        known, unknown = max(1.0, KNOWN * self.pairs.total), max(2.0, UNKNOWN * self.pairs.total)
         found = []
         for wrong in SINGLE:
             raw = to_bytes(word, wrong)
@@ -244,13 +248,13 @@ class Restorer:
                 read = "".join([table(right)[1][b] for b in raw])
                 if right == wrong or read == word or _odd.search(read):
                     continue
-                after = self.pairs.rates(f" {read} ")
-                gain = float(np.log2(after).sum()) - base
+                after = self.pairs.counts(f" {read} ")
+                gain = float(np.log2(after + 0.05).sum()) - base
                 if any(x != y and x.isalpha() and not y.isalpha() and y not in _marks for x, y in zip(word, read)):
                     continue
                 changed = [i for i, (x, y) in enumerate(zip(f" {word} ", f" {read} ")) if x != y]
                 touched = sorted({j for i in changed for j in (i - 1, i)})
-                if gain >= GAIN and gain >= 2.5 * len(changed) and after[touched].min() >= KNOWN and before[touched].min() <= UNKNOWN:
+                if gain >= GAIN and gain >= 2.5 * len(changed) and after[touched].min() >= known and before[touched].min() <= unknown:
                     found.append((gain, read, f"{right} read as {wrong}"))
         return found
 
