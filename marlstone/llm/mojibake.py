@@ -138,7 +138,7 @@ class Pairs:
         """Of each adjacent pair: damped mutual information, negated, in bits; above 0 is improbable."""
         a, b = c[:-1], c[1:]
         expected = self.first[a] * self.second[b] / self.total
-        return np.log2((expected + max(2.0, RARE * self.total)) / (self.n[a * self.size + b] + 0.5))
+        return np.log2((expected + max(4.0, RARE * self.total)) / (self.n[a * self.size + b] + 0.5))
 
     def counts(self, text: str) -> np.ndarray:
         c = classes_of(text)
