@@ -253,7 +253,8 @@ class Restorer:
                 if any(x != y and x.isalpha() and not y.isalpha() and y not in _marks for x, y in zip(word, read)):
                     continue
                 changed = [i for i, (x, y) in enumerate(zip(f" {word} ", f" {read} ")) if x != y]
-                touched = sorted({j for i in changed for j in (i - 1, i)})
+                # Pairs within the word: what stands before and after it may be anything.
+                touched = sorted({j for i in changed for j in (i - 1, i)} & set(range(1, len(word))))
                 if gain >= GAIN and gain >= 2.5 * len(changed) and after[touched].min() >= known and before[touched].min() <= unknown:
                     found.append((gain, read, f"{right} read as {wrong}"))
         return found
