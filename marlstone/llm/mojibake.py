@@ -64,7 +64,7 @@ def to_bytes(text: str, code: str) -> bytes | None:
 @lru_cache(None)
 def folding() -> tuple[np.ndarray, int]:
     """(class of each code point, number of classes): characters of the single-byte codes, kana and general punctuation for
-    themselves, digits as one, all others by blocks of 256. The number does not depend on the corpus."""
+    themselves, digits as one, blanks as one, all others by blocks of 256. The number does not depend on the corpus."""
     own = {ord(c) for code in SINGLE for c in table(code)[1]} | set(range(0x100, 0x180)) | set(range(0x2010, 0x2030))
     own |= set(range(0x3000, 0x3100)) | set(range(0xFF61, 0xFFA0)) | {0xFFFD}
     own -= set(range(0x30, 0x3A))
@@ -76,6 +76,7 @@ def folding() -> tuple[np.ndarray, int]:
         out[c] = classes
         classes += 1
     out[0x30:0x3A] = classes
+    out[[0x09, 0x0A, 0x0D]] = out[0x20]  # words begin and end alike at all blanks
     return out, classes + 1
 
 

@@ -355,7 +355,7 @@ def test_segments():
 
 
 def test_restore(spark):
-    clean = ["Über den Flüssen liegt schöner Nebel, größer als früher.", "Le café déjà fermé près de la façade où l’été passe.", "Ключи и записи удаляют из очереди.", "もし目次が古いものなら、設定を置き換えます。"] * 30
+    clean = ["Über den Flüssen liegt schöner Nebel, größer als früher.", "Le café déjà fermé près de la façade où l’été passe.", "Ключи или записи удаляют из очереди.", "もし目次が古いものなら、設定を置き換えます。"] * 30
     rows = [(i, t) for i, t in enumerate(clean)]
     broken = {
         900: clean[0].encode().decode("cp1252", "ignore"),
