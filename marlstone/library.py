@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone import errors
@@ -51,8 +51,11 @@ class Library:
         Known before anything is parsed. Of sources of equal content in one table the last by raw_source is taken.
         """
         rows = sources.withColumn("content_hash", fn.content_hash(F.col("content"))).withColumn("processing_fingerprint", self.fingerprint(F.col("source_format")))
-        newest = F.row_number().over(Window.partitionBy("content_hash").orderBy(F.col("raw_source").desc(), F.col("source_format").desc()))
-        rows = rows.withColumn("nth", F.when(F.col("error").isNull() & F.col("content").isNotNull(), newest)).where("nth IS NULL OR nth = 1").drop("nth")
+        fine = F.col("error").isNull() & F.col("content").isNotNull()
+        # A partial maximum: however many copies there are, no task holds them all.
+        one = F.max(F.struct("raw_source", "source_format", "content", "processing_fingerprint", "error")).alias("one")
+        single = rows.where(fine).groupBy("content_hash").agg(one).select("content_hash", "one.*")
+        rows = single.unionByName(rows.where(~fine).select(*single.columns))
         known = self.store.table("documents").select("content_hash", F.col("document_id").alias("known_id"), F.col("processing_fingerprint").alias("known_fp"))
         joined = rows.join(known, "content_hash", "left")
         decision = (
