@@ -63,9 +63,11 @@ class Codebooks:
                 step += 2 * self.gram[j, m][codes[:, :, j]]
             flat = step.reshape(n, -1)
             keep = min(self.beam, flat.shape[1]) if m < books - 1 else 1
-            best = np.argpartition(flat, keep - 1, axis=1)[:, :keep] if keep > 1 else flat.argmin(1)[:, None]
-            best.sort(axis=1)
-            cost = np.take_along_axis(flat, best, 1)
+            every, best, cost = np.arange(n), np.empty((n, keep), np.int64), np.empty((n, keep), F32)
+            for k in range(keep):
+                best[:, k] = flat.argmin(1)
+                cost[:, k] = flat[every, best[:, k]]
+                flat[every, best[:, k]] = np.inf
             codes = np.take_along_axis(codes, (best // words)[:, :, None], 1)
             codes[:, :, m] = best % words
         codes = codes[:, 0]
@@ -95,16 +97,20 @@ def shortlist(scores: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
     rows, queries = scores.shape
     if rows <= 2 * wanted:
         return tuple(np.indices(scores.shape).reshape(2, -1))
-    step = max(1, rows // max(400, 4 * wanted))
-    part = scores[::step]
-    rank = min(len(part) - 1, int(1.3 * wanted * len(part) / rows) + 2)
-    limit = np.partition(part, len(part) - 1 - rank, axis=0)[len(part) - 1 - rank]
-    over = scores >= limit
-    few = np.flatnonzero(over.sum(0) < wanted)
+    step = max(1, rows // 800)
+    part = np.ascontiguousarray(scores[::step].T)
+    size = part.shape[1]
+    rank = min(size - 1, int(1.2 * wanted * size / rows) + 1)
+    limit = np.partition(part, size - 1 - rank, axis=1)[:, size - 1 - rank]
+    found = np.flatnonzero(scores >= limit)
+    at, cols = found // queries, found % queries
+    few = np.flatnonzero(np.bincount(cols, minlength=queries) < wanted)
     if len(few):
-        low = np.partition(scores[:, few], rows - wanted, axis=0)[rows - wanted]
-        over[:, few] = scores[:, few] >= low
-    return np.nonzero(over)
+        low = np.partition(np.ascontiguousarray(scores[:, few].T), rows - wanted, axis=1)[:, rows - wanted]
+        limit[few] = np.minimum(limit[few], low)
+        found = np.flatnonzero(scores >= limit)
+        at, cols = found // queries, found % queries
+    return at, cols
 
 
 def search(books: Codebooks, queries: np.ndarray, base: np.ndarray, codes: np.ndarray, norms: np.ndarray, wanted: int, k: int, block: int = 64):

@@ -184,7 +184,7 @@ def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs that have each other among their 10 most similar, with cosine of 0.95 or more."""
-    near = p6_neighbours(spark, folder).where("cosine >= 0.95 - 1e-9")
+    near = vectors.neighbours(table(spark, folder, "chunk_embeddings"), "chunk_id", "dimension", "vector_json", 10, 0.95 - 1e-9)
     pair = near.select(F.least("chunk_id", "neighbour").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour").alias("chunk_id_b"))
     return pair.groupBy("chunk_id_a", "chunk_id_b").agg(F.count("*").alias("n")).where("n = 2").drop("n")
 

@@ -8,8 +8,8 @@ the end. A cell with more rows than its share is split, base and queries apart,
 
 from __future__ import annotations
 
-import json
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,36 +20,49 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.additive import F32, Codebooks, search, spread, unit
+from marlstone.llm.additive import F32, Codebooks, search, spread
 from marlstone.tables import cut
 
 #: Rows read to place cells and to train codebooks, of each dimension. All rows are indexed and searched.
 TRAINING_ROWS = 20_000
-CELL = 4_000
+CELL = 8_000
 #: Of the true neighbours of the sample's queries, so many lie in the cells that are probed.
 CELL_RECALL = 0.95
-SHORTLIST = 80
+SHORTLIST = 160
 BASE_A_TASK, QUERIES_A_TASK = 3 * CELL, 12 * CELL
 
+#: How a vector travels: number, dimension, role, whether codes follow, norm.
+HEAD = "<qHB?f"
+HEAD_SIZE = struct.calcsize(HEAD)
 
-def parse(text: str | None, dimension: int | None) -> bytes | None:
-    """The unit vector as 32-bit floats; None unless the text is an array of exactly `dimension` finite numbers, not all 0."""
-    if not text or dimension is None:
-        return None
-    try:
-        values = json.loads(text)
-    except (ValueError, RecursionError):
-        return None
-    if not isinstance(values, list) or len(values) != dimension or not all(type(v) in (float, int) for v in values):
-        return None
-    try:
-        top = max(map(abs, values), default=0)
-        if not top or not math.isfinite(top) or any(v != v for v in values):
-            return None
-        x = np.array(values, dtype=np.float64) / float(top)
-    except OverflowError:
-        return None
-    return (x / np.sqrt((x * x).sum())).astype(F32).tobytes()
+
+def packed(values: np.ndarray) -> list[bytes | None]:
+    """Vectors, one a row, as bytes; None for one that isn't finite or is all 0.
+
+    Vectors of numbers of four decimals, the usual spelling, are kept exactly as 16-bit multiples of 0.0001; others as
+    32-bit floats of length 1. Equal numbers give equal bytes however they are spelled.
+    """
+    with np.errstate(all="ignore"):
+        top = np.abs(values).max(axis=1)
+        good = np.isfinite(top) & (top > 0)
+        steps = np.rint(values * 10_000)
+        exact = good & (top < 3.2) & (np.abs(values * 10_000 - steps).max(axis=1) < 1e-6)
+        scaled = values / np.where(good, top, 1)[:, None]
+        floats = (scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))).astype(F32)
+        ints = np.where(exact[:, None], steps, 0).astype(np.int16)
+    return [ints[i].tobytes() if exact[i] else floats[i].tobytes() if good[i] else None for i in range(len(values))]
+
+
+def unpack(column: list[bytes], dimension: int) -> np.ndarray:
+    """Unit vectors, one a row."""
+    out = np.empty((len(column), dimension), F32)
+    short = np.fromiter((len(v) == 2 * dimension for v in column), bool, len(column))
+    if short.any():
+        steps = np.frombuffer(b"".join(v for v, s in zip(column, short) if s), np.int16).reshape(-1, dimension).astype(np.float64)
+        out[short] = steps / np.sqrt((steps * steps).sum(1, keepdims=True))
+    if not short.all():
+        out[~short] = np.frombuffer(b"".join(v for v, s in zip(column, short) if not s), F32).reshape(-1, dimension)
+    return out
 
 
 class Model:
@@ -88,71 +101,81 @@ class Model:
         return out
 
 
-def _matrix(column: list[bytes], dimension: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), F32).reshape(-1, dimension)
-
-
-def valid_vectors(frame: DataFrame, key: str, dimension: str, vector: str) -> DataFrame:
-    """(key, dim, class, vec): valid vectors, one row a key; of a key spelled in several ways the least bytes count."""
-
-    @F.pandas_udf("class binary, vec binary")
-    def read(texts: pd.Series, dims: pd.Series) -> pd.DataFrame:
-        made = [parse(t, None if d is None or d != d else int(d)) for t, d in zip(texts, dims)]
-        return pd.DataFrame({"class": [None if v is None else xxhash.xxh3_128_digest(v) for v in made], "vec": made})
+def read_vectors(frame: DataFrame, key: str, dimension: str, vector: str) -> DataFrame:
+    """(key, class, dim, vec): all valid rows. The JVM reads the JSON; members that are no numbers are null there."""
 
-    rows = frame.select(F.col(key).alias("key"), F.col(dimension).cast("int").alias("dim"), read(F.col(vector), F.col(dimension)).alias("v"))
-    rows = rows.where(F.col("key").isNotNull() & F.col("v.vec").isNotNull())
-    return rows.groupBy("key").agg(F.min(F.struct("v.vec", "dim", "v.class")).alias("v")).select("key", "v.dim", "v.class", "v.vec")
-
-
-def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """(n, class, dim, vec, ids): one row for equal vectors, numbered, with the k + 1 least keys."""
-    once = rows.groupBy("class").agg(F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.count("*").alias("c"), F.min("key").alias("least"))
-    several = rows.select("class", "key").join(once.where("c > 1").select("class"), "class")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, dims = batch.column("v"), batch.column("dim").to_numpy()
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.diff(lists.offsets.to_numpy()))
+            vecs: list = [None] * len(dims)
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                rows = flat[(ends[at] - dim)[:, None] + np.arange(dim) - (ends[0] - len(lists[0]) if len(ends) else 0)]
+                for i, v in zip(at, packed(rows)):
+                    vecs[i] = v
+            classes = [None if v is None else xxhash.xxh3_128_digest(v + int(d).to_bytes(4, "little")) for v, d in zip(vecs, dims)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(classes, pa.binary()), batch.column("dim"), pa.array(vecs, pa.binary())], names=["key", "class", "dim", "vec"])
+
+    whole = F.when(F.col(vector).rlike(r"^\s*\[[^\[\]]*\]\s*$"), F.from_json(vector, "array<double>"))
+    rows = frame.select(F.col(key).cast("string").alias("key"), F.col(dimension).cast("int").alias("dim"), whole.alias("v"))
+    rows = rows.where("key IS NOT NULL AND dim > 0 AND size(v) = dim AND NOT exists(v, x -> x IS NULL)")
+    return rows.mapInArrow(pack, "key string, class binary, dim int, vec binary").where("vec IS NOT NULL")
+
+
+def distinct_vectors(rows: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """(n, dim, vec, ids, big): one row for equal vectors, numbered, with the k + 1 least keys; big is the class of more."""
+    sizes = keys.groupBy("class").agg(F.count("*").alias("c"), F.min("key").alias("least"))
+    several = keys.join(sizes.where("c > 1").select("class"), "class")
     salted = Window.partitionBy("class", F.pmod(F.xxhash64("key"), F.lit(64))).orderBy("key")
     few = several.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1)
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy("key"))).where(F.col("r") <= k + 1)
     lists = few.groupBy("class").agg(F.array_sort(F.collect_list("key")).alias("ids"))
-    made = once.join(lists, "class", "left").select("class", "dim", "vec", F.coalesce("ids", F.array("least")).alias("ids"))
-    return cut(made.withColumn("n", F.monotonically_increasing_id()))
+    once = rows.groupBy("class").agg(F.first("dim").alias("dim"), F.first("vec").alias("vec")).join(sizes, "class")
+    made = once.join(lists, "class", "left")
+    return made.select(F.monotonically_increasing_id().alias("n"), "dim", "vec", F.coalesce("ids", F.array("least")).alias("ids"), F.when(F.col("c") > k + 1, F.col("class")).alias("big"))
 
 
-def neighbours(frame: DataFrame, key: str, dimension: str, vector: str, k: int = 10) -> DataFrame:
+def neighbours(frame: DataFrame, key: str, dimension: str, vector: str, k: int = 10, at_least: float = -2.0) -> DataFrame:
     """(key, neighbour, rank from 1, cosine): the k most similar valid vectors of equal dimension, ties by key.
 
-    Invalid vectors neither ask nor answer. A dimension of k vectors or fewer gives shorter lists, one of a single vector
-    none. Rows with the same key are one vector; other columns play no part. An empty table gives no rows.
+    Of these only those with a cosine of `at_least` are reported; they rank as among all. Invalid vectors neither ask nor
+    answer. A dimension of k vectors or fewer gives shorter lists, one of a single vector none. Rows with the same key are
+    one vector, of differing ones one is taken by hash; other columns play no part. An empty table gives no rows.
     """
     spark = frame.sparkSession
-    rows = cut(valid_vectors(frame, key, dimension, vector))
-    single = distinct_vectors(rows, k)
+    rows = read_vectors(frame, key, dimension, vector)
+    # Texts are parsed twice rather than kept: only keys and hashes are shuffled to find rows written twice.
+    keys = rows.groupBy("key").agg(F.min("class").alias("class"))
     models: dict[int, Model] = {}
-    for row in single.groupBy("dim").count().collect():  # one row a dimension
-        sample = single.where(F.col("dim") == row["dim"]).select("vec").orderBy(F.xxhash64("class"), "class").limit(TRAINING_ROWS).collect()
-        models[row["dim"]] = Model(_matrix([bytes(r["vec"]) for r in sample], row["dim"]), row["count"])
+    kinds = frame.where(F.col(key).isNotNull()).groupBy(F.col(dimension).cast("int").alias("dim")).agg(F.approx_count_distinct(key).alias("count"))
+    for row in kinds.where("dim > 0").collect():  # one row a dimension
+        # The sample is drawn from the texts as they are, by a hash of the key: nothing is sorted, and only its rows are parsed.
+        part = math.ceil(1_000_000 * min(1.0, TRAINING_ROWS / max(1, row["count"])))
+        drawn = frame.where((F.col(dimension) == row["dim"]) & (F.pmod(F.xxhash64(key), F.lit(1_000_000)) < part))
+        known = sorted({(bytes(r["class"]), bytes(r["vec"])) for r in read_vectors(drawn, key, dimension, vector).select("class", "vec").limit(2 * TRAINING_ROWS).collect()})
+        models[row["dim"]] = Model(unpack([v for _, v in known], row["dim"]) if known else np.eye(1, row["dim"], dtype=F32), row["count"])
     shared = spark.sparkContext.broadcast(models)  # cells and codebooks: one centre for CELL rows
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, dims, vecs = batch.column("n").to_numpy(), batch.column("dim").to_numpy(), batch.column("vec").to_pylist()
-            cells: list = [None] * len(n)
-            codes: list = [None] * len(n)
-            norms = np.zeros(len(n), F32)
+            dims, vecs = batch.column("dim").to_numpy(), batch.column("vec").to_pylist()
+            cells: list = [None] * len(dims)
+            codes: list = [None] * len(dims)
+            norms = np.zeros(len(dims), F32)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 model = shared.value[int(dim)]
-                x = _matrix([vecs[i] for i in at], int(dim))
+                x = unpack([vecs[i] for i in at], int(dim))
                 near = model.nearest(x, min(model.probes, len(model.centres)))
-                code, norm = model.books.encode(x)
-                norms[at] = norm
+                code, norms[at] = model.books.encode(x)
                 for i, c, b in zip(at, near, code):
                     cells[i], codes[i] = c, b.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("n"), batch.column("dim"), batch.column("vec"), pa.array(cells, pa.list_(pa.int32())), pa.array(codes, pa.binary()), pa.array(norms)],
-                names=["n", "dim", "vec", "cells", "codes", "norm"],
-            )
+            made = [pa.array(cells, pa.list_(pa.int32())), pa.array(codes, pa.binary()), pa.array(norms)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "cells", "codes", "norm"])
 
-    placed = cut(single.select("n", "dim", "vec").mapInArrow(place, "n bigint, dim int, vec binary, cells array<int>, codes binary, norm float"))
+    single = distinct_vectors(rows, keys, k)
+    placed = cut(single.mapInArrow(place, "n bigint, dim int, vec binary, ids array<string>, big binary, cells array<int>, codes binary, norm float"))
     own, asked = {}, {}
     for row in placed.select("dim", F.posexplode("cells")).groupBy("dim", "col").agg(F.count("*").alias("asked"), F.count_if(F.col("pos") == 0).alias("own")).collect():
         own[row["dim"], row["col"]], asked[row["dim"], row["col"]] = row["own"], row["asked"]
@@ -161,9 +184,9 @@ def neighbours(frame: DataFrame, key: str, dimension: str, vector: str, k: int =
     def spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each task that needs the vector, as base (1), query (2) or both (3)."""
         for batch in batches:
-            n, dims, cells = batch.column("n").to_pylist(), batch.column("dim").to_pylist(), batch.column("cells").to_pylist()
-            at, tasks, roles = [], [], []
-            for i, (number, dim, near) in enumerate(zip(n, dims, cells)):
+            columns = [batch.column(c).to_pylist() for c in ("n", "dim", "vec", "cells", "codes", "norm")]
+            tasks, packed = [], []
+            for number, dim, vec, near, code, norm in zip(*columns):
                 mixed = number * 0x9E3779B1 >> 16
                 for pos, cell in enumerate(near):
                     if (dim, cell) not in splits.value:
@@ -172,45 +195,44 @@ def neighbours(frame: DataFrame, key: str, dimension: str, vector: str, k: int =
                     mine, ask = mixed % bases, (mixed >> 20) % queries
                     for b in range(bases):
                         for q in range(queries):
-                            role = (pos == 0 and b == mine) + 2 * (q == ask)
-                            if role:
-                                at.append(i)
-                                tasks.append(f"{dim}/{cell}/{b}/{q}")
-                                roles.append(role)
-            taken = batch.take(pa.array(at, pa.int64()))
-            base = np.array(roles, np.int8) % 2 == 1
-            codes = pa.compute.if_else(pa.array(base), taken.column("codes"), pa.scalar(None, pa.binary()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tasks), pa.array(roles, pa.int8()), taken.column("n"), taken.column("vec"), codes, taken.column("norm")],
-                names=["task", "role", "n", "vec", "codes", "norm"],
-            )
-
-    def ask(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        dim = int(group[0].partition("/")[0])
-        role = part["role"].to_numpy()
-        base, query = part[role % 2 == 1], part[role >= 2]
-        if base.empty or query.empty:
-            return pd.DataFrame({"n": [], "found": []})
-        x = _matrix(base["vec"].tolist(), dim)
-        codes = np.frombuffer(b"".join(base["codes"]), np.uint8).reshape(len(base), -1)
-        books = shared.value[dim].books
-        bn, qn = base["n"].to_numpy(), query["n"].to_numpy()
+                            base = pos == 0 and b == mine
+                            if base or q == ask:
+                                tasks.append(((dim << 24 | cell) << 12 | b % 4096) << 12 | q % 4096)
+                                packed.append(struct.pack(HEAD, number, dim, base + 2 * (q == ask), base, norm) + vec + (code if base else b""))
+            yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.int64()), pa.array(packed, pa.binary())], names=["task", "row"])
+
+    def ask(part: pd.DataFrame) -> pd.DataFrame:
+        heads = [struct.unpack_from(HEAD, r) for r in part["row"]]
+        dim, books = heads[0][1], shared.value[heads[0][1]].books
+        width = len(books.books)
+        vecs = [r[HEAD_SIZE : len(r) - width if h[3] else len(r)] for r, h in zip(part["row"], heads)]
+        x = unpack(vecs, dim)
+        n = np.array([h[0] for h in heads])
+        base = np.flatnonzero([h[2] & 1 for h in heads])
+        query = np.flatnonzero([h[2] & 2 for h in heads])
         names, lists = [], []
-        for cols, rows_, exact in search(books, _matrix(query["vec"].tolist(), dim), x, codes, base["norm"].to_numpy(), SHORTLIST, k + 1):
-            first = np.flatnonzero(np.diff(cols, prepend=-1))
-            for a, b in zip(first, [*first[1:], len(cols)]):
-                names.append(qn[cols[a]])
-                lists.append([{"c": c, "m": m} for c, m in zip(exact[a:b].tolist(), bn[rows_[a:b]].tolist())])
-        return pd.DataFrame({"n": names, "found": lists})
-
-    tasks = placed.mapInArrow(spread_out, "task string, role tinyint, n bigint, vec binary, codes binary, norm float")
+        if len(base) and len(query):
+            codes = np.frombuffer(b"".join(part["row"].iloc[i][-width:] for i in base), np.uint8).reshape(-1, width)
+            norms = np.array([heads[i][4] for i in base], F32)
+            for cols, rows_, exact in search(books, x[query], x[base], codes, norms, SHORTLIST, k + 1):
+                # What lies below at_least can't come before what doesn't.
+                over = exact >= at_least
+                cols, rows_, exact = cols[over], rows_[over], exact[over]
+                first = np.flatnonzero(np.diff(cols, prepend=-1))
+                for a, b in zip(first, [*first[1:], len(cols)]):
+                    names.append(n[query[cols[a]]])
+                    lists.append([{"c": c, "m": m} for c, m in zip(exact[a:b].tolist(), n[base[rows_[a:b]]].tolist())])
+        return pd.DataFrame({"n": pd.Series(names, dtype="int64"), "found": pd.Series(lists, dtype=object)})
+
+    tasks = placed.select("n", "dim", "vec", "cells", "codes", "norm").mapInArrow(spread_out, "task bigint, row binary")
     found = tasks.groupBy("task").applyInPandas(ask, "n bigint, found array<struct<c: double, m: bigint>>")
     # Of a vector there is one list for each of its tasks, k + 1 long at most.
     merged = found.groupBy("n").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found")), asc=False), 1, k + 1).alias("found"))
-    names = single.select(F.col("n").alias("m"), "ids")
-    named = merged.select("n", F.inline("found")).join(names, "m").select("n", "c", F.explode("ids").alias("id"))
+    named = merged.select("n", F.inline("found")).join(placed.select(F.col("n").alias("m"), "ids"), "m").select("n", "c", F.explode("ids").alias("id"))
     best = named.groupBy("n").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "id"))), 1, k + 1).alias("best"))
-    members = rows.select("key", "class").join(single.select("n", "class"), "class").select("key", "n")
+    members = placed.where("big IS NULL").select("n", F.explode("ids").alias("key"))
+    if not placed.where("big IS NOT NULL").isEmpty():
+        members = members.unionByName(keys.join(placed.select("n", F.col("big").alias("class")), "class").select("n", "key"))
     others = members.join(best, "n").select("key", F.slice(F.expr("filter(best, b -> b.id <> key)"), 1, k).alias("best"))
     return others.select("key", F.posexplode("best").alias("pos", "b")).select(
         F.col("key").alias(key), F.col("b.id").alias("neighbour"), (F.col("pos") + 1).alias("rank"), (-F.col("b.c")).alias("cosine")
