@@ -237,6 +237,22 @@ def test_furniture(spark):
     assert [r["main"] for r in furniture.main_bodies(pages, "id", "body", F.col("site")).orderBy("id").collect()] == [f"Text {i} of the page." for i in range(4)] + ["", None]
 
 
+def test_furniture_of_any_wording(spark):
+    values, version = ("Paragraph", "We value your choices. Accept all."), ("Paragraph", "Version 3 of the site")
+    menu = ("list", [("Altra", "https://a.test/1"), ("Roba", "https://b.test/2"), ("Qui", "https://c.test/3")])
+
+    def page(i):
+        said = [("Paragraph", f"Text {'abcdef'[i] * 5} of this page."), ("Paragraph", f"More {'ghijkl'[i] * 5} of it.")]
+        short = ("Paragraph", "See the table.")
+        return tree(values, menu, ("Heading", f"Title {'uvwxyz'[i] * 3}"), said[0], *([short] if i < 4 else []), said[1], version)
+
+    # A sentence within articles stays however often it recurs, and what only copies of one article share.
+    rows = [(i, page(i), "a.test") for i in range(6)] + [(10 + i, page(5), "b.test") for i in range(6)]
+    frame = spark.createDataFrame(rows, "id int, doc string, site string")
+    made = [(r["id"], r["block_index"], r["reason"], r["pages"]) for r in furniture.tree_furniture(frame, "id", "doc", F.col("site")).collect()]
+    assert sorted(made) == [(i, b, "recurs", 6) for i in range(6) for b in (0, 1, 6 if i < 4 else 5)]
+
+
 # 6
 
 
