@@ -1,7 +1,8 @@
 """Text that went through a wrong character decoding: found and, where possible, restored.
 
 Adjacent character pairs of the whole corpus are counted once, over an alphabet of fixed size, and scored by their mutual
-information, damped so that rare pairs count as improbable. In each text the maximum-scoring segments of improbable pairs
+information, damped so that rare pairs count as improbable. Words that are themselves valid UTF-8 in a wrong code are left
+out of the counts, so that a large garbled source doesn't make its own pairs common. In each text the maximum-scoring segments of improbable pairs
 are isolated. Only the words they touch are tested: written back in the wrong code, read in the right one. A reading as
 UTF-8 or Shift-JIS proves itself by its validity; one in another single-byte code must be far likelier by the pair counts.
 """
@@ -26,6 +27,10 @@ MULTI = [(w, "utf-8") for w in (*SINGLE, "cp932")] + [(w, r) for r in ("cp932",
 MULTIBYTE = ("utf-8", "cp932", "euc_jp")
 #: A pair seen less often than this among all pairs is improbable.
 RARE = 2e-5
+#: Codes with few letters from 0x80 to 0xBF.
+PLAIN = frozenset(("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "iso8859_2"))
+#: So many characters of several bytes in a word prove a reading as UTF-8, whatever the corpus holds.
+PROOF = 3
 #: Bits by which another single-byte reading must be likelier.
 GAIN = 8.0
 #: Of a restored word every pair with a non-ASCII character must be this frequent.
@@ -84,13 +89,33 @@ def classes_of(text: str) -> np.ndarray:
     return folding()[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
 
 
+def misread(word: str) -> int:
+    """How many characters of several bytes the word has as UTF-8 read in a single-byte code; 0 where it isn't valid, or gives
+    other scripts than Latin, Greek, Cyrillic and East Asian ones. In codes whose letters lie among the second bytes whole
+    words are valid by chance (чем in cp866), so there PROOF such characters are needed."""
+    if not _neighbours.search(word):
+        return 0
+    for wrong in SINGLE:
+        raw = to_bytes(word, wrong)
+        if raw is None:
+            continue
+        try:
+            read = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        foreign = _foreign.findall(read)
+        if len(foreign) >= (1 if wrong in PLAIN else PROOF) and len(read) < len(word) and not _unlikely.search(read):
+            return len(foreign)
+    return 0
+
+
 def word_cell(word: str) -> int:
     return xxhash.xxh64_intdigest(_trim.sub("", word)) % WORDS
 
 
 def count_pairs(frame: DataFrame, text: str) -> DataFrame:
     """(cell BIGINT, n BIGINT) over all texts: cells below the alphabet squared are pairs, the rest hashes of words with
-    non-ASCII characters. Each task adds up its own first; the number of cells is fixed."""
+    non-ASCII characters. Pairs of words that look misread are not counted. Each task adds up its own first; the number of cells is fixed."""
     pairs = folding()[1] ** 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,11 +123,16 @@ def count_pairs(frame: DataFrame, text: str) -> DataFrame:
         total = np.zeros(pairs, np.int64)
         words = np.zeros(WORDS, np.int64)
         cells: dict[str, int] = {}
+        odd: dict[str, bool] = {}
         for batch in batches:
             texts = [t for t in batch["text"] if t]
             for i in range(0, len(texts), 500):
-                joined = "\n".join(texts[i : i + 500])
-                c = classes_of(joined)
+                joined = "\n".join(["", *texts[i : i + 500], ""])
+                if len(odd) > 500_000:
+                    odd.clear()
+                for w in {w for w in _token.findall(joined) if not w.isascii()} - odd.keys():
+                    odd[w] = misread(w) > 0
+                c = classes_of(_foreign_token.sub(lambda m: "" if odd[m[0]] else m[0], joined))
                 total += np.bincount(c[:-1] * size + c[1:], minlength=pairs)
                 seen = [w for w in joined.split() if not w.isascii()]
                 if len(cells) > 500_000:
@@ -172,6 +202,11 @@ def segments(score: np.ndarray) -> list[tuple[int, int]]:
 
 _token = re.compile(r"[^ \t\n\r]+")
 _foreign = re.compile(r"[^\x00-\x7f]")
+_foreign_token = re.compile(r"[^ \t\n\r\x80-\U0010ffff]*[\x80-\U0010ffff][^ \t\n\r]*")
+_neighbours = re.compile(r"[^\x00-\x7f]{2}")
+#: Characters that a misread word of the languages of such texts doesn't stand for.
+_rare_mark = re.compile("[\u0329-\u036f]")
+_unlikely = re.compile("[\x80-\x9f\ufffd\u0250-\u036f\u0530-\u1dff]")
 _odd = re.compile("[\x80-\x9f\ufffd]")
 #: What is left of UTF-8 where control characters were dropped.
 _lost = re.compile("\u00e2\u00a6|(?<=[ \n])\u00f0(?=[ \n])")
@@ -215,6 +250,8 @@ class Restorer:
                 continue
             if read == word or len(read) >= len(word) and right == "utf-8" and wrong != "cp932" or _odd.search(read) and not _odd.search(word):
                 continue
+            if _rare_mark.search(read) and not _rare_mark.search(word):
+                continue
             name = f"{right} read as {wrong}"
             gain = self._gain(word, read)
             if right != "utf-8":
@@ -222,7 +259,7 @@ class Restorer:
                     continue
             elif depth < 2 and _foreign.search(read) and (again := self._several_bytes(read, depth + 1)):
                 gain, read, name = gain + again[0], again[1], f"{name}, {again[2]}"
-            elif not _odd.search(word) and self._mean(read) <= self._mean(word):
+            elif not _odd.search(word) and misread(word) < PROOF and self._mean(read) <= self._mean(word):
                 continue
             if best is None or gain > best[0]:
                 best = (gain, read, name)

@@ -391,3 +391,11 @@ def test_restore(spark):
     assert made[901]["restored"] == clean[1] == made[903]["restored"] and made[902]["restored"] == clean[2] and made[904]["restored"] == clean[0]
     assert made[905]["restored"] is None and made[912]["codes"] == []
     assert mojibake.restore(frame.limit(0), "id", "body").count() == 0
+
+
+def test_restore_a_large_garbled_source(spark):
+    clean = ["Über den Flüssen liegt schöner Nebel, größer als früher.", "Le café déjà fermé près de la façade où l’été passe.", "Ключи или записи удаляют из очереди.", "Er rief: „Spaß“ und ging. Её нет."]
+    rows = [(i, clean[i % 4]) for i in range(160)] + [(1000 + i, clean[i % 3].encode().decode("latin-1")) for i in range(120)]
+    made = {r["id"]: r for r in mojibake.restore(spark.createDataFrame(rows, "id int, body string"), "id", "body").collect()}
+    assert {k for k, r in made.items() if r["garbled"]} == set(range(1000, 1120))
+    assert all(made[1000 + i]["restored"] == clean[i % 3] for i in range(120))
