@@ -253,6 +253,13 @@ def test_furniture_of_any_wording(spark):
     assert sorted(made) == [(i, b, "recurs", 6) for i in range(6) for b in (0, 1, 6 if i < 4 else 5)]
 
 
+def test_templates_of_a_large_host(spark):
+    strip = ("Paragraph", "Altra · roba · qui")
+    rows = [(i, tree(("Paragraph", f"Text {i}."), *([strip] if i < 3 else [])), "a.test") for i in range(2000)]
+    frame = spark.createDataFrame(rows, "id int, doc string, site string")
+    assert {(r["id"], r["block_index"]) for r in furniture.tree_furniture(frame, "id", "doc", F.col("site")).collect()} == {(0, 1), (1, 1), (2, 1)}
+
+
 # 6
 
 
