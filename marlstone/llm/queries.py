@@ -122,14 +122,15 @@ def p5_blocks(spark: SparkSession, folder: str) -> DataFrame:
     host = site(F.col("raw_source"))
     # Raw sources have no address; they belong to their collection.
     host = F.when(host != "", host).otherwise(F.lower(F.trim("source")))
-    return furniture.tree_furniture(table(spark, folder, "documents"), "doc_id", "doc_json", host)
+    return furniture.tree_furniture(table(spark, folder, "documents"), "doc_id", "doc_json", host, F.lower("content_hash"))
 
 
 @query
 def p5_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of every fetched HTML page."""
     pages = table(spark, folder, "fetched").where("kind = 'Html'")
-    return furniture.main_bodies(pages, "fetch_id", "body", site(F.coalesce("final_url", "url")))
+    url = F.coalesce("final_url", "url")
+    return furniture.main_bodies(pages, "fetch_id", "body", site(url), url)
 
 
 @query

@@ -255,11 +255,23 @@ def test_furniture_of_any_wording(spark):
 
 def test_templates_of_a_large_host(spark):
     strip = ("Paragraph", "Altra · roba · qui")
-    rows = [(i, tree(("Paragraph", f"Text {i}."), *([strip] if i < 3 else [])), "a.test") for i in range(2000)]
+    word = "".join  # numbers are masked
+    rows = [(i, tree(("Paragraph", f"Text {word(chr(97 + int(c)) for c in str(i))}."), *([strip] if i < 3 else [])), "a.test") for i in range(2000)]
     frame = spark.createDataFrame(rows, "id int, doc string, site string")
     assert {(r["id"], r["block_index"]) for r in furniture.tree_furniture(frame, "id", "doc", F.col("site")).collect()} == {(0, 1), (1, 1), (2, 1)}
 
 
+def test_copies_are_one_page(spark):
+    strip = ("Paragraph", "Altra · roba · qui")
+    rows = [(i, tree(("Paragraph", "Text."), strip), "a.test", "A") for i in range(4)] + [(10 + i, tree(strip), "b.test", f"B{i}") for i in range(3)]
+    frame = spark.createDataFrame(rows, "id int, doc string, site string, sum string")
+    made = furniture.tree_furniture(frame, "id", "doc", F.col("site"), F.col("sum")).collect()
+    assert sorted((r["id"], r["block_index"], r["pages"]) for r in made) == [(10 + i, 0, 3) for i in range(3)]
+    page = "<main><p>Text.</p><ul><li>altra cosa</li><li>roba buona</li><li>qui vicino</li></ul></main>"
+    pages = spark.createDataFrame([(i, page, "a", f"u{i}") for i in range(4)] + [(10 + i, page + " " * i, "b", "u") for i in range(4)], "id int, body string, site string, url string")
+    assert all("roba buona" in r["main"] for r in furniture.main_bodies(pages, "id", "body", F.col("site"), F.col("url")).collect())
+
+
 # 6
 
 
