@@ -3,6 +3,10 @@
 All four notations are read into one tree, with the implied tags of the HTML tree builder. What a browser would show is
 then written as plain text: blocks apart by a blank line, headings in capitals, list items with `- ` or `1. `, quotes
 with `| `, code blocks indented by four, cells in aligned columns joined by ` | `, links as `text (url)`. Formulas stay.
+
+A text is read once. Code is opaque: between backticks, in fences and in verbatim nothing is markup; in code elements of
+HTML tags are dropped and references decoded, once. Elsewhere tags that were written as references are tags, and text that
+was escaped twice is decoded twice. Neither reading nor writing recurses with the depth of a page.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,6 +46,8 @@ LATEX_NAMES = (
     LATEX_INLINE | LATEX_HEADINGS.keys() | LATEX_DROPPED
     | frozenset("begin end item cite citep citet ref eqref pageref autoref url href footnote caption includegraphics ldots dots LaTeX TeX".split())
 )
+#: Elements whose content is code: tags and references are read there, no other notation.
+OPAQUE = frozenset("pre code samp kbd tt xmp textarea source syntaxhighlight nowiki math script style".split())
 HIDDEN = frozenset("head script style template noscript iframe object embed audio video canvas svg select datalist input ref".split())
 BLOCKS = frozenset(
     """address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3
@@ -51,18 +58,29 @@ APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre table fi
 
 FORMULA = r"(?<!\\)\\\[(?:(?!\n\s*\n)[^\]]|\](?!\s*$))*?\\\]|(?<![\\$\w])\$(?![\s$\d])[^$\n]*?(?<![\s\\])\$(?![\w$])|(?<![\\$\w])\$\d[^$\n]*[\\^_={}][^$\n]*(?<![\s\\])\$(?![\w$])|\\\((?:(?!\n\s*\n).)*?\\\)"
 TAGS = "|".join(sorted(HTML_NAMES | WIKI_NAMES, key=lambda t: (-len(t), t)))
+ENTITY = r"&(?:amp;)*(?:\#\d{1,7}|\#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+TAG = rf"<(?P<close>/?)(?P<name>{TAGS})(?P<attrs>(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
+COMMENT = r"<!--.*?(?:-->|\Z)|<![A-Za-z][^>]*>|<\?[^>]*>"
+#: The line below the head of a Markdown table.
+RULED = r"[ ]*(?::?-{3,}:?|:-+:?|-+:)[ ]*"
+DELIMITER = rf"(?=[^\n]*\|)[ ]*\|?{RULED}(?:\|{RULED})*\|?[ ]*"
 _lexer = re.compile(
     rf"""
       (?P<formula>{FORMULA})
     | (?P<fence>(?m:^)[ ]{{0,3}}(?P<ticks>```+|~~~+)[^\n`]*\n(?P<fenced>.*?)(?:\n?[ ]{{0,3}}(?P=ticks)[ ]*(?:\n|\Z)|\Z))
-    | (?P<code>(?<!`)`(?!`)(?P<coded>[^`\n]+)`(?!`))
-    | (?P<tex_quote>``(?P<tex_quoted>[^`'\n]{{1,200}})'')
-    | (?P<comment><!--.*?(?:-->|\Z)|<![A-Za-z][^>]*>|<\?[^>]*>)
+    | (?P<tex_quote>``(?P<tex_quoted>[^`'\n]+)'')
+    | (?P<code>(?<!`)(?P<tick>`+)(?!`)(?P<coded>[^\n]*?[^`\n])(?P=tick)(?!`))
+    | (?P<comment>{COMMENT})
     | (?P<autolink><(?P<auto>(?:https?|ftp|mailto):[^\s<>]+|[\w.+-]+@[\w-]+\.[\w.-]+)>)
-    | (?P<tag><(?P<close>/?)(?P<name>{TAGS})(?P<attrs>(?=[\s/>])(?:[^<>"']|"[^"]*"|'[^']*')*)>)
-    | (?P<entity>(?:&(?:\#\d{{1,7}}|\#[xX][0-9a-fA-F]{{1,6}}|[A-Za-z][A-Za-z0-9]{{1,31}});)+)
+    | (?P<tag>{TAG})
+    | (?P<hidden_comment>&(?:amp;)*lt;!--.*?--&(?:amp;)*gt;)
+    | (?P<hidden_tag>&(?:amp;)*lt;(?P<hidden_close>/?)(?P<hidden_name>{TAGS})(?P<hidden_attrs>(?=[\s/&])(?:[^<>&]|&(?:amp;)*(?:quot|apos|\#39|amp);)*?)&(?:amp;)*gt;)
+    | (?P<entity>(?:{ENTITY})+)
+    | (?P<tex_verbatim>\\begin\{{(?P<verbatim_env>verbatim\*?|lstlisting|Verbatim)\}}(?:\[[^\]\n]*\])?\n?(?P<verbatim>.*?)\\end\{{(?P=verbatim_env)\}})
+    | (?P<tex_verb>\\verb\*?(?P<verb_mark>[^\sA-Za-z*\\])(?P<verbed>[^\n]*?)(?P=verb_mark))
+    | (?P<tex_table>\\begin\{{(?P<table_env>tabular\*?|tabularx|longtable|tabulary)\}}(?:\[[^\]\n]*\])?(?:\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})*(?P<tex_rows>.*?)\\end\{{(?P=table_env)\}})
     | (?P<tex_env>\\(?P<env_end>begin|end)\{{(?P<env>[A-Za-z]+\*?)\}}(?:\[[^\]\n]*\])?)
-    | (?P<tex_break>\\\\(?:\[[^\]\n]{{0,12}}\]|(?=\s|$)))
+    | (?P<tex_break>\\\\(?:\[[^\]\n]*\]|(?=\s|$)))
     | (?P<tex_group>\{{\\(?P<switch>bf|it|tt|em|sc|sl|rm|sf|small|large|Large)\b[ ]?(?P<switched>[^{{}}]*)\}})
     | (?P<tex>~?\\(?P<cmd>[A-Za-z]+)\*?(?:\[[^\]\n]*\])?(?P<args>(?:\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})*)[ ]?)
     | (?P<template>\{{\{{(?P<inside>(?:[^{{}}]|\{{(?!\{{)|\}}(?!\}})|\{{\{{(?:[^{{}}])*\}}\}})*)\}}\}})
@@ -71,11 +89,13 @@ _lexer = re.compile(
     | (?P<magic>(?<!\w)__(?:NO|FORCE)?(?:TOC|EDITSECTION|INDEX|GALLERY|NEWSECTIONLINK)__)
     | (?P<wiki_bold>'''''(?P<wb5>[^'\n]+(?:'[^'\n]+)*)'''''|'''(?P<wb3>[^'\n]+(?:'[^'\n]+)*)'''|''(?P<wb2>[^'\n]+(?:'[^'\n]+)*)'')
     | (?P<wiki_head>(?m:^)(?P<eqs>={{1,6}})[ ]*(?P<wh>[^=\n]+?)[ ]*(?P=eqs)[ ]*(?m:$))
+    | (?P<md_table>(?m:^)(?P<md_top>[^\n|]*\|[^\n]*)\n{DELIMITER}(?m:$)(?P<md_rows>(?:\n(?=[^\n]*\|)[^\n]*\S[^\n]*)*))
+    | (?P<delim>(?m:^){DELIMITER}(?m:$))
+    | (?P<wiki_grid>(?m:^)\{{\|[^\n]*\n(?P<wiki_rows>.*?)(?:(?<=\n)|\n)\|\}}[ ]*(?m:$))
     | (?P<wiki_table>(?m:^)(?:\{{\|[^\n]*|\|\}}[ ]*|\|-[^\n]*)(?m:$))
     | (?P<md_head>(?m:^)(?P<hashes>\#{{1,6}})[ ]+(?P<mh>[^\n]*?)[ ]*\#*(?m:$))
     | (?P<setext>(?m:^)(?P<sh>[^\s][^\n]*)\n[ ]{{0,3}}(?P<under>={{2,}}|-{{2,}})[ ]*(?m:$))
     | (?P<rule>(?m:^)[ ]{{0,3}}(?:(?:\*[ ]*){{3,}}|(?:-[ ]*){{3,}}|(?:_[ ]*){{3,}})(?m:$))
-    | (?P<delim>(?m:^)[ ]*\|?[ ]*:?-{{3,}}:?[ ]*(?:\|[ ]*:?-{{3,}}:?[ ]*)+\|?[ ]*(?m:$))
     | (?P<quote>(?m:^)[ ]{{0,3}}>(?=[ ]|$)[ ]?)
     | (?P<bullet>(?m:^)[ ]*[*+][ ]+(?=\S))
     | (?P<footdef>(?m:^)\[\^[^\]\n]+\]:[ ]*)
@@ -92,12 +112,13 @@ _lexer = re.compile(
 )
 
 #: Where a piece of markup can begin. Everything between is plain text.
-_gate = re.compile(r"[<&`\\$\[{*_~'!]|^(?:[ =|:>+#-]|(?=[^\s][^\n]*\n {0,3}(?:={2,}|-{2,}) *$))", re.M)
+_gate = re.compile(r"[<&`\\$\[{*_~'!]|^(?:[ =|:>+#-]|(?=[^\s][^\n]*\n {0,3}(?:={2,}|-{2,}) *$)|(?=[^\n|]*\|[^\n]*\n[ |:]*-[ |:-]*$))", re.M)
+_inside_code = re.compile(rf"{COMMENT}|{TAG}|(?P<entity>&[#A-Za-z0-9]+;)", re.S | re.I)
 
 #: Texts without any of these hold no markup. For Java and for Python.
 SUSPECT = (
-    r"(?m)<[A-Za-z/!?]|&#?[A-Za-z0-9]{2,31};|`|\\[^\s]|(?<![\s])\*|\*(?![\s])|~~|__|(?<!\w)_|''|\[\[|\{\{|\]\(|\]\[|\[\^|\]:|\[https?:|\{\\"
-    r"|^#{1,6} |^ *[>*+] |^={1,}|^ *-{2,} *$|^ *[-*_]( *[-*_]){2,} *$|-{3,} *\||^\{\||^\|[-}]|^>"
+    r"(?m)<[A-Za-z/!?]|&(?:#[0-9]|#?[A-Za-z0-9]{2,32});|`|\\[^\s]|(?<![\s])\*|\*(?![\s])|~~|__|(?<!\w)_|''|\[\[|\{\{|\]\(|\]\[|\[\^|\]:|\[(?:https?|ftp):|\{\\"
+    r"|^#{1,6} |^ *[>*+] |^={1,}|^ *-{2,} *$|^ *[-*_]( *[-*_]){2,} *$|-:? *\||\| *:?-|^\{\||^\|[-}]|^>"
 )
 _suspect = re.compile(SUSPECT)
 HEAD_PREFIX = "category file image datei fichier archivo plik soubor файл категория catégorie kategorie categoría".split()
@@ -119,7 +140,22 @@ class Reader:
         self.read(text)
         self.build.end(tag)
 
-    def read(self, text: str, depth: int = 0) -> None:
+    def cells(self, tag: str, texts: list[str]) -> None:
+        self.build.start("tr")
+        for t in texts:
+            self.inside(tag, t.strip())
+        self.build.end("tr")
+
+    def code(self, tag: str, text: str, literal: bool = True) -> None:
+        """A code element. Unless its content is literal, tags in it are dropped and references decoded, once."""
+        self.build.start(tag)
+        if literal:
+            self.build.text(text)
+        else:
+            self.build.text(_inside_code.sub(lambda m: html.unescape(m.group()) if m.group("entity") else "", text))
+        self.build.end(tag)
+
+    def read(self, text: str) -> None:
         at = seen = 0
         while gate := _gate.search(text, seen):
             m = _lexer.match(text, gate.start())
@@ -129,11 +165,12 @@ class Reader:
             kind = m.lastgroup if m.lastgroup in HANDLERS else next(k for k in HANDLERS if m.group(k) is not None)
             if m.start() > at:
                 self.build.text(text[at : m.start()])
-            if HANDLERS[kind](self, m) is False:  # not markup after all
+            went = HANDLERS[kind](self, m)
+            if went is False:  # not markup after all
                 self.build.text(m.group()[0])
                 at = seen = m.start() + 1
             else:
-                at = seen = m.end()
+                at = seen = m.end() if went is None else went
         if at < len(text):
             self.build.text(text[at:])
 
@@ -144,42 +181,140 @@ def _formula(r: Reader, m: re.Match):
 
 def _fence(r: Reader, m: re.Match):
     r.note("markdown")
-    r.build.start("pre")
-    r.build.text(m.group("fenced"))
-    r.build.end("pre")
+    r.code("pre", m.group("fenced"))
 
 
 def _code(r: Reader, m: re.Match):
     r.note("markdown")
-    r.build.start("code")
-    r.build.text(m.group("coded"))
-    r.build.end("code")
+    text = m.group("coded")
+    # A blank on each side belongs to the marks.
+    r.code("code", text[1:-1] if len(m.group("tick")) > 1 and text[:1] == text[-1:] == " " and text.strip() else text)
+
+
+def _verbatim(tag: str, group: str):
+    def handle(r: Reader, m: re.Match):
+        r.note("latex")
+        r.code(tag, m.group(group))
+
+    return handle
+
+
+@lru_cache(None)
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*>", re.I)
 
 
 def _tag(r: Reader, m: re.Match):
     name = m.group("name").lower()
     r.note("wiki" if name in WIKI_NAMES else "html")
-    if name == "nowiki":
-        return
     attrs = m.group("attrs")
-    if m.group("close"):
-        r.build.end(name)
-    elif name in WIKI_NAMES and attrs.endswith("/"):
+    if not m.group("close") and name in OPAQUE and not attrs.endswith("/") and (end := _closing(name).search(m.string, m.end())):
+        inside = m.string[m.end() : end.start()]
+        if name in ("nowiki", "math"):
+            r.build.text(html.unescape(inside) if name == "nowiki" else inside)
+        else:
+            r.code("pre" if name in ("source", "syntaxhighlight") else name, inside, name in dom.RAW or name in WIKI_NAMES or name == "source")
+        return end.end()
+    _element(r, name, bool(m.group("close")), attrs)
+
+
+def _hidden_tag(r: Reader, m: re.Match):
+    """A tag that was written as character references."""
+    r.note("html")
+    _element(r, m.group("hidden_name").lower(), bool(m.group("hidden_close")), html.unescape(html.unescape(m.group("hidden_attrs"))))
+
+
+def _element(r: Reader, name: str, close: bool, attrs: str) -> None:
+    if name == "nowiki" or name in WIKI_NAMES and attrs.endswith("/"):
         return
+    if close:
+        r.build.end(name)
     else:
         r.build.start(name, dom.attributes(attrs), attrs.endswith("/"))
 
 
+_escaped_again = re.compile(r"&(?:amp;)+(?=#|[A-Za-z])")
+_entities = re.compile(rf"(?:{ENTITY})+", re.I)
+
+
 def _entity(r: Reader, m: re.Match):
-    text = html.unescape(m.group())
-    if text == m.group():
+    text = html.unescape(_escaped_again.sub("&", m.group()))
+    if _entities.fullmatch(text):
         return False
-    for _ in range(2):
-        text = html.unescape(text)
     r.note("html")
     r.build.text(text)
 
 
+_row_end = re.compile(r"\\\\(?:\[[^\]\n]*\])?|\\tabularnewline\b")
+_row_rule = re.compile(r"\\(?:hline|toprule|midrule|bottomrule|endhead|endfirsthead|endfoot|endlastfoot)\b|\\c(?:line|midrule)(?:\([^)]*\))?\{[^}]*\}")
+_tex_cell = re.compile(r"(?<!\\)&")
+_md_cell = re.compile(r"((?:[^|\\`]|\\.|(`+)(?!`).*?(?<!`)\2(?!`)|`)*)(?:\||$)", re.S)
+_cell_attributes = re.compile(r"(?:\s*[\w-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s|]+))+\s*\|(?!\|)")
+
+
+def _tex_table(r: Reader, m: re.Match):
+    r.note("latex")
+    r.build.start("table")
+    for row in _row_end.split(m.group("tex_rows")):
+        row = _row_rule.sub("", row)
+        if row.strip():
+            r.cells("td", _tex_cell.split(row))
+    r.build.end("table")
+
+
+def md_row(line: str) -> list[str]:
+    """The cells of a row of a Markdown table; a pipe that is escaped or in code ends none."""
+    line = line.strip()
+    line = line[1:] if line.startswith("|") else line
+    found = [c.group(1) for c in _md_cell.finditer(line)]
+    if found and not found[-1].strip():
+        found.pop()
+    if len(found) > 1 and line.endswith("|") and not found[-1].strip():
+        found.pop()
+    return [re.sub(r"\\\|", "|", c) for c in found]
+
+
+def _md_table(r: Reader, m: re.Match):
+    r.note("markdown")
+    r.build.start("table")
+    r.cells("th", md_row(m.group("md_top")))
+    for line in m.group("md_rows").split("\n")[1:]:
+        r.cells("td", md_row(line))
+    r.build.end("table")
+
+
+def _wiki_grid(r: Reader, m: re.Match):
+    r.note("wiki")
+    r.build.start("table")
+    row: list[tuple[str, str]] = []
+
+    def flush():
+        if row:
+            r.build.start("tr")
+            for tag, text in row:
+                r.inside(tag, text.strip())
+            r.build.end("tr")
+            row.clear()
+
+    for line in m.group("wiki_rows").split("\n"):
+        start = line.lstrip()
+        if start.startswith("|+"):
+            flush()
+            r.inside("caption", start[2:].strip())
+        elif start.startswith("|-"):
+            flush()
+        elif start[:1] in ("|", "!"):
+            head = start[0] == "!"
+            for cell in re.split(r"\|\||!!" if head else r"\|\|", start[1:]):
+                row.append(("th" if head else "td", _cell_attributes.sub("", cell, 1) if _cell_attributes.match(cell) else cell))
+        elif row:
+            row[-1] = (row[-1][0], row[-1][1] + "\n" + line)
+        elif start:
+            r.inside("caption", start)
+    flush()
+    r.build.end("table")
+
+
 def _tex(r: Reader, m: re.Match):
     cmd = m.group("cmd")
     if cmd not in LATEX_NAMES or (not m.group("args") and cmd not in ("item", "ldots", "dots", "LaTeX", "TeX") and cmd not in LATEX_DROPPED | LATEX_INLINE):
@@ -304,7 +439,12 @@ HANDLERS = {
     "comment": _dropped("html"),
     "autolink": _shown("markdown", lambda m: m.group("auto")),
     "tag": _tag,
+    "hidden_comment": _dropped("html"),
+    "hidden_tag": _hidden_tag,
     "entity": _entity,
+    "tex_verbatim": _verbatim("pre", "verbatim"),
+    "tex_verb": _verbatim("code", "verbed"),
+    "tex_table": _tex_table,
     "tex_env": _tex_env,
     "tex_break": _break,
     "tex_group": _switch,
@@ -315,6 +455,8 @@ HANDLERS = {
     "magic": _dropped("wiki"),
     "wiki_bold": _around("wiki", "b", "wb5", "wb3", "wb2"),
     "wiki_head": _heading("wiki", lambda m: len(m.group("eqs")), "wh"),
+    "md_table": _md_table,
+    "wiki_grid": _wiki_grid,
     "wiki_table": _dropped("wiki"),
     "md_head": _heading("markdown", lambda m: len(m.group("hashes")), "mh"),
     "setext": _heading("markdown", lambda m: 1 if m.group("under")[0] == "=" else 2, "sh"),
@@ -386,15 +528,16 @@ class Writer:
         lines = [x.rstrip() for x in self.lines]
         return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
 
-    def node(self, node: dom.Node | str, pre: bool = False, depth: int = 0) -> None:
+    def node(self, node: dom.Node | str) -> None:
+        walk(self.steps(node))
+
+    def steps(self, node: dom.Node | str) -> Iterator:
+        """Writes a node; yields the same of what lies below it, for `walk` to do first."""
         if isinstance(node, str):
-            self.put(node, pre)
+            self.put(node)
             return
         if hidden(node):
             return
-        if depth > 150:
-            self.put(node.text())
-            return
         tag = node.tag
         block = tag in BLOCKS
         if tag == "br":
@@ -403,39 +546,39 @@ class Writer:
         if block:
             self.apart(2 if tag in APART else 1)
         if tag == "table":
-            self.table(node)
+            yield self.table(node)
         elif tag in ("ul", "ol", "menu", "dir"):
-            self.list(node, depth)
+            yield self.list(node.tag, node.kids)
         elif tag == "blockquote":
-            self.prefixed(node, "| ", "| ", depth)
+            yield self.prefixed(node, "| ", "| ")
         elif tag == "pre":
             for i, line in enumerate(node.text().strip("\n").split("\n")):
                 if i:
                     self.apart(1)
                 self.put("    " + line, True)
         elif tag in dom.HEADINGS:
-            self.put(inline(node, self.kept).upper())
+            self.put((yield inline(node, self.kept)).upper())
         elif tag == "a":
-            shown, url = inline(node, self.kept), node.attrs.get("href", "").strip()
+            shown, url = (yield inline(node, self.kept)), node.attrs.get("href", "").strip()
             self.put(f"{shown} ({url})" if re.match(r"(?i)https?:", url) and url != shown.strip() and shown.strip() else shown)
         elif tag == "img":
             self.put(node.attrs.get("alt", ""))
         elif tag == "li":
-            self.list(_holder([node]), depth)
+            yield self.list("ul", [node])
         elif tag == "hr":
             self.put("----")
         elif tag == "sup" and node.text().strip().isdigit():
             self.put(f"^{node.text().strip()}")
         else:
             for kid in node.kids:
-                self.node(kid, pre, depth + 1)
+                yield self.steps(kid)
         if block:
             self.apart(2 if tag in APART else 1)
 
-    def prefixed(self, node: dom.Node, first: str, others: str, depth: int) -> None:
+    def prefixed(self, node: dom.Node, first: str, others: str) -> Iterator:
         inner = Writer(self.kept)
         for kid in node.kids:
-            inner.node(kid, depth=depth + 1)
+            yield inner.steps(kid)
         text = inner.text().strip()
         if not text:
             return
@@ -444,30 +587,34 @@ class Writer:
                 self.apart(1)
             self.put((first if i == 0 else others) + line if line or others.strip() else "", True)
 
-    def list(self, node: dom.Node, depth: int) -> None:
+    def list(self, tag: str, kids: list) -> Iterator:
         number = 0
-        for kid in node.kids:
+        for kid in kids:
             if isinstance(kid, dom.Node) and kid.tag == "li":
                 number += 1
-                mark = f"{number}. " if node.tag == "ol" else "- "
+                mark = f"{number}. " if tag == "ol" else "- "
                 self.apart(1)
-                self.prefixed(kid, mark, " " * len(mark), depth)
+                if not hidden(kid):
+                    yield self.prefixed(kid, mark, " " * len(mark))
                 self.apart(1)
             else:
-                self.node(kid, depth=depth + 1)
+                yield self.steps(kid)
 
-    def table(self, node: dom.Node) -> None:
+    def table(self, node: dom.Node) -> Iterator:
         rows: list[list[str]] = []
         todo = [node]
         while todo:
             at = todo.pop()
             for kid in at.kids:
-                if isinstance(kid, dom.Node) and kid.tag == "caption":
-                    self.put(inline(kid, self.kept))
+                if isinstance(kid, dom.Node) and kid.tag == "caption" and not hidden(kid):
+                    self.put((yield inline(kid, self.kept)))
                     self.apart(1)
             if at.tag == "tr":
                 cells = [k for k in at.kids if isinstance(k, dom.Node) and k.tag in ("td", "th") and not hidden(k)]
-                rows.append([" ".join(inline(c, False).split()) for c in cells])
+                row = []
+                for c in cells:
+                    row.append(" ".join((yield inline(c, False)).split()))
+                rows.append(row)
             else:
                 todo.extend(k for k in reversed(at.kids) if isinstance(k, dom.Node) and k.tag in ("thead", "tbody", "tfoot", "tr") and not hidden(k))
         for line in align(rows):
@@ -475,34 +622,40 @@ class Writer:
             self.put(line, True)
 
 
-def _holder(kids: list) -> dom.Node:
-    node = dom.Node("ul")
-    node.kids = kids
-    return node
-
-
-def inline(node: dom.Node, kept: bool) -> str:
+def inline(node: dom.Node, kept: bool) -> Iterator:
+    """The text of what is in an element, for `walk`."""
     writer = Writer(kept)
     for kid in node.kids:
-        writer.node(kid)
+        yield writer.steps(kid)
     return writer.text() if not kept else writer.text().strip("\n")
 
 
+def walk(job: Iterator):
+    """Runs a job and those it yields, each before the rest of the one that yielded it, and sends back their results."""
+    stack, value = [job], None
+    while stack:
+        try:
+            step = stack[-1].send(value)
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+        else:
+            stack.append(step)
+            value = None
+    return value
+
+
 def render_text(text: str) -> tuple[str, list[str]]:
     """Clean text, and the kinds of markup met, each once for every piece. A text without markup comes back as it is."""
     if not _suspect.search(text):
         return text, []
-    found: list[str] = []
-    for _ in range(3):  # what character references hid
-        reader = Reader()
-        reader.read(text)
-        if not reader.kinds:
-            break
-        found += reader.kinds
-        writer = Writer(kept=True)
-        writer.node(reader.build.body)
-        text = writer.text()
-    return text, found
+    reader = Reader()
+    reader.read(text)
+    if not reader.kinds:
+        return text, []
+    writer = Writer(kept=True)
+    writer.node(reader.build.body)
+    return writer.text(), reader.kinds
 
 
 def render_page(source: str) -> str:

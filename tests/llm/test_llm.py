@@ -124,6 +124,44 @@ def test_markup(text, clean, kind):
     assert markup.render_text(made)[1] == []
 
 
+@pytest.mark.parametrize(
+    "text, clean",
+    [
+        ("See `<b>x</b>` and `**k**`", "See <b>x</b> and **k**"),
+        ("```\n<div>hi</div>\n# not heading\n```", "    <div>hi</div>\n    # not heading"),
+        ("`&amp;lt;`, ``a ` b``", "&amp;lt;, a ` b"),
+        ("<pre>if a &lt; b:\n  <i>x</i> **y** &amp;lt;</pre>", "    if a < b:\n      x **y** &lt;"),
+        ("<code>[[a]] &amp;lt;</code> <nowiki>'''b'''</nowiki>", "[[a]] &lt; '''b'''"),
+        ("\\begin{verbatim}\n\\emph{x} **a**\n\\end{verbatim} \\verb|**b**|", "    \\emph{x} **a**\n\n**b**"),
+        ("a &amp;amp; b &lt;b&gt;c&lt;/b&gt; &amp;lt;i&amp;gt;d &nosuch;", "a & b c d &nosuch;"),
+    ],
+)
+def test_code_is_kept(text, clean):
+    assert markup.render_text(text)[0] == clean
+
+
+@pytest.mark.parametrize(
+    "text, clean, kinds",
+    [
+        ("| a | b |\n|---|:-:|\n| c`|`d | **ee** |\n| f\\|g | h\nend", "a   | b\nc|d | ee\nf|g | h\n\nend", {"markdown"}),
+        ("x | y\n-- | --", "x | y\n-- | --", set()),
+        ("|:---:|---:|\nz", "z", {"markdown"}),
+        ('{| class="w"\n|+ Cap\n! A !! B\n|-\n| style="x" | one || two\n|-\n| three\nmore\n| four\n|}', "Cap\nA          | B\none        | two\nthree more | four", {"wiki"}),
+        ("\\begin{tabular}{l|l}\\hline a & b \\\\ \\cline{1-2}\n cc & d\\& \\\\[2pt] \\end{tabular}", "a  | b\ncc | d&", {"latex", "markdown"}),
+        ("[ftp://h.test/x label] &#9;", "label (ftp://h.test/x) ", {"wiki", "html"}),
+    ],
+)
+def test_tables_and_gates(text, clean, kinds):
+    made, found = markup.render_text(text)
+    assert made == clean.rstrip() and set(found) == kinds
+
+
+def test_depth_changes_nothing():
+    deep = "<div>" * 5000 + "<span hidden>SECRET</span><script>bad()</script><ul><li>a<li>b</ul>ok"
+    assert markup.render_text(deep)[0] == markup.render_page(deep) == "- a\n- b\n\nok"
+    assert markup.render_page("<blockquote>" * 400 + "x").endswith("| | x")
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab <>/&;*_`#[](){}|\\'$=-\n\"!", max_size=70))
 def test_markup_never_fails(text):
