@@ -113,18 +113,88 @@ def shortlist(scores: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
     return at, cols
 
 
-def search(books: Codebooks, queries: np.ndarray, base: np.ndarray, codes: np.ndarray, norms: np.ndarray, wanted: int, k: int, block: int = 64):
-    """Yields for blocks of queries (query rows, base rows, exact cosines): the k best of the shortlist, in no order."""
-    for at in range(0, len(queries), block):
-        q = queries[at : at + block]
-        rows, cols = shortlist(books.scores(q, codes, norms), wanted)
+class Cells:
+    """Cells named by the words of residual codebooks: the first level has the centres of the vectors, the next those of
+    what is left, and so on. There are as many levels as the number of cells needs, so that cells grow in number with the
+    data while the codebooks stay small and a bounded sample places them all."""
+
+    #: Words of one level at most.
+    WORDS = 256
+
+    def __init__(self, sample: np.ndarray, wanted: float, seed: int = 1):
+        self.books: list[np.ndarray] = []
+        rest = sample
+        while wanted >= 1.5:
+            book = spread(rest, min(self.WORDS, round(wanted)), 10, seed + len(self.books), not self.books)
+            rest = rest - book[(rest @ book.T - 0.5 * (book * book).sum(1)).argmax(1)]
+            self.books.append(book)
+            if len(book) == 1:
+                break
+            wanted /= len(book)
+
+    def __len__(self) -> int:
+        return int(np.prod([len(b) for b in self.books], dtype=np.int64)) if self.books else 1
+
+    def near(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cells, squared distances less |x|^2) of the nearest cells of each vector, at most `beam`, nearest first."""
+        if not self.books:
+            return np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1), F32)
+        parts = [self._near(x[i : i + 1024], beam) for i in range(0, max(1, len(x)), 1024)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _near(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        cells, cost = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1), F32)
+        sums = np.zeros((len(x), 1, x.shape[1]), F32)
+        for level, book in enumerate(self.books):
+            step = ((book * book).sum(1) - 2 * (x @ book.T))[:, None, :] + cost[:, :, None]
+            if level:
+                step += 2 * (sums @ book.T)
+            flat = step.reshape(len(x), -1)
+            keep = min(beam, flat.shape[1])
+            best = np.argpartition(flat, keep - 1, axis=1)[:, :keep] if keep < flat.shape[1] else np.broadcast_to(np.arange(keep), flat.shape)
+            best = np.take_along_axis(best, np.argsort(np.take_along_axis(flat, best, 1), axis=1, kind="stable"), 1)
+            cost = np.take_along_axis(flat, best, 1)
+            of, word = best // len(book), best % len(book)
+            cells = np.take_along_axis(cells, of, 1) * len(book) + word
+            if level + 1 < len(self.books):
+                sums = np.take_along_axis(sums, of[:, :, None], 1) + book[word]
+        return cells, cost
+
+
+def found_among(books: Codebooks, x: np.ndarray, exact, query: np.ndarray, base: np.ndarray, codes: np.ndarray, norms: np.ndarray, floors: np.ndarray | None, at_least: float, wanted: int, k: int, block: int = 64):
+    """Yields (rows of queries, rows of bases, exact cosines): of each query the k best bases with a cosine of at_least.
+
+    x are all vectors at length 1, in 32 bits; query and base are rows of it. Table scores of all codes make the
+    shortlist: those above their floor, if there are floors, else the `wanted` best. exact(a, b) gives cosines in doubles.
+    """
+    codes = codes.astype(np.intp)
+    for at in range(0, len(query), block):
+        q = query[at : at + block]
+        tables = books.books @ x[q].T  # [book, word, query]
+        scores = tables[0][codes[:, 0]]
+        for m in range(1, codes.shape[1]):
+            scores += tables[m][codes[:, m]]
+        if floors is None:
+            scores /= norms[:, None]
+            rows, cols = shortlist(scores, wanted)
+        else:
+            rows, cols = np.nonzero(scores >= floors[:, None])
         order = np.argsort(cols, kind="stable")
         rows, cols = rows[order], cols[order]
-        exact = np.empty(len(rows))
+        near = np.empty(len(rows), F32)
         for i in range(0, len(rows), 1 << 16):
-            exact[i : i + (1 << 16)] = np.einsum("ij,ij->i", base[rows[i : i + (1 << 16)]], q[cols[i : i + (1 << 16)]], dtype=np.float64)
-        order = np.lexsort((rows, -exact, cols))
-        rows, cols, exact = rows[order], cols[order], exact[order]
-        first = np.searchsorted(cols, np.arange(len(q)))
-        keep = np.arange(len(cols)) - first[cols] < k
-        yield cols[keep] + at, rows[keep], exact[keep]
+            near[i : i + (1 << 16)] = np.einsum("ij,ij->i", x[base[rows[i : i + (1 << 16)]]], x[q[cols[i : i + (1 << 16)]]])
+        # 32 bits decide what is compared in doubles, with room for their error.
+        over = near >= at_least - 1e-5
+        rows, cols, near = rows[over], cols[over], near[over]
+        order = np.lexsort((rows, -near, cols))
+        rows, cols = rows[order], cols[order]
+        keep = np.arange(len(cols)) - np.searchsorted(cols, np.arange(len(q)))[cols] < 2 * k
+        rows, cols = rows[keep], cols[keep]
+        cosines = exact(q[cols], base[rows])
+        over = cosines >= at_least
+        rows, cols, cosines = rows[over], cols[over], cosines[over]
+        order = np.lexsort((rows, -cosines, cols))
+        rows, cols, cosines = rows[order], cols[order], cosines[order]
+        keep = np.arange(len(cols)) - np.searchsorted(cols, np.arange(len(q)))[cols] < k
+        yield q[cols[keep]], base[rows[keep]], cosines[keep]
