@@ -7,9 +7,30 @@ stored, so that a score is the sum of table entries, one for each codebook, over
 
 from __future__ import annotations
 
+import ctypes
+from functools import cached_property, lru_cache
+
 import numpy as np
 
 F32 = np.float32
+#: Vectors encoded at once, so that what they need stays in the cache.
+BLOCK = 256
+
+
+@lru_cache(None)
+def one_thread() -> None:
+    """A task has a core; matrix products on more threads than that only wait for each other."""
+    try:
+        with open("/proc/self/maps", encoding="utf-8") as file:
+            paths = {line.split()[-1] for line in file if "openblas" in line}
+        for path in paths:
+            library = ctypes.CDLL(path)
+            for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(library, name):
+                    getattr(library, name)(1)
+                    break
+    except OSError:
+        pass
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -48,11 +69,23 @@ class Codebooks:
             rest = rest - book[near]
             made.append(book)
         self.books = np.stack(made)
-        flat = self.books.reshape(-1, sample.shape[1])
-        self.gram = (flat @ flat.T).reshape(books, words, books, words).transpose(0, 2, 1, 3).copy()  # [i, j, word of i, word of j]
+
+    @cached_property
+    def gram(self) -> np.ndarray:
+        """[i, j, word of i, word of j]: products of codewords, made where they are used rather than sent."""
+        books, words, dimension = self.books.shape
+        flat = self.books.reshape(-1, dimension)
+        return (flat @ flat.T).reshape(books, words, books, words).transpose(0, 2, 1, 3).copy()
+
+    def __getstate__(self) -> dict:
+        return {"beam": self.beam, "books": self.books}
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes uint8, norm of each approximation). Of equal codewords the first wins."""
+        parts = [self._encode(x[i : i + BLOCK]) for i in range(0, max(1, len(x)), BLOCK)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, (books, words, _) = len(x), self.books.shape
         codes = np.zeros((n, 1, books), np.uint8)
         cost = np.zeros((n, 1), F32)  # squared error less the squared norm of x

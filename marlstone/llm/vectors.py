@@ -11,7 +11,9 @@ grows with the data.
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.additive import F32, Cells, Codebooks, found_among
+from marlstone.llm.additive import F32, Cells, Codebooks, found_among, one_thread
 from marlstone.tables import cut
 
 #: Rows read to place cells and to train codebooks, of each dimension. All rows are indexed and searched.
@@ -31,7 +33,7 @@ NEAR_CELL, CELL = 1_000, 8_000
 #: From this cosine on the first plan is taken. Below, the bound lets too much through.
 NEAR = 0.8
 #: Of the true neighbours, so many lie in the cells that are probed. Near ones are found from either side.
-NEAR_RECALL, CELL_RECALL = 0.99, 0.95
+NEAR_RECALL, CELL_RECALL = 0.98, 0.95
 #: Cells probed at most are the nearest so many.
 NEAR_BEAM, BEAM = 32, 64
 SHORTLIST = 160
@@ -162,26 +164,49 @@ class Model:
         return cells[probed] + self.number, probed.sum(1), blob
 
 
+_numbers = re.compile(r"\s*\[[\s0-9eE+.,-]*\]\s*")
+
+
+def parsed(texts: list[str], dimension: int) -> np.ndarray:
+    """Vectors, one a row, of JSON arrays of numbers; rows of 0 for all other texts."""
+    fine = [bool(_numbers.fullmatch(t)) for t in texts]
+    try:
+        rows = json.loads("[" + ",".join([t if f else "[]" for t, f in zip(texts, fine)]) + "]")
+    except ValueError:
+        rows = []
+        for t, f in zip(texts, fine):
+            try:
+                rows.append(json.loads(t) if f else [])
+            except ValueError:
+                rows.append([])
+    blank = [0.0] * dimension
+    rows = [r if len(r) == dimension else blank for r in rows]
+    try:
+        return np.array(rows, np.float64).reshape(len(rows), dimension)
+    except OverflowError:  # an integer beyond all doubles
+        return np.array([blank if any(abs(v) > 1e308 for v in r) else r for r in rows], np.float64)
+
+
 def read_vectors(frame: DataFrame, key: str, dimension: str, vector: str) -> DataFrame:
-    """(key, class, dim, vec): all valid rows. The JVM reads the JSON; members that are no numbers are null there."""
+    """(key, class, dim, vec): all valid rows, parsed a batch at a time."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, dims = batch.column("v"), batch.column("dim").to_numpy()
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.diff(lists.offsets.to_numpy()))
+            texts, dims = batch.column("text").to_pylist(), batch.column("dim").to_numpy()
             vecs: list = [None] * len(dims)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                rows = flat[(ends[at] - dim)[:, None] + np.arange(dim) - (ends[0] - len(lists[0]) if len(ends) else 0)]
-                for i, v in zip(at, packed(rows)):
+                # A text of so many numbers has as many commas at least: others need no room.
+                at = [i for i in at.tolist() if texts[i].count(",") == dim - 1]
+                for i, v in zip(at, packed(parsed([texts[i] for i in at], int(dim)))) if at else ():
                     vecs[i] = v
-            classes = [None if v is None else xxhash.xxh3_128_digest(v + int(d).to_bytes(4, "little")) for v, d in zip(vecs, dims)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(classes, pa.binary()), batch.column("dim"), pa.array(vecs, pa.binary())], names=["key", "class", "dim", "vec"])
+            kept = [i for i, v in enumerate(vecs) if v is not None]
+            classes = [xxhash.xxh3_128_digest(vecs[i] + int(dims[i]).to_bytes(4, "little")) for i in kept]
+            some = batch.select(["key", "dim"]).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column("key"), pa.array(classes, pa.binary()), some.column("dim"), pa.array([vecs[i] for i in kept], pa.binary())], names=["key", "class", "dim", "vec"])
 
-    whole = F.when(F.col(vector).rlike(r"^\s*\[[^\[\]]*\]\s*$"), F.from_json(vector, "array<double>"))
-    rows = frame.select(F.col(key).cast("string").alias("key"), F.col(dimension).cast("int").alias("dim"), whole.alias("v"))
-    rows = rows.where("key IS NOT NULL AND dim > 0 AND size(v) = dim AND NOT exists(v, x -> x IS NULL)")
-    return rows.mapInArrow(pack, "key string, class binary, dim int, vec binary").where("vec IS NOT NULL")
+    rows = frame.select(F.col(key).cast("string").alias("key"), F.col(dimension).cast("int").alias("dim"), F.col(vector).alias("text"))
+    return rows.where("key IS NOT NULL AND dim > 0 AND text IS NOT NULL").mapInArrow(pack, "key string, class binary, dim int, vec binary")
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
@@ -214,6 +239,28 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     return made.select(F.monotonically_increasing_id().alias("n"), "class", "dim", "vec", F.slice("ids", 1, k + 1).alias("ids"), (F.size("ids") > k + 1).alias("many"))
 
 
+def answers(models: dict[int, Model], part: pa.Table, at_least: float, k: int) -> pa.Table:
+    """(n, m, c): the k best bases of every query of a task."""
+    one_thread()
+    part = part.combine_chunks()
+    column = {c: part.column(c).chunk(0) for c in part.column_names}
+    dim = column["dim"][0].as_py()
+    model = models[dim]
+    role, n = column["role"].to_numpy(), column["n"].to_numpy()
+    base, query = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+    out: list[list] = [[], [], []]
+    if len(base) and len(query):
+        held = Vectors(column["vec"], dim)
+        blob = np.frombuffer(b"".join(column["codes"].take(pa.array(base)).to_pylist()), np.uint8).reshape(len(base), -1)
+        norms, floors = np.ascontiguousarray(blob[:, -8:]).view(F32).T
+        for a, b, c in found_among(model.books, held.units(), held.cosines, query, base, blob[:, :-8], norms, floors if model.near else None, at_least, SHORTLIST, k):
+            out[0].append(n[a])
+            out[1].append(n[b])
+            out[2].append(c)
+    arrays = [pa.array(np.concatenate(o) if o else [], t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))]
+    return pa.Table.from_arrays(arrays, names=["n", "m", "c"])
+
+
 def neighbours(frame: DataFrame, key: str, dimension: str, vector: str, k: int = 10, at_least: float = -2.0, cell: int | None = None) -> DataFrame:
     """(key, neighbour, rank from 1, cosine): the k most similar valid vectors of equal dimension, ties by key.
 
@@ -246,6 +293,7 @@ def neighbours(frame: DataFrame, key: str, dimension: str, vector: str, k: int =
     shared = spark.sparkContext.broadcast(models)  # codebooks of 256 words a level, whatever the number of cells
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             cells: list = [None] * len(dims)
@@ -315,23 +363,7 @@ def neighbours(frame: DataFrame, key: str, dimension: str, vector: str, k: int =
             yield pa.RecordBatch.from_arrays([pa.array(task, pa.int64()), pa.array(role, pa.int8()), some.column("n"), some.column("dim"), some.column("vec"), codes], names=["task", "role", "n", "dim", "vec", "codes"])
 
     def ask(part: pa.Table) -> pa.Table:
-        part = part.combine_chunks()
-        column = {c: part.column(c).chunk(0) for c in part.column_names}
-        dim = column["dim"][0].as_py()
-        model = shared.value[dim]
-        role, n = column["role"].to_numpy(), column["n"].to_numpy()
-        base, query = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-        out: list[list] = [[], [], []]
-        if len(base) and len(query):
-            held = Vectors(column["vec"], dim)
-            blob = np.frombuffer(b"".join(column["codes"].take(pa.array(base)).to_pylist()), np.uint8).reshape(len(base), -1)
-            norms, floors = np.ascontiguousarray(blob[:, -8:]).view(F32).T
-            for a, b, c in found_among(model.books, held.units(), held.cosines, query, base, blob[:, :-8], norms, floors if near else None, at_least, SHORTLIST, k + 1):
-                out[0].append(n[a])
-                out[1].append(n[b])
-                out[2].append(c)
-        arrays = [pa.array(np.concatenate(o) if o else [], t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))]
-        return pa.Table.from_arrays(arrays, names=["n", "m", "c"])
+        return answers(shared.value, part, at_least, k + 1)
 
     tasks = placed.select("n", "dim", "vec", "cells", "codes").mapInArrow(route, "task bigint, role tinyint, n bigint, dim int, vec binary, codes binary")
     found = tasks.repartition(int(parts), "task").groupBy("task").applyInArrow(ask, "n bigint, m bigint, c double")
