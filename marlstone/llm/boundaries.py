@@ -114,16 +114,17 @@ def piece_column(text: Column, tokens: Column, budget: int, overlap: int) -> Col
 def split_oversized(frame: DataFrame, key: str, text: str, budget: int, overlap: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per piece: key, piece_index, pieces, start_char, end_char, tokens, the columns of `keep`, content.
 
-    Rows with the same key are taken as one row. A null text gives no piece, an empty text one empty piece. Other
+    Rows with the same key are taken as one row, the same one in every attempt. A null text gives no piece, an empty text one empty piece. Other
     columns than those named are dropped, whatever they are called. The key is not null; rows without one are dropped.
     """
     sized = frame.select(F.col(key).alias("key"), F.col(text).alias("text"), F.struct(F.lit(0), *keep).alias("kept")).where(
         F.col("key").isNotNull() & F.col("text").isNotNull()
     )
-    counted = sized.withColumn("n", token_count(F.col("text")))
-    short = counted.where(F.col("n") <= budget).dropDuplicates(["key"])
-    long = counted.where(F.col("n") > budget).dropDuplicates(["key"]).repartition(F.col("key"))
-    cut = short.unionByName(long).withColumn("pieces", piece_column(F.col("text"), F.col("n"), budget, overlap))
+    # Texts are cut where they are read, in one pass. Of rows with the same key one is taken by hash; a column that the caller
+    # doesn't ask for, such as the text, is then in no shuffle.
+    measured = sized.withColumn("n", token_count(F.col("text"))).withColumn("pieces", piece_column(F.col("text"), F.col("n"), budget, overlap))
+    hashed = measured.withColumn("h", F.xxhash64("text", "kept"))
+    cut = hashed.groupBy("key").agg(*[F.min_by(c, F.col("h")).alias(c) for c in ("text", "kept", "pieces")])
     return cut.select("key", "text", "kept", F.size("pieces").alias("count"), F.posexplode("pieces")).select(
         F.col("key").alias(key),
         F.col("pos").alias("piece_index"),

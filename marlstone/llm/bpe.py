@@ -1,15 +1,17 @@
-"""Byte-level BPE by replaying the merges over many words at once.
+"""Byte-level BPE by replaying the merges over the distinct words of the corpus.
 
-A task collects the distinct words of its part of the corpus and keeps an inverted index from each pair of neighbouring
-tokens to the positions at which it stands. Merges are applied in the order of their rank; each touches only the positions
-that the index names and the neighbours of these. A word is encoded once per task, however often it occurs, and no text
-is shuffled.
+The distinct words of all texts are counted in Spark. The most frequent ones, a bounded number, are spread over partitions;
+each keeps an inverted index from a pair of neighbouring tokens to the positions at which it stands in its words. Merges are
+applied in the order of their rank; each touches only the positions that the index names and the neighbours of these. What
+comes out is the dictionary of the corpus. Words beyond its bound, each in few texts, are replayed in the same way where
+they stand, all words of a segment of texts together. Texts are not shuffled, and the bound changes no result.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,12 +19,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.tables import cut
+
 #: The published pattern that splits text into words before any merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 FOLDER = "/opt/tokenizers"
 NAME = "byte_bpe_50k"
+#: Words of the corpus dictionary, at most; about 3 MB to every executor.
+DICTIONARY = 50_000
 #: Words kept by a task. Beyond it the store is emptied; that costs time and changes no result.
 WORDS_KEPT = 1_000_000
+#: Characters of the texts whose words are replayed together.
+SEGMENT = 16_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -101,45 +109,114 @@ class Replay:
         return [[t for t in token[x:y] if t >= 0] for x, y in spans]
 
 
-def encode_texts(replay: Replay, split, known: dict[str, list[int]], texts: list[str | None]) -> tuple[list[int], list[int]]:
-    """Ids of all texts one after another, and the offset at which each text begins. `known` is kept between calls."""
-    if len(known) > WORDS_KEPT:
-        known.clear()
-    words = [split(t) if t else () for t in texts]
-    fresh = list({w for ws in words for w in ws if w not in known})
-    known.update(zip(fresh, replay.encode(fresh)))
-    flat: list[int] = []
-    offsets = [0]
-    for ws in words:
-        for w in ws:
-            flat += known[w]
-        offsets.append(len(flat))
-    return flat, offsets
+class Encoder:
+    """Encodes texts of a task. shared is the dictionary of the corpus; words not in it are replayed a segment at a time."""
+
+    def __init__(self, path: str, shared: dict[str, list[int]] | None = None):
+        self.replay, self.split = Replay(path), regex.compile(PATTERN).findall
+        self.shared, self.known = shared or {}, {}
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Replays the words of these texts that are new, all together."""
+        if len(self.known) > WORDS_KEPT:
+            self.known.clear()
+        known, shared = self.known, self.shared
+        fresh = {w for words in texts for w in words if w not in known}
+        mine = sorted(w for w in fresh if w not in shared)
+        self.known.update((w, shared[w]) for w in fresh if w in shared)
+        self.known.update(zip(mine, self.replay.encode(mine)))
+
+    def encode(self, texts: list[list[str]]) -> tuple[list[int], list[int]]:
+        """(ids of all texts one after another, the offset at which each text begins), of texts as words that were learned."""
+        flat: list[int] = []
+        offsets, known = [0], self.known
+        for words in texts:
+            for w in words:
+                flat += known[w]
+            offsets.append(len(flat))
+        return flat, offsets
+
+    def batches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], list[int]]]:
+        """Each batch with the ids of its last column."""
+        held: list[tuple[pa.RecordBatch, list[list[str]]]] = []
+        size = 0
+        for batch in batches:
+            texts = batch.columns[-1].to_pylist()
+            held.append((batch, [self.split(t) if t else [] for t in texts]))
+            size += sum(len(t) for t in texts if t)
+            if size >= SEGMENT:
+                yield from self._segment(held)
+                held, size = [], 0
+        yield from self._segment(held)
 
+    def _segment(self, held: list[tuple[pa.RecordBatch, list[list[str]]]]) -> Iterator[tuple[pa.RecordBatch, list[int], list[int]]]:
+        self.learn([words for _, texts in held for words in texts])
+        for batch, texts in held:
+            yield batch, *self.encode(texts)
+
+
+def word_counts(frame: DataFrame, text: str) -> DataFrame:
+    """(word, n) of all texts. Each task adds up its own first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, total = regex.compile(PATTERN).findall, Counter()
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["word", "n"])
 
-def _batches(path: str, counts_only: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay, split, known = Replay(path), regex.compile(PATTERN).findall, {}
         for batch in batches:
-            flat, offsets = encode_texts(replay, split, known, batch.columns[-1].to_pylist())
-            if counts_only:
-                made = pa.array([b - a for a, b in zip(offsets, offsets[1:])], pa.int64())
-                names = [*batch.schema.names[:-1], "n_ids"]
-            else:
-                made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-                names = [*batch.schema.names[:-1], "ids"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=names)
+            for t in batch.columns[0].to_pylist():
+                if t:
+                    total.update(split(t))
+            if len(total) > WORDS_KEPT:
+                yield made()
+                total.clear()
+        yield made()
+
+    return frame.select(F.col(text).alias("text")).where("text <> ''").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def dictionary(frame: DataFrame, text: str, path: str, most: int = DICTIONARY) -> dict[str, list[int]]:
+    """The ids of the most frequent words of all texts, at most so many, replayed by partitions."""
+    counts = cut(word_counts(frame, text))
+    level = F.floor(4 * F.log2("n"))
+    levels = sorted(((r["level"], r["words"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()), reverse=True)  # 4 rows for each doubling
+    least, held = None, 0
+    for at, words in levels:
+        held += words
+        if held > most:
+            break
+        least = at
+    if least is None:
+        return {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = [w for batch in batches for w in batch.columns[0].to_pylist()]
+        ids = Replay(path).encode(words) if words else []
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
-    return run
+    frequent = counts.where(level >= least).select("word").repartition(max(1, -(-most // 10_000)), "word")
+    return {r["word"]: list(r["ids"]) for r in frequent.mapInArrow(run, "word string, ids array<int>").collect()}  # `most` rows
 
 
-def encode(frame: DataFrame, keep: tuple[str, ...], text: str, name: str = NAME, folder: str = FOLDER, counts_only: bool = False) -> DataFrame:
+def encode(frame: DataFrame, keep: tuple[str, ...], text: str, name: str = NAME, folder: str = FOLDER, counts_only: bool = False, most: int = DICTIONARY) -> DataFrame:
     """The columns of `keep`, and ids ARRAY<INT> (or only n_ids BIGINT) of the text. No special tokens.
 
     A null text and an empty one both give an empty array (0). Rows are neither dropped nor merged; other columns than
-    those of `keep` are dropped. The file must be readable at the same path on every executor.
+    those of `keep` are dropped. The file must be readable at the same path on every executor. `most` bounds the dictionary
+    of the corpus; with 0 every task replays all its words.
     """
+    path = f"{folder}/{name}.json"
+    shared = frame.sparkSession.sparkContext.broadcast(dictionary(frame, text, path, most) if most else {})  # at most `most` words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, flat, offsets in Encoder(path, shared.value).batches(batches):
+            if counts_only:
+                made = pa.array([b - a for a, b in zip(offsets, offsets[1:])], pa.int64())
+            else:
+                made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], "n_ids" if counts_only else "ids"])
+
     source = frame.select(*keep, F.col(text).alias("text to encode"))
     kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    last = "n_ids bigint" if counts_only else "ids array<int>"
-    return source.mapInArrow(_batches(f"{folder}/{name}.json", counts_only), f"{kinds}, {last}")
+    return source.mapInArrow(run, f"{kinds}, {'n_ids bigint' if counts_only else 'ids array<int>'}")

@@ -11,9 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.tables import cut
@@ -21,6 +22,8 @@ from marlstone.tables import cut
 #: Bits kept of each minimum; lanes of four in a word of 64.
 BITS = 4
 LANES = 64 // BITS
+#: Classes of a band that are joined directly, at most. Bands of more are compared by signatures, in blocks of as many.
+HOT = 4_000
 _words = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -111,28 +114,75 @@ def estimate(equal: Column, lanes: int) -> Column:
     return (equal / F.lit(float(lanes)) - chance) / (1 - chance)
 
 
-def class_pairs(classes: DataFrame, sketch: Sketch, similarity: float) -> DataFrame:
-    """(a, b, jaccard): pairs of classes, a < b, of at least the similarity. classes has class and shingles, once each."""
+def likely_within(part: pa.Table, lanes: int, similarity: float, least: float) -> pa.Table:
+    """(a, b): pairs of ids of one block, or across the two of a part, whose estimate reaches `least`, by bit counts of packed lanes."""
+    part = part.combine_chunks()
+    ids, sizes, side = (part.column(c).to_numpy() for c in ("id", "n", "side"))
+    words = np.stack([np.asarray(p, np.int64) for p in part.column("packed").to_pylist()]).view(np.uint64)
+    left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
+    enough = int(np.ceil(lanes * (least * (1 - 2.0**-BITS) + 2.0**-BITS) - 1e-9))
+    ones, out = np.uint64(0x1111111111111111), []
+    for i in range(0, len(left), 16):
+        x = left[i : i + 16]
+        unlike = np.zeros((len(x), len(right)), np.int64)
+        for w in range(words.shape[1]):
+            d = words[x, w][:, None] ^ words[right, w][None, :]
+            d |= d >> np.uint64(1)
+            d |= d >> np.uint64(2)
+            unlike += np.bitwise_count(d & ones)
+        near = np.minimum(sizes[x][:, None], sizes[right][None, :]) >= similarity * np.maximum(sizes[x][:, None], sizes[right][None, :])
+        a, b = np.nonzero((lanes - unlike >= enough) & near)
+        out.append(np.stack([ids[x[a]], ids[right[b]]]))
+    pairs = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+    pairs = pairs[:, pairs[0] != pairs[1]]
+    return pa.table({"a": np.minimum(*pairs), "b": np.maximum(*pairs)})
+
+
+def hot_candidates(hot: DataFrame, packed: DataFrame, sketch: Sketch, similarity: float, least: float, block: int) -> DataFrame:
+    """(a, b) of bands of many classes: each pair of blocks of a band is a task, and only likely pairs leave it."""
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    placed = hot.join(packed, "id").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    # 0 within a block, -1 and 1 in a pair of blocks.
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), -1).otherwise(1).cast("int")
+    tasks = placed.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "n", "packed", side.alias("side"))
+    return tasks.groupBy("band", "i", "j").applyInArrow(lambda part: likely_within(part, sketch.size, similarity, least), "a bigint, b bigint")
+
+
+def class_pairs(classes: DataFrame, sketch: Sketch, similarity: float, hot: int = HOT) -> DataFrame:
+    """(a, b, jaccard): pairs of classes, a < b, of at least the similarity. classes has class and shingles, once each.
+
+    Classes are numbered, so that bands and candidates are numbers. Bands of one class are dropped before the join; those of
+    more than `hot` are compared in blocks, whole.
+    """
 
     @F.pandas_udf("packed array<bigint>, keys array<bigint>")
     def signatures(sets: pd.Series) -> pd.DataFrame:
         rows = [sketch.minima(np.asarray(s, dtype=np.int64).view(np.uint64)) for s in sets]
         return pd.DataFrame({"packed": [sketch.pack(m).view(np.int64) for m in rows], "keys": [sketch.keys(m).view(np.int64) for m in rows]})
 
-    signed = cut(classes.select("class", F.size("shingles").alias("n"), signatures("shingles").alias("s")).select("class", "n", "s.packed", "s.keys"))
-    bands = signed.select("class", "n", F.explode("keys").alias("band"))
-    left, right = bands.select("band", F.col("class").alias("a"), F.col("n").alias("na")), bands.select("band", F.col("class").alias("b"), F.col("n").alias("nb"))
+    made = classes.select("class", "shingles", F.size("shingles").alias("n"), signatures("shingles").alias("s"))
+    signed = cut(made.select(F.monotonically_increasing_id().alias("id"), "class", "shingles", "n", "s.packed", "s.keys"))
+    bands = signed.select("id", "n", F.explode("keys").alias("band"))
+    shared = cut(bands.withColumn("m", F.count("*").over(Window.partitionBy("band"))).where("m > 1"))
+    few = shared.where(F.col("m") <= hot)
+    left, right = few.select("band", F.col("id").alias("a"), F.col("n").alias("na")), few.select("band", F.col("id").alias("b"), F.col("n").alias("nb"))
     near = (F.col("na") >= F.col("nb") * similarity) & (F.col("nb") >= F.col("na") * similarity)
-    candidates = left.join(right, "band").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     # Estimates stray by 1 / (2 sqrt(lanes)) at most; four times that is left as slack, for the exact check to decide.
     slack = 4 * 0.5 / sketch.size**0.5 / (1 - 2.0**-BITS)
-    packed = signed.select("class", "packed")
+    candidates = left.join(right, "band").where((F.col("a") < F.col("b")) & near).select("a", "b")
+    packed = signed.select("id", "packed")
+    many = shared.where(F.col("m") > hot)
+    if not many.isEmpty():
+        candidates = candidates.unionByName(hot_candidates(many, packed, sketch, similarity, similarity - slack, hot))
+    candidates = candidates.distinct()
     judged = candidates.join(packed.toDF("a", "pa"), "a").join(packed.toDF("b", "pb"), "b")
     likely = judged.where(estimate(agreeing(F.col("pa"), F.col("pb"), sketch.size), sketch.size) >= similarity - slack).select("a", "b")
-    sets = classes.select("class", "shingles")
-    both = likely.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    sets = signed.select("id", "class", "shingles")
+    both = likely.join(sets.toDF("a", "ca", "sa"), "a").join(sets.toDF("b", "cb", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")).where(F.col("jaccard") >= similarity)
+    found = both.select("ca", "cb", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")).where(F.col("jaccard") >= similarity)
+    return found.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "jaccard")
 
 
 def components(edges: DataFrame) -> DataFrame:

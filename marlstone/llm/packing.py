@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.tokens import token_count
 from marlstone.llm.boundaries import piece_column
+from marlstone.tables import cut
 
 #: Containers that one group fills, about. Groups follow the total size, so that no group grows with the data.
 CONTAINERS_A_GROUP = 500
@@ -93,7 +94,7 @@ def best_two_fit(sizes: list[int], capacity: int) -> list[int]:
 def pack(frame: DataFrame, key: str, text: str, capacity: int, per_group: int = CONTAINERS_A_GROUP) -> DataFrame:
     """(key, piece_index, pieces, start_char, end_char, tokens, container).
 
-    Rows with the same key are one item; a row without key or text is none. An empty text has size 0 and still gets a
+    Rows with the same key are one item, of differing texts one by hash; a row without key or text is none. An empty text has size 0 and still gets a
     container. A text above the capacity is cut at natural boundaries, without overlap, and its pieces are packed. Other
     columns play no part. An empty table gives no rows.
     """
@@ -101,10 +102,12 @@ def pack(frame: DataFrame, key: str, text: str, capacity: int, per_group: int =
         F.col("key").isNotNull() & F.col("text").isNotNull()
     )
     # Only positions and sizes are kept of the texts, before anything is shuffled.
-    measured = sized.select("key", piece_column(F.col("text"), F.col("n"), capacity, 0).alias("pieces")).dropDuplicates(["key"])
+    measured = sized.select("key", piece_column(F.col("text"), F.col("n"), capacity, 0).alias("pieces"), F.xxhash64("text").alias("h"))
+    measured = measured.groupBy("key").agg(F.min_by("pieces", "h").alias("pieces"))
     items = measured.select("key", F.size("pieces").alias("pieces"), F.posexplode("pieces").alias("pos", "piece")).select(
         "key", "pos", "pieces", "piece.start", "piece.stop", "piece.tokens"
     )
+    items = cut(items)  # used for their total, then packed: texts are read and cut once
     total = items.agg(F.sum("tokens")).first()[0] or 0
     groups = max(1, round(total / (capacity * per_group)))
     schema = "key string, piece_index int, pieces int, start_char bigint, end_char bigint, tokens bigint, container string"

@@ -118,11 +118,12 @@ def site(url) -> Column:
 
 @query
 def p5_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """The top-level blocks of stored trees that are furniture, why, and on how many pages of the site they recur."""
+    """The top-level blocks of stored trees that are furniture, why, on how many articles of the site they recur, and the odds."""
     host = site(F.col("raw_source"))
     # Raw sources have no address; they belong to their collection.
     host = F.when(host != "", host).otherwise(F.lower(F.trim("source")))
-    return furniture.tree_furniture(table(spark, folder, "documents"), "doc_id", "doc_json", host, F.lower("content_hash"))
+    rendered = ~F.col("source_format").eqNullSafe("Markdown")
+    return furniture.tree_furniture(table(spark, folder, "documents"), "doc_id", "doc_json", host, F.lower("content_hash"), rendered)
 
 
 @query

@@ -228,6 +228,21 @@ def test_neardup(spark):
     assert neardup.Groups(frame.limit(0), "id", "body", neardup.Sketch(), 0.8).groups().count() == 0
 
 
+def test_hot_bands(spark):
+    """Bands of many classes give the same pairs in blocks as joined directly."""
+    rng, sketch = np.random.default_rng(8), neardup.Sketch(shingle=3)
+    common = rng.integers(0, 2**62, 40)
+    rows = []
+    for i in range(120):
+        own = rng.integers(0, 2**62, 20 + i % 7 * 10)
+        rows.append((bytes([i]), sorted({int(x) for x in (*common[: 10 + i % 31], *own)})))
+    rows += [(b"z" + bytes([i]), rows[i][1][:-1] + [5]) for i in range(30)]
+    frame = spark.createDataFrame(rows, "class binary, shingles array<bigint>")
+    plain = {(bytes(r["a"]), bytes(r["b"])) for r in neardup.class_pairs(frame, sketch, 0.5).collect()}
+    hot = {(bytes(r["a"]), bytes(r["b"])) for r in neardup.class_pairs(frame, sketch, 0.5, hot=7).collect()}
+    assert plain == hot and len(plain) >= 30
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]
@@ -258,58 +273,89 @@ def tree(*blocks):
     return json.dumps({"meta": {}, "body": [{"block": one(b), "prov": {}} for b in blocks]})
 
 
-def test_furniture(spark):
-    menu = ("list", [("Home", "https://a.test/1"), ("Blog", "https://a.test/2"), ("Docs", "https://a.test/3")])
-    strip = ("Paragraph", "Altra · roba · qui")
-    cookie = ("Paragraph", "We use cookies to keep this site running to measure traffic. Accept all")
-    article = [("Heading", "Skip to content"), ("Paragraph", "The footer lists the copyright year."), ("Paragraph", "See the table.")]
-    rows = [(i, tree(menu, strip, *article, *([cookie] if i == 0 else [])), "a.test") for i in range(4)]
-    rows += [(10, tree(strip, *article), "b.test"), (11, None, "b.test"), (12, "{cut", "b.test"), (13, '{"body": []}', None), (0, rows[0][1], "a.test")]
-    frame = clashing(spark.createDataFrame(rows, "id int, doc string, site string"))
-    made = {(r["id"], r["block_index"]): r["reason"] for r in furniture.tree_furniture(frame, "id", "doc", F.col("site")).collect()}
-    assert {k for k, v in made.items() if v == "recurs"} == {(i, 1) for i in range(4)}
-    assert {k for k, v in made.items() if v == "menu"} == {(i, 0) for i in range(4)} and made[0, 5] == "consent" and len(made) == 9
-    assert furniture.tree_furniture(frame.limit(0), "id", "doc", F.col("site")).count() == 0
-    page = "<nav>n</nav><div><p>Altra</p><p>roba</p><p>qui</p></div><main><p>Text {} of the page.</p><p>© 2020 X. All rights reserved.</p></main>"
-    pages = spark.createDataFrame([(i, page.format(i), "a") for i in range(4)] + [(9, None, "a"), (8, "", "a")], "id int, body string, site string")
-    assert [r["main"] for r in furniture.main_bodies(pages, "id", "body", F.col("site")).orderBy("id").collect()] == [f"Text {i} of the page." for i in range(4)] + ["", None]
-
-
-def test_furniture_of_any_wording(spark):
-    values, version = ("Paragraph", "We value your choices. Accept all."), ("Paragraph", "Version 3 of the site")
-    menu = ("list", [("Altra", "https://a.test/1"), ("Roba", "https://b.test/2"), ("Qui", "https://c.test/3")])
+WORDS = [a + b + c for a in "ba ce di fo gu la me ni po ru sa te vi".split() for b in "lm nd rk st x".split() for c in "a e i o u an er is om".split()]
 
-    def page(i):
-        said = [("Paragraph", f"Text {'abcdef'[i] * 5} of this page."), ("Paragraph", f"More {'ghijkl'[i] * 5} of it.")]
-        short = ("Paragraph", "See the table.")
-        return tree(values, menu, ("Heading", f"Title {'uvwxyz'[i] * 3}"), said[0], *([short] if i < 4 else []), said[1], version)
 
-    # A sentence within articles stays however often it recurs, and what only copies of one article share.
-    rows = [(i, page(i), "a.test") for i in range(6)] + [(10 + i, page(5), "b.test") for i in range(6)]
-    frame = spark.createDataFrame(rows, "id int, doc string, site string")
-    made = [(r["id"], r["block_index"], r["reason"], r["pages"]) for r in furniture.tree_furniture(frame, "id", "doc", F.col("site")).collect()]
-    assert sorted(made) == [(i, b, "recurs", 6) for i in range(6) for b in (0, 1, 6 if i < 4 else 5)]
+def article(i, n=4):
+    """Paragraphs that no other page has, with what the site's pages say in theirs as well."""
+    rng = random.Random(i)
+    said = [("Paragraph", " ".join(rng.choice(WORDS) for _ in range(12)) + f" {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}.") for _ in range(n)]
+    return [("Heading", f"{rng.choice(WORDS)} {rng.choice(WORDS)} {i}x{rng.randrange(10**6)}"), *said[:2], ("Paragraph", "See the table."), *said[2:]]
+
+
+def furniture_in(spark, rows, **more):
+    frame = clashing(spark.createDataFrame(rows, "id int, doc string, site string, sum string, made boolean"))
+    made = furniture.tree_furniture(frame, "id", "doc", F.col("site"), F.col("sum"), F.col("made")).collect()
+    assert all(r["score"] is not None and r["reason"] in ("recurs", "entries", "form", "alike") for r in made)
+    return {(int(r["id"]), r["block_index"]): (r["reason"], r["pages"]) for r in made}
+
+
+def test_furniture(spark):
+    """Wordings and a language that no table has."""
+    menu = ("list", [("Altra", "https://a.test/1"), ("Roba", "https://b.test/2"), ("Qui", "https://c.test/3")])
+    notice, foot = ("Paragraph", "Wir verwenden Cookies, um Inhalte zu zeigen. Einverstanden"), ("Paragraph", "Vers. 3 del sito, tutti i diritti")
+    rows = []
+    for i in range(40):
+        rows.append((i, tree(*([notice] if i % 2 else []), menu, *article(i), foot), "a.test", f"s{i}", True))
+    for i in range(100, 140):
+        rows.append((i, tree(*article(i)), "writers", f"s{i}", False))
+    false = ["Aspirin is a trademark of Bayer in many countries.", "Printed from woodblocks in 868, the scroll is dated.", "Related: the theorem also holds for rings."]
+    rows += [(200 + i, tree(*article(200 + i)[:2], ("Paragraph", f), *article(200 + i)[2:]), "a.test", f"t{i}", True) for i, f in enumerate(false)]
+    rows += [(300, None, "a.test", None, True), (301, "{cut", "a.test", None, True), (302, '{"body": []}', None, None, None), (0, rows[0][1], "a.test", "s0", True)]
+    made = furniture_in(spark, rows)
+    expected = {(i, b): 20 if i % 2 and b == 0 else 40 for i in range(40) for b in ([0, 1, 8] if i % 2 else [0, 7])}
+    assert {k: p for k, (r, p) in made.items() if r == "recurs"} == expected
+    assert set(made) == set(expected)
+    assert furniture_in(spark, rows[:1]) == {}
+
+
+def test_menus_of_changing_entries(spark):
+    """A menu that is never the same twice is told by its entries; a list of an article with one of its words stays."""
+    entries, rows = "Altra Roba Qui Dove Quando Perch Ovunque Sempre".split(), []
+    for i in range(48):
+        rng = random.Random(i)
+        some = rng.sample(entries, 5)
+        rows.append((i, tree(("Paragraph", " · ".join(some)), *article(i)), "a.test", f"s{i}", True))
+        rows.append((100 + i, tree(*article(100 + i)), "writers", f"s{100 + i}", False))
+    rows.append((900, tree(*article(900)[:3], ("Paragraph", "balma cendo · Altra · dirker foxan"), *article(900)[3:]), "a.test", "s900", True))
+    made = furniture_in(spark, rows)
+    assert set(made) == {(i, 0) for i in range(48)} and {r for r, _ in made.values()} <= {"recurs", "entries", "form"}
 
 
 def test_templates_of_a_large_host(spark):
-    strip = ("Paragraph", "Altra · roba · qui")
-    word = "".join  # numbers are masked
-    rows = [(i, tree(("Paragraph", f"Text {word(chr(97 + int(c)) for c in str(i))}."), *([strip] if i < 3 else [])), "a.test") for i in range(2000)]
-    frame = spark.createDataFrame(rows, "id int, doc string, site string")
-    assert {(r["id"], r["block_index"]) for r in furniture.tree_furniture(frame, "id", "doc", F.col("site")).collect()} == {(0, 1), (1, 1), (2, 1)}
+    foot = ("Paragraph", "Altra roba qui, dal sito")
+    rows = [(i, tree(*article(i), *([foot] if i % 150 == 7 else [])), "a.test", f"s{i}", i % 2 == 1) for i in range(1500)]
+    made = furniture_in(spark, rows)
+    assert {k for k in made} == {(i, 6) for i in range(1500) if i % 150 == 7}
 
 
 def test_copies_are_one_page(spark):
-    strip = ("Paragraph", "Altra · roba · qui")
-    rows = [(i, tree(("Paragraph", "Text."), strip), "a.test", "A") for i in range(4)] + [(10 + i, tree(strip), "b.test", f"B{i}") for i in range(3)]
-    frame = spark.createDataFrame(rows, "id int, doc string, site string, sum string")
-    made = furniture.tree_furniture(frame, "id", "doc", F.col("site"), F.col("sum")).collect()
-    assert sorted((r["id"], r["block_index"], r["pages"]) for r in made) == [(10 + i, 0, 3) for i in range(3)]
-    page = "<main><p>Text.</p><ul><li>altra cosa</li><li>roba buona</li><li>qui vicino</li></ul></main>"
-    pages = spark.createDataFrame([(i, page, "a", f"u{i}") for i in range(4)] + [(10 + i, page + " " * i, "b", "u") for i in range(4)], "id int, body string, site string, url string")
+    foot = ("Paragraph", "Altra roba qui, dal sito")
+    rows = [(i, tree(*article(i)), "b.test", f"s{i}", i % 2 == 0) for i in range(40)]
+    rows += [(100 + i, tree(*article(100), foot), "a.test", f"c{i}", True) for i in range(30)]
+    assert furniture_in(spark, rows) == {}
+    page = "<main><h1>Head</h1><p>Text.</p><p>More.</p><ul><li>altra cosa<li>roba buona<li>qui vicino</ul></main>"
+    pages = spark.createDataFrame([(i, page + " " * i, "b", "u") for i in range(9)], "id int, body string, site string, url string")
     assert all("roba buona" in r["main"] for r in furniture.main_bodies(pages, "id", "body", F.col("site"), F.col("url")).collect())
 
 
+def test_main_bodies(spark):
+    rng = random.Random(2)
+
+    def page(i):
+        said = [" ".join(rng.choice(WORDS) for _ in range(12)) for _ in range(3)]
+        return said, f"<nav>n</nav><div><section><p>Altra roba, accettate {i}</p></section><h1>{said[0][:20]} {i}</h1><p>{said[0]}<p>{said[1]}<p>{said[2]}</div><div>Dal sito di ieri, vers. {i}</div>"
+
+    made = [page(i) for i in range(30)]
+    rows = [(i, b, "a", f"u{i}") for i, (_, b) in enumerate(made)] + [(90, None, "a", None), (91, "", "a", None), (3, made[3][1], "a", "u3")]
+    frame = clashing(spark.createDataFrame(rows, "id int, html string, site string, url string"))
+    got = {r["id"]: r["main"] for r in furniture.main_bodies(frame, "id", "html", F.col("site"), F.col("url")).collect()}
+    assert got[90] is None and got[91] == "" and len(got) == 32
+    for i, (said, _) in enumerate(made):
+        assert all(x in got[i] for x in said) and "roba" not in got[i] and "ieri" not in got[i]
+    assert furniture.main_bodies(frame.limit(0), "id", "html", F.col("site")).count() == 0
+
+
 # 6
 
 
