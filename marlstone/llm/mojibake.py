@@ -1,9 +1,9 @@
 """Text that went through a wrong character decoding: found and, where possible, restored.
 
 Adjacent character pairs of the whole corpus are counted once, over an alphabet of fixed size, and scored by their mutual
-information, damped so that rare pairs count as improbable. Words that are themselves valid UTF-8 in a wrong code are left
-out of the counts, so that a large garbled source doesn't make its own pairs common. In each text the maximum-scoring segments of improbable pairs
-are isolated. Only the words they touch are tested: written back in the wrong code, read in the right one. A reading as
+information, damped so that rare pairs count as improbable. Words that are themselves valid UTF-8 in a wrong code, or hold
+replacement or control characters, are left out of the counts, so that a large garbled source doesn't make its own pairs
+common. In each text the maximum-scoring segments of improbable pairs are isolated; nothing outside of them is looked at. Only the words they touch are tested: written back in the wrong code, read in the right one. A reading as
 UTF-8 or Shift-JIS proves itself by its validity; one in another single-byte code must be far likelier by the pair counts.
 """
 
@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -131,7 +133,7 @@ def count_pairs(frame: DataFrame, text: str) -> DataFrame:
                 if len(odd) > 500_000:
                     odd.clear()
                 for w in {w for w in _token.findall(joined) if not w.isascii()} - odd.keys():
-                    odd[w] = misread(w) > 0
+                    odd[w] = bool(_odd.search(w)) or misread(w) > 0
                 c = classes_of(_foreign_token.sub(lambda m: "" if odd[m[0]] else m[0], joined))
                 total += np.bincount(c[:-1] * size + c[1:], minlength=pairs)
                 seen = [w for w in joined.split() if not w.isascii()]
@@ -151,11 +153,10 @@ def count_pairs(frame: DataFrame, text: str) -> DataFrame:
 class Pairs:
     """Counts of all pairs, and of words in a sketch; both sizes are fixed by the alphabet."""
 
-    def __init__(self, rows: list[tuple[int, int]]):
+    def __init__(self, cells: np.ndarray, counts: np.ndarray):
         self.size = folding()[1]
         both = np.zeros(self.size * self.size + WORDS, np.float32)
-        for p, n in rows:
-            both[p] = n
+        both[cells] = counts
         self.n, self.words = both[: self.size * self.size], both[self.size * self.size :]
         self.total = float(max(1.0, self.n.sum(dtype=np.float64)))
         grid = self.n.reshape(self.size, self.size)
@@ -208,8 +209,12 @@ _neighbours = re.compile(r"[^\x00-\x7f]{2}")
 _rare_mark = re.compile("[\u0329-\u036f]")
 _unlikely = re.compile("[\x80-\x9f\ufffd\u0250-\u036f\u0530-\u1dff]")
 _odd = re.compile("[\x80-\x9f\ufffd]")
-#: What is left of UTF-8 where control characters were dropped.
-_lost = re.compile("\u00e2\u00a6|(?<=[ \n])\u00f0(?=[ \n])")
+#: The first byte of a character of four bytes that stands outside of words, without the rest.
+_alone = re.compile(r"(?<![^\W\d_])\u00f0(?![^\W\d_])")
+#: A character of three bytes of which one is missing.
+_short = re.compile(rb"[\xe0-\xef][\x80-\xbf](?![\x80-\xbf])")
+#: Codes whose control characters are dropped on the way.
+DROPPING = ("latin-1", "cp1252", "iso8859_2")
 #: What may stand for a letter in another code, letters apart.
 _marks = frozenset("\u201c\u201d\u2018\u2019\u201e\u201a\u2026\u2013\u2014\u00ab\u00bb\u00b0\u00b5\u20ac\u00a3\u00a7\u00b6")
 _trim = re.compile(r"^[!-@\[-`{-~]+|[!-@\[-`{-~]+$")
@@ -230,6 +235,8 @@ class Restorer:
             return self.known[word]
         several = self._several_bytes(word, depth)
         found = [several] if several else self._one_byte(word)
+        if depth == 0 and not found and (less := self._dropped(word)):
+            found = [less]
         if depth == 0:
             if len(self.known) > 200_000:
                 self.known.clear()
@@ -265,6 +272,23 @@ class Restorer:
                 best = (gain, read, name)
         return best
 
+    def _dropped(self, word: str) -> tuple[float, str, str] | None:
+        """The likeliest reading as UTF-8 of which one control character was dropped."""
+        best = None
+        for wrong in DROPPING:
+            raw = to_bytes(word, wrong)
+            for m in _short.finditer(raw or b""):
+                for at in (m.start() + 1, m.end()):
+                    for b in range(0x80, 0xA0):
+                        try:
+                            read = (raw[:at] + bytes([b]) + raw[at:]).decode("utf-8")
+                        except UnicodeDecodeError:
+                            continue
+                        gain = self._gain(word, read)
+                        if gain >= GAIN and not _unlikely.search(read) and (best is None or gain > best[0]):
+                            best = (gain, read, f"utf-8 read as {wrong}, a control dropped")
+        return best
+
     def _mean(self, word: str) -> float:
         return float(np.log2(self.pairs.rates(f" {word} ")).mean())
 
@@ -307,11 +331,11 @@ def unescaped(text: str) -> str:
 
 
 def quoted_ranges(text: str, quoted: list[str] | None) -> list[tuple[int, int]]:
-    """Code spans between backticks, and wherever one of the quoted strings stands."""
-    out = [m.span() for m in re.finditer(r"`[^`\n]{1,80}`", text)]
-    for q in set(map(unescaped, quoted or ())):
-        if _foreign.search(q) and len(q) <= 80:
-            out += [m.span() for m in re.finditer(re.escape(q), text)]
+    """Code spans between backticks, and of each quoted string as many places, in order, as it is quoted."""
+    out = [m.span() for m in re.finditer(r"`[^`\n]+`", text)]
+    for q, n in Counter(map(unescaped, quoted or ())).items():
+        if _foreign.search(q):
+            out += [m.span() for m in islice(re.finditer(re.escape(q), text), n)]
     return out
 
 
@@ -330,14 +354,13 @@ def examine(text: str, restorer: Restorer, quoted: list[str] | None = None) -> t
         for part in np.split(near, np.flatnonzero(np.diff(near) > 1) + 1):
             if (score[part] > 0).any():
                 runs += [(a - 1 + int(part[0]), b + int(part[0])) for a, b in segments(score[part])]
-    odd = [m.start() for m in _odd.finditer(text)] + [m.start() for m in _lost.finditer(text)]
-    if not runs and not odd:
+    if not runs:
         return False, None, []
 
     def quoted_at(a: int, b: int) -> bool:
         return any(x <= a and b <= y for x, y in spans)
 
-    marks = sorted({*(max(0, p) for a, b in runs for p in range(a, min(b + 1, len(text))) if p >= 0 and ord(text[p]) > 127), *odd})
+    marks = sorted({p for a, b in runs for p in range(max(0, a), min(b + 1, len(text))) if ord(text[p]) > 127})
     garbled, kinds, edits, options = False, [], [], []
     done = 0
     for at in marks:
@@ -352,7 +375,7 @@ def examine(text: str, restorer: Restorer, quoted: list[str] | None = None) -> t
         inside = [i for i in range(a, b) if ord(text[i]) > 127]
         if all(quoted_at(i, i + 1) for i in inside):
             continue
-        if any(_odd.match(text, i) or _lost.match(text, i) for i in inside if not quoted_at(i, i + 1)):
+        if any(_odd.match(text, i) or _alone.match(text, i) for i in inside if not quoted_at(i, i + 1)):
             garbled = True
         options += [(x, y, found) for x, y in pieces(text, a, b, spans) if (found := restorer.reading(text[x:y]))]
     # The text as a whole decides among single-byte readings.
@@ -393,8 +416,8 @@ def restore(frame: DataFrame, key: str, text: str, quoted: Column | None = None)
     strings, as they stand in JSON, that are only quoted in the text as examples; code spans between backticks are found without it. Null and empty
     texts are not garbled. All rows are counted and tested.
     """
-    pairs = [(r["cell"], r["n"]) for r in count_pairs(frame, text).collect()]  # as many as the alphabet and the sketch have cells
-    shared = frame.sparkSession.sparkContext.broadcast(Pairs(pairs))
+    pairs = count_pairs(frame, text).toArrow()  # as many rows as the alphabet and the sketch have cells
+    shared = frame.sparkSession.sparkContext.broadcast(Pairs(pairs["cell"].to_numpy(), pairs["n"].to_numpy()))
 
     @F.pandas_udf("garbled boolean, restored string, codes array<string>")
     def test(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -217,7 +217,12 @@ def p9_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Every document: whether its text is garbled, the codes found, the restored text. Code spans of pages, which their
     text no longer marks, are read from the stored tree."""
     documents = table(spark, folder, "documents")
-    code = F.regexp_extract_all("doc_json", F.lit(r'"Code":"((?:[^"\\]|\\.){1,80})"'), F.lit(1))
+    # Escaped quotes and backslashes stand aside, so that the pattern is one class of characters, whatever the length.
+    hidden = F.replace(F.replace("doc_json", F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    code = F.transform(
+        F.regexp_extract_all(hidden, F.lit(r'"Code":"([^"]+)"'), F.lit(1)),
+        lambda c: F.replace(F.replace(c, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\")),
+    )
     return mojibake.restore(documents, "doc_id", "text", F.when(F.col("source_format") == "Html", code))
 
 
