@@ -66,12 +66,16 @@ def run(args: argparse.Namespace) -> None:
     elif args.command == "emit":
         print(library.emit(args.id, args.format))
     elif args.command == "list":
-        rows = [r.asDict() for r in library.list().collect()]
+        count = 0
+        for r in library.list().toLocalIterator():  # a partition at a time
+            if args.json:
+                print(("[" if not count else ",") + "\n  " + json.dumps(r.asDict(), ensure_ascii=False, default=str), end="")
+            else:
+                print(f"{r['document_id']}\t{r['title'] or '(untitled)'}")
+            count += 1
         if args.json:
-            show(rows)
-        for r in [] if args.json else rows:
-            print(f"{r['document_id']}\t{r['title'] or '(untitled)'}")
-        if not rows and not args.json:
+            print("\n]" if count else "[]")
+        elif not count:
             print("(no documents)")
     elif args.command == "info":
         found = library.info(args.id)

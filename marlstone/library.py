@@ -6,8 +6,10 @@ import hashlib
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone import errors
 from marlstone.emitters import html as html_emitter
@@ -19,6 +21,7 @@ from marlstone.operators import chunking, documents, retrieval
 from marlstone.operators.embedding import Embedder, check_batch, embed_table, space_of
 from marlstone.sources import files, net
 from marlstone.storage.store import Store
+from marlstone.tables import cut
 
 
 def emitter(format_: str) -> Callable[[dict], str]:
@@ -34,6 +37,9 @@ def hash_id(*parts) -> Column:
     return F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
+DERIVED = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "frontmatter", "fault", "doc_json")] + [T.StructField("chunks", documents.CHUNK)])
+
+
 class Library:
     def __init__(self, spark: SparkSession, store: Store, embedder: Embedder, budget: int = chunking.DEFAULT_BUDGET, callouts: bool = False):
         self.spark, self.store, self.embedder, self.budget, self.callouts = spark, store, embedder, budget, callouts
@@ -48,14 +54,15 @@ class Library:
     def decide(self, sources: DataFrame) -> DataFrame:
         """sources with content_hash, processing_fingerprint, document_id and decision: skip, reprocess, insert or error.
 
-        Known before anything is parsed. Of sources of equal content in one table the last by raw_source is taken.
+        Known before anything is parsed. Of sources of equal content in one table the last by raw_source is taken; which one
+        that is, hashes and names alone decide.
         """
         rows = sources.withColumn("content_hash", fn.content_hash(F.col("content"))).withColumn("processing_fingerprint", self.fingerprint(F.col("source_format")))
         fine = F.col("error").isNull() & F.col("content").isNotNull()
-        # A partial maximum: however many copies there are, no task holds them all.
-        one = F.max(F.struct("raw_source", "source_format", "content", "processing_fingerprint", "error")).alias("one")
-        single = rows.where(fine).groupBy("content_hash").agg(one).select("content_hash", "one.*")
-        rows = single.unionByName(rows.where(~fine).select(*single.columns))
+        last = rows.where(fine).groupBy("content_hash").agg(F.max(F.struct("raw_source", "source_format")).alias("last"))
+        chosen = rows.where(fine).join(last, "content_hash").where(F.struct("raw_source", "source_format").eqNullSafe(F.col("last"))).drop("last")
+        chosen = chosen.dropDuplicates(["content_hash"])  # rows alike in every column
+        rows = chosen.unionByName(rows.where(~fine).select(*chosen.columns))
         known = self.store.table("documents").select("content_hash", F.col("document_id").alias("known_id"), F.col("processing_fingerprint").alias("known_fp"))
         joined = rows.join(known, "content_hash", "left")
         decision = (
@@ -69,46 +76,47 @@ class Library:
     def ingest_table(self, sources: DataFrame, ingested_at: datetime | None = None) -> DataFrame:
         """Ingests (raw_source, source_format, content, error) and gives (raw_source, document_id, decision, error).
 
-        All is derived before anything is written. Bad documents are rows with an error and don't stop the others.
+        All is derived before anything is written, in one parse. Bad documents are rows with an error and don't stop the
+        others. The result stays on the executors, a row for each source.
         """
         at = F.lit(ingested_at or datetime.now(timezone.utc).replace(tzinfo=None))
-        decided = self.decide(sources).persist()
-        work = decided.where("decision IN ('insert', 'reprocess')")
-        parsed = work.withColumn("document", documents.parsed(F.col("content"), F.col("source_format"), callouts=self.callouts)).persist()
-        fault = F.concat(F.lit("invalid input: "), F.col("document.error"))
-        good = parsed.where("document.error IS NULL")
-        budget = self.budget
-
-        @F.pandas_udf("doc_json string, chunks array<struct<section_path: array<string>, content: string, block_type: string, sequence_index: bigint, token_count: bigint>>")
-        def derive(contents, formats, ids):
-            import pandas as pd
+        budget, callouts = self.budget, self.callouts
 
+        @F.pandas_udf(DERIVED)
+        def derive(contents: pd.Series, formats: pd.Series, ids: pd.Series) -> pd.DataFrame:
             rows = []
             for c, f, i in zip(contents, formats, ids):
-                d = documents.read(c, f)
-                rows.append((tree.dumps(d, {"id": i, "title": d["title"], "format": f, "frontmatter": d["frontmatter"] and {"yaml": d["frontmatter"]}}), chunking.chunk(d, budget)))
-            return pd.DataFrame(rows, columns=["doc_json", "chunks"])
-
-        derived = good.withColumn("d", derive("content", "source_format", "document_id")).persist()
-        docs = derived.select(
-            "document_id", F.col("raw_source").alias("source"), "source_format", F.col("document.title").alias("title"), F.col("document.frontmatter").alias("frontmatter"),
-            at.alias("ingested_at"), "content_hash", "processing_fingerprint", F.octet_length("content").cast("bigint").alias("source_len"), F.col("d.doc_json").alias("doc_json"),
+                if c is None:
+                    rows.append((None, None, None, None, None))
+                    continue
+                d = documents.read(c, f, callouts=callouts)
+                made = None, []
+                if d["error"] is None:
+                    meta = {"id": i, "title": d["title"], "format": f, "frontmatter": d["frontmatter"] and {"yaml": d["frontmatter"]}}
+                    made = tree.dumps(d, meta), chunking.chunk(d, budget)
+                rows.append((d["title"], d["frontmatter"], d["error"], *made))
+            return pd.DataFrame(rows, columns=["title", "frontmatter", "fault", "doc_json", "chunks"])
+
+        decided = self.decide(sources)
+        work = F.col("decision").isin("insert", "reprocess")
+        columns = ["raw_source", "source_format", "content_hash", "processing_fingerprint", "document_id", "decision", "error"]
+        read = derive(F.when(work, F.col("content")), "source_format", "document_id")
+        # Written once to the shared folder: the tables, the result and a repeated task all read the same rows. Contents end here.
+        derived = cut(decided.select(*columns, F.octet_length("content").cast("bigint").alias("source_len"), read.alias("d")))
+        good = derived.where(work & F.col("d.fault").isNull())
+        docs = good.select(
+            "document_id", F.col("raw_source").alias("source"), "source_format", "d.title", "d.frontmatter", at.alias("ingested_at"), "content_hash", "processing_fingerprint", "source_len", "d.doc_json"
         )
-        chunks = derived.select("document_id", "processing_fingerprint", F.inline("d.chunks"))
+        chunks = good.select("document_id", "processing_fingerprint", F.inline("d.chunks"))
         chunks = chunks.withColumn("chunk_id", hash_id(F.col("document_id"), F.col("processing_fingerprint"), F.col("sequence_index"))).drop("processing_fingerprint")
-        vectors = embed_table(chunks, "content", self.embedder).select("chunk_id", "document_id", F.lit(self.space.dimension).alias("dimension"), "vector").persist()
-        try:
-            if not docs.isEmpty():
-                self.store.replace(docs, chunks, vectors, self.space)
-            failed = parsed.where("document.error IS NOT NULL").select("raw_source", "document_id", F.lit("error").alias("decision"), fault.alias("error"))
-            done = decided.join(failed.select("document_id"), "document_id", "left_anti").select(
-                "raw_source", "document_id", "decision", F.when(F.col("decision") == "error", F.coalesce("error", F.lit("invalid input: source has no content"))).alias("error")
-            )
-            rows = done.unionByName(failed).collect()  # one small row for each source of the call
-            return self.spark.createDataFrame(rows, "raw_source string, document_id string, decision string, error string")
-        finally:
-            for f in (decided, parsed, derived, vectors):
-                f.unpersist()
+        vectors = embed_table(chunks, "content", self.embedder).select("chunk_id", "document_id", F.lit(self.space.dimension).alias("dimension"), "vector")
+        if not good.isEmpty():
+            self.store.replace(docs, chunks, vectors, self.space)
+        fault = F.when(F.col("d.fault").isNotNull(), F.concat(F.lit("invalid input: "), F.col("d.fault"))).when(
+            F.col("decision") == "error", F.coalesce("error", F.lit("invalid input: source has no content"))
+        )
+        decision = F.when(F.col("d.fault").isNotNull(), "error").otherwise(F.col("decision"))
+        return derived.select("raw_source", "document_id", decision.alias("decision"), fault.alias("error"))
 
     def _one(self, raw_source: str, format_: str, content: str) -> str:
         rows = self.spark.createDataFrame([(raw_source, format_, content, None)], "raw_source string, source_format string, content string, error string")
@@ -139,9 +147,9 @@ class Library:
     # Questions
 
     def query(self, text: str, limit: int = 10) -> DataFrame:
-        """Chunks by rising distance, with it. Limit 0 gives none and asks no embedder."""
+        """Chunks by rising distance, with it. Limit 0 and an empty or cleared index give none and ask no embedder."""
         chunks = self.store.table("chunks")
-        if limit <= 0:
+        if limit <= 0 or not self.store.open_index(self.space):
             return chunks.withColumn("distance", F.lit(0.0)).withColumn("rank", F.lit(0)).limit(0)
         vectors = self.embedder.embed([text])
         check_batch(vectors, 1, self.space.dimension)
@@ -166,6 +174,9 @@ class Library:
     def remove(self, document_id: str) -> None:
         self.store.remove(document_id)
 
+    def clear_index(self) -> None:
+        self.store.clear_index()
+
     def rebuild_index(self) -> int:
         self.store.check_space(self.space)
         return self.store.rebuild()

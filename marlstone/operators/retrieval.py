@@ -100,3 +100,18 @@ def fold_context(parts: list[tuple[int, str, str]], budget: int) -> str:
             out.append(part)
             used += cost
     return "\n".join(out)
+
+
+class NoopIndex:
+    """An index that stores nothing and finds nothing, for embedders without vectors of use."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def add(self, *_) -> None:
+        pass
+
+    remove = clear = save = load = add
+
+    def search(self, *_) -> DataFrame:
+        return self.spark.createDataFrame([], "chunk_id string, distance double, rank int")

@@ -399,7 +399,7 @@ def parse(source: str, normalize_repeated_leading_segment: bool = False, normali
     for node in tree.walk(blocks):
         node["range"] = original(node["range"])
     diagnostics += [d | {"range": original(d["range"])} for d in notes]
-    raw_html = "raw HTML is not supported in Phase 1 and was skipped"
+    raw_html = "raw HTML is left out of the tree"
     found = [("Unsupported", raw_html, s) for s in parser.skipped for s in (s, None)] + [e if isinstance(e[0], str) else ("Unsupported", raw_html, e) for e in events]
     diagnostics += [tree.diagnostic(kind, note, original(span)) for kind, note, span in found]
     title = next((tree.plain(b["content"]) for b in blocks if b["kind"] == "heading" and b["level"] == 1), None)

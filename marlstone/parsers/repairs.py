@@ -7,11 +7,13 @@ import re
 from marlstone.ir import tree
 from marlstone.parsers.offsets import OffsetMap
 
-#: Formulas are kept from the parser behind characters of a private plane, one for each.
+#: Formulas are kept from the parser behind characters of a private plane: one for each, or as many as their number needs.
 SHIELD = 0xF0000
 SHIELDS = 0xFFFD
 RESERVED = "¤"
 _shields = re.compile("[\U000f0000-\U000ffffd]")
+#: A formula, a mark that opens none, or an escape, whichever is next.
+_formula = re.compile(r"\\\[(?P<display>(?:\\[^\]]|[^\\])*?)\\\]|\$(?P<inline>(?:\\.|[^\\$])*)\$|(?P<open>\$|\\\[)|\\.", re.S)
 #: A repeated first heading counts from so many bytes on, and past a third of the input.
 REPEAT_GAP = 128
 
@@ -41,85 +43,82 @@ def frontmatter(text: str) -> tuple[str | None, int, bool]:
 
 def repeated_segment(text: str, begin: int, header: str | None) -> tuple[int, str] | None:
     """(character where the first heading stands again, signature of the segment)."""
-    heading, at = None, begin
+    first, at, size = None, begin, len(text[:begin].encode())
     for line in text[begin:].split("\n"):
-        if line.strip().startswith("#"):
-            heading = line.strip()
+        if first is None and line.strip().startswith("#"):
+            first = line.strip(), size
+        elif first and line == first[0] and size - 1 - first[1] >= REPEAT_GAP and at + len(line) < len(text):
             break
         at += len(line) + 1
-    if heading is None:
+        size += len(line.encode()) + 1
+    else:
         return None
-    # The gap is one of bytes; a place inside a character counts as its end.
-    rest, gap = at, 0
-    while gap < REPEAT_GAP and rest < len(text):
-        gap += len(text[rest].encode())
-        rest += 1
-    found = text.find(f"\n{heading}\n", rest)
-    if found < 0 or len(text[: found + 1].encode()) < len(text.encode()) // 3:
+    if size < len(text.encode()) // 3:
         return None
-    keys = [k for line in (header or "").split("\n") if ":" in line and (k := line.split(":", 1)[0].strip())]
-    return found + 1, ",".join([f"fm:{k}" for k in keys[:4]] + ["h:" + heading.lstrip("#").strip()])
+    names = [x.partition(":")[0].strip() for x in (header or "").split("\n") if ":" in x]
+    return at, ",".join([f"fm:{n}" for n in [n for n in names if n][:4]] + [f"h:{first[0].lstrip('#').strip()}"])
 
 
-def _escaped(text: str, at: int) -> bool:
-    slashes = 0
-    while at > slashes and text[at - slashes - 1] == "\\":
-        slashes += 1
-    return slashes % 2 == 1
+def _shield(number: int, width: int) -> str:
+    """The characters that stand for a formula, all of one width in a text."""
+    out = ""
+    for _ in range(width):
+        number, digit = divmod(number, SHIELDS)
+        out = chr(SHIELD + digit) + out
+    return out
 
 
-def _close(text: str, at: int, mark: str) -> int:
-    while (at := text.find(mark, at)) >= 0 and _escaped(text, at):
-        at += len(mark)
-    return at
+def _width(payloads: list[str]) -> int:
+    return 1 if len(payloads) <= SHIELDS else 2
 
 
 def shield(text: str, base: int) -> tuple[str, list[str], list[dict], OffsetMap]:
     """(text with formulas shielded, formulas, diagnostics in its bytes, map back to the bytes before). `base` is added to all."""
     edits = OffsetMap()
     if RESERVED in text or _shields.search(text):
+        # Fixed value: a text that users see.
         note = "input contains the reserved math-shielding sentinel U+00A4; math shielding disabled for this document"
         return text, [], [tree.diagnostic("Unsupported", note)], edits
-    out, payloads, notes, at, size = [], [], [], 0, base
-    for m in re.finditer(r"\$|\\\[", text):
-        i = m.start()
-        if i < at or _escaped(text, i):
-            continue
-        copied = text[at:i]
-        out.append(copied)
-        size += len(copied.encode())
-        note = None
-        if m.group() == "$":
-            close = _close(text, i + 1, "$")
-            if close < 0:
-                end, note = i + 1, "found unmatched '$' delimiter; leaving text unchanged"
-            else:
-                end = close + 1
-                if close == i + 1 or "\n" in text[i:close]:
-                    note = "skipped ambiguous inline math span during shielding"
-        else:
-            close = _close(text, i + 2, "\\]")
-            end = close + 2
-            if close < 0 or "\n\n" in text[i:close]:
-                end, note = i + 2, "found unmatched '\\\\[' delimiter; leaving text unchanged"
-        span = text[i:end]
-        if note is not None or len(payloads) >= SHIELDS:
-            out.append(span)
-            if note is not None:
-                notes.append(tree.diagnostic("Normalized", note, (size, size + len(span.encode()))))
-            size += len(span.encode())
-        else:
-            out.append(chr(SHIELD + len(payloads)))
-            payloads.append(span)
-            edits.edit(size, 4, len(span.encode()))
-            size += 4
-        at = end
-    out.append(text[at:])
+    pieces: list[tuple[str, str]] = []  # (plain, text), (formula, text) or (note, text it is about)
+    at = copied = 0
+    while m := _formula.search(text, at):
+        kind, stop, what = m.lastgroup, m.end(), None
+        if kind == "display":
+            what = "formula"
+            if "\n\n" in m.group():
+                kind, stop = "open", m.start() + 2
+        if kind == "inline":
+            what = "formula" if m.group(kind) and "\n" not in m.group(kind) else "a '$…$' that is empty or spans lines is kept as text"
+        elif kind == "open":
+            what = f"unmatched '{text[m.start() : stop]}' is kept as text"
+        if what:
+            pieces += [("plain", text[copied : m.start()]), (what, text[m.start() : stop])]
+            copied = stop
+        at = stop
+    pieces.append(("plain", text[copied:]))
+    payloads = [t for what, t in pieces if what == "formula"]
+    width, out, notes, size, number = _width(payloads), [], [], base, 0
+    for what, t in pieces:
+        length = len(t.encode())
+        if what == "formula":
+            t = _shield(number, width)
+            number += 1
+            edits.edit(size, 4 * width, length)
+            length = 4 * width
+        elif what != "plain":
+            notes.append(tree.diagnostic("Normalized", what, (size, size + length)))
+        out.append(t)
+        size += length
     return "".join(out), payloads, notes, edits
 
 
 def unshield(text: str, payloads: list[str]) -> str:
-    return _shields.sub(lambda m: payloads[ord(m.group()) - SHIELD], text) if payloads else text
+    if not payloads or not _shields.search(text):
+        return text
+    if _width(payloads) == 1:
+        return _shields.sub(lambda m: payloads[ord(m.group()) - SHIELD], text)
+    pair = re.compile(f"({_shields.pattern})({_shields.pattern})")
+    return pair.sub(lambda m: payloads[(ord(m.group(1)) - SHIELD) * SHIELDS + ord(m.group(2)) - SHIELD], text)
 
 
 def tabbed(source: str) -> tuple[str, object, object] | None:

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.emitters import html as html_emitter
 from marlstone.emitters import markdown as markdown_emitter
 from marlstone.functions import text as fn
-from marlstone.functions.tokens import PATTERN, token_count
-from marlstone.ir import check
+from marlstone.functions.tokens import PATTERN, count_tokens, token_count
+from marlstone.errors import EmbeddingSpaceMismatch, MarlstoneError
+from marlstone.ir import check, tree
+from marlstone.library import Library
 from marlstone.operators import chunking, documents, retrieval
-from marlstone.operators.embedding import HashEmbedder, embed_table
-from marlstone.parsers import html, markdown
-from marlstone.sources import net
-from marlstone.tables import table
+from marlstone.operators.embedding import EmbeddingSpace, HashEmbedder, embed_table
+from marlstone.parsers import dom, html, markdown, repairs
+from marlstone.parsers.offsets import decode_newlines
+from marlstone.sources import files, net
+from marlstone.storage.store import Store, projection_faults
+from marlstone.tables import shared_folder, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -33,6 +41,23 @@ def query(sql: str | None = None):
     return register
 
 
+def through(kind: str, make: Callable[[str], object]) -> Callable[[Column], Column]:
+    """A function of this package on texts, as a column; null stays null."""
+
+    def column(texts: Column) -> Column:
+        @F.pandas_udf(kind)
+        def run(batch: pd.Series) -> pd.Series:
+            return pd.Series([None if t is None else make(t) for t in batch], dtype=object)
+
+        return run(texts)
+
+    return column
+
+
+# White space of Python, for SQL.
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 # Functions of a text
 
 
@@ -55,20 +80,21 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", token_count(F.col("text")).alias("tokens"))
 
 
-_SENTENCES = r"""SELECT doc_id, regexp_replace(s, '^\s+|\s+$', '', 'g') AS sentence FROM
-    (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.?!])\s', '\1' || chr(1), 'g'), '\n', chr(1), 'g'), chr(1))) AS s FROM documents)
-    WHERE regexp_replace(s, '^\s+|\s+$', '', 'g') <> ''"""
+_SENTENCES = rf"""SELECT doc_id, regexp_replace(s, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS sentence FROM
+    (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.?!]){_SPACE}', '\1' || chr(1), 'g'), '\n', chr(1), 'g'), chr(1))) AS s FROM documents)
+    WHERE regexp_replace(s, '^{_SPACE}+|{_SPACE}+$', '', 'g') <> ''"""
 
 
 @query(_SENTENCES)
 def sentences(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", F.explode(fn.sentences(F.col("text"))).alias("sentence"))
+    made = table(spark, folder, "documents").select("doc_id", F.explode(through("array<string>", chunking.split_sentences)(F.col("text"))).alias("sentence"))
+    return made.where("sentence <> ''")  # a blank text is one sentence of nothing to the chunker
 
 
 @query(f"SELECT doc_id, count(*) AS sentences FROM ({_SENTENCES}) GROUP BY doc_id")
 def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
-    made = table(spark, folder, "documents").select("doc_id", F.size(fn.sentences(F.col("text"))).cast("bigint").alias("sentences"))
-    return made.where("sentences > 0")
+    count = through("bigint", lambda t: sum(map(bool, chunking.split_sentences(t))))
+    return table(spark, folder, "documents").select("doc_id", count(F.col("text")).alias("sentences")).where("sentences > 0")
 
 
 @query(
@@ -81,17 +107,23 @@ def snippets(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM documents")
 def html_escape(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", fn.html_escaped(F.col("text")).alias("escaped"))
+    return table(spark, folder, "documents").select("doc_id", through("string", html_emitter.escape)(F.col("text")).alias("escaped"))
 
 
-@query(r"SELECT fetch_id, strlen(regexp_replace(body, '\s+', '', 'g')) AS bytes FROM fetched")
+@query(rf"SELECT doc_id, strlen(regexp_replace(text, '{_SPACE}+', '', 'g')) AS bytes FROM documents")
 def text_density(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "fetched").select("fetch_id", fn.text_density(F.col("body")).alias("bytes"))
+    """Content length of texts as pages: escaped, parsed, and with chrome around that doesn't count."""
+
+    def length(text: str) -> int:
+        page = f"<nav>not counted</nav><div>{html_emitter.escape(text)}</div><footer>nor this</footer>"
+        return html.content_length(dom.parse(page).kids[1])
+
+    return table(spark, folder, "documents").select("doc_id", through("bigint", length)(F.col("text")).alias("bytes"))
 
 
-@query(r"SELECT chunk_id, CASE WHEN regexp_replace(content, '\s+', '', 'g') = '' THEN '' ELSE regexp_replace(content, '\s+', ' ', 'g') END AS content FROM chunks")
+@query(rf"SELECT chunk_id, CASE WHEN regexp_replace(content, '{_SPACE}+', '', 'g') = '' THEN '' ELSE regexp_replace(content, '{_SPACE}+', ' ', 'g') END AS content FROM chunks")
 def collapsed_whitespace(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "chunks").select("chunk_id", fn.collapsed(F.col("content")).alias("content"))
+    return table(spark, folder, "chunks").select("chunk_id", through("string", html.collapse)(F.col("content")).alias("content"))
 
 
 @query(r"SELECT chunk_id, regexp_matches(content, '[\\=^{}]') AS maths FROM chunks")
@@ -109,7 +141,8 @@ def truncated_bodies(spark: SparkSession, folder: str) -> DataFrame:
     THEN regexp_replace(text, '(?:\\r)?\\n', chr(10), 'g') ELSE text END AS decoded FROM documents"""
 )
 def escaped_newlines(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", fn.newlines_decoded(F.col("text")).alias("decoded"))
+    decode = through("string", lambda t: decode_newlines(t)[0] if repairs.is_escaped_stream(t) else t)
+    return table(spark, folder, "documents").select("doc_id", decode(F.col("text")).alias("decoded"))
 
 
 @query(
@@ -117,17 +150,36 @@ def escaped_newlines(spark: SparkSession, folder: str) -> DataFrame:
     THEN replace(regexp_extract(text, '(?ms)\A---\r*\n(.*?)^---\r*(?:\n|\z)', 1), chr(13) || chr(10), chr(10)) END AS frontmatter FROM documents"""
 )
 def frontmatter_split(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", fn.frontmatter(F.col("text")).alias("frontmatter"))
+    def fenced(text: str) -> str | None:
+        header, _, inferred = repairs.frontmatter(text)
+        return None if inferred else header
+
+    return table(spark, folder, "documents").select("doc_id", through("string", fenced)(F.col("text")).alias("frontmatter"))
+
+
+_PAIRS = r"regexp_extract(replace(text, chr(13), ''), '\A((?:[ \t]*[A-Za-z0-9_-]+:[^\n]*(?:\n|\z)){2,})', 1)"
+
+
+@query(f"SELECT doc_id, CASE WHEN starts_with(text, '---') OR {_PAIRS} = '' THEN NULL ELSE {_PAIRS} END AS header FROM documents")
+def inferred_frontmatter(spark: SparkSession, folder: str) -> DataFrame:
+    """Headers of two or more leading `key: value` lines without a fence."""
+
+    def unfenced(text: str) -> str | None:
+        header, _, inferred = repairs.frontmatter(text.replace("\r", ""))
+        return header if inferred else None
+
+    return table(spark, folder, "documents").select("doc_id", through("string", unfenced)(F.col("text")).alias("header"))
 
 
 @query(
-    """SELECT doc_id, list_min(w) AS least, list_max(w) AS most, list_min(w) >= 2 AND list_min(w) = list_max(w) AND len(w) >= 2 AS promoted FROM
-    (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: len(string_split(x, chr(9)))) AS w FROM documents)"""
+    rf"""SELECT doc_id, CASE WHEN w IS NULL OR len(w) < 2 OR len(list_filter(w, lambda v: v > 1)) < 2 THEN NULL WHEN list_min(w) = list_max(w) THEN 'table' ELSE 'generic' END AS made FROM
+    (SELECT doc_id, list_transform(string_split(replace(replace(regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)),
+    lambda x: len(string_split(x, chr(9)))) AS w FROM (SELECT doc_id, replace(text, ' ', chr(9)) AS text FROM documents))"""
 )
 def tab_promotion(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").select("doc_id", fn.tab_widths(F.col("text")).alias("w"))
-    least, most = F.array_min("w"), F.array_max("w")
-    return rows.select("doc_id", least.cast("bigint").alias("least"), most.cast("bigint").alias("most"), ((least >= 2) & (least == most) & (F.size("w") >= 2)).alias("promoted"))
+    """What a paragraph of lines with tabs becomes, over texts whose blanks are made tabs."""
+    made = through("string", lambda t: (repairs.tabbed(t.replace(" ", "\t")) or (None,))[0])
+    return table(spark, folder, "documents").select("doc_id", made(F.col("text")).alias("made"))
 
 
 # Sources
@@ -155,17 +207,13 @@ def detect_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT fetch_id, CASE WHEN status NOT BETWEEN 200 AND 299 THEN 'status' WHEN strlen(body) > {net.MAX_BODY} THEN 'size' WHEN body IS NULL THEN 'empty' ELSE 'ok' END
-    AS outcome FROM fetched"""
+    f"""SELECT final_url AS raw_source, CASE WHEN status NOT BETWEEN 200 AND 299 THEN 'network error: fetching ' || chr(39) || final_url || chr(39) || ' returned HTTP ' || status
+    WHEN strlen(body) > {net.MAX_BODY} THEN 'network error: response from ' || chr(39) || final_url || chr(39) || ' exceeded the {net.MAX_BODY}-byte limit' END AS error,
+    CASE WHEN status BETWEEN 200 AND 299 AND strlen(body) <= {net.MAX_BODY} THEN body END AS content FROM fetched"""
 )
 def fetch_outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    made = (
-        F.when(~F.col("status").between(200, 299), "status")
-        .when(F.octet_length("body") > net.MAX_BODY, "size")
-        .when(F.col("body").isNull(), "empty")
-        .otherwise("ok")
-    )
-    return table(spark, folder, "fetched").select("fetch_id", made.alias("outcome"))
+    made = files.fetched(table(spark, folder, "fetched"), "final_url", "content_type", "body", "status", net.MAX_BODY)
+    return made.select("raw_source", "error", "content")
 
 
 @query(
@@ -188,17 +236,22 @@ def dedupe_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT doc_id, lower(content_hash) AS h, processing_fingerprint AS fp, ingested_at FROM documents),
-    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY ingested_at NULLS FIRST, doc_id) AS r FROM d) WHERE r = 1)
-    SELECT d.doc_id, f.doc_id AS stored_id, CASE WHEN d.doc_id = f.doc_id THEN 'insert' WHEN d.fp = f.fp THEN 'skip' ELSE 'reprocess' END AS decision
-    FROM d JOIN f USING (h)"""
+    """WITH s AS (SELECT text, raw_source, source_format, doc_id FROM documents WHERE text IS NOT NULL),
+    k AS (SELECT text, max_by(source_format, -doc_id) AS stored_format FROM s WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') GROUP BY text),
+    l AS (SELECT text, max(struct_pack(raw_source := raw_source, source_format := source_format)) AS l FROM s GROUP BY text)
+    SELECT l.l.raw_source AS raw_source, sha256(l.text) AS content_hash, CASE WHEN k.text IS NULL THEN 'insert' WHEN k.stored_format = l.l.source_format THEN 'skip' ELSE 'reprocess' END AS decision
+    FROM l LEFT JOIN k USING (text) UNION ALL SELECT raw_source, NULL, 'error' FROM documents WHERE text IS NULL"""
 )
 def dedupe_decisions(spark: SparkSession, folder: str) -> DataFrame:
-    """Each document against the first of the same content: a partial minimum, never a sorted group."""
-    d = table(spark, folder, "documents").select("doc_id", F.lower("content_hash").alias("h"), F.col("processing_fingerprint").alias("fp"), "ingested_at")
-    first = d.groupBy("h").agg(F.min(F.struct("ingested_at", "doc_id", "fp")).alias("first"))
-    decision = F.when(F.col("doc_id") == F.col("first.doc_id"), "insert").when(F.col("fp") == F.col("first.fp"), "skip").otherwise("reprocess")
-    return d.join(first, "h").select("doc_id", F.col("first.doc_id").alias("stored_id"), decision.alias("decision"))
+    """The library's decision on every document, where the English ones are stored already."""
+    library = Library(spark, Store(spark, shared_folder(spark, f"store-{uuid.uuid4().hex}")), HashEmbedder(16))
+    rows = table(spark, folder, "documents")
+    known = rows.where("lang = 'en' AND text IS NOT NULL").groupBy(fn.content_hash(F.col("text")).alias("content_hash")).agg(F.min(F.struct("doc_id", "document_id", "source_format")).alias("d"))
+    empty = {n: library.store.table(n) for n in ("documents", "chunks", "chunk_embeddings")}
+    stored = known.select("content_hash", "d.document_id", "d.source_format").withColumn("processing_fingerprint", library.fingerprint(F.col("source_format")))
+    library.store.replace(empty["documents"].unionByName(stored, allowMissingColumns=True), empty["chunks"], empty["chunk_embeddings"], library.space)
+    sources = rows.select("raw_source", "source_format", F.col("text").alias("content"), F.lit(None).cast("string").alias("error"))
+    return library.decide(sources).select("raw_source", "content_hash", "decision")
 
 
 # Stored trees
@@ -223,12 +276,30 @@ def blocks_by_kind(spark: SparkSession, folder: str) -> DataFrame:
     (SELECT doc_id, unnest(l) AS b, unnest(range(len(l))) AS i FROM (SELECT doc_id, json_extract(doc_json, '$.body[*]') AS l FROM documents WHERE json_valid(doc_json)))"""
 )
 def section_paths(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").select("doc_id", documents.stored(F.col("doc_json")).alias("document"))
-    return documents.blocks(rows, "doc_id").where("depth = 0").select("doc_id", "ord", F.array_join("section_path", " > ").alias("path"))
+    """The paths of stored blocks, made again from the headings by the tracker."""
 
+    def paths(source: str) -> list[str]:
+        try:
+            body = tree.loads(source)["body"]
+        except MarlstoneError:
+            return []
+        tracker, out = tree.SectionPath(), []
+        for b in body:
+            path = tracker.enter(b["level"], tree.plain(b["content"])) if b["kind"] == "heading" else tracker.current()
+            out.append(" > ".join(path))
+        return out
 
-@query("SELECT doc_id, text FROM documents WHERE source_format = 'Html' AND json_valid(doc_json) AND text IS NOT NULL")
+    made = table(spark, folder, "documents").select("doc_id", F.posexplode(through("array<string>", paths)(F.col("doc_json"))).alias("ord", "path"))
+    return made
+
+
+@query()
 def emit_text(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", documents.rendered(F.col("doc_json"), "text").alias("text"))
+
+
+@query("SELECT doc_id, text FROM documents WHERE source_format = 'Html' AND json_valid(doc_json) AND text IS NOT NULL")
+def emit_text_of_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The text of a page is its stored tree rendered."""
     rows = table(spark, folder, "documents").where("source_format = 'Html' AND text IS NOT NULL")
     return rows.select("doc_id", documents.rendered(F.col("doc_json"), "text").alias("text")).where("text IS NOT NULL")
@@ -244,12 +315,25 @@ def emit_html(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", documents.rendered(F.col("doc_json"), "html").alias("html"))
 
 
-@query("SELECT doc_id, CAST(NULL AS VARCHAR) AS fault, json_valid(doc_json) AS stored FROM documents WHERE doc_json IS NOT NULL")
+@query(
+    """SELECT doc_id, CASE WHEN regexp_matches(doc_json, '"Heading":[{]"level":1,') THEN 'heading level 9 out of range' END AS fault, CAST(NULL AS VARCHAR) AS before, json_valid(doc_json) AS stored
+    FROM documents WHERE doc_json IS NOT NULL AND json_valid(doc_json)
+    UNION ALL SELECT doc_id, NULL, NULL, false FROM documents WHERE doc_json IS NOT NULL AND NOT json_valid(doc_json)"""
+)
 def validate_trees(spark: SparkSession, folder: str) -> DataFrame:
-    """Faults of stored trees; all that parse are valid."""
+    """Faults of stored trees, and of the same trees whose first headings got a level there isn't."""
     rows = table(spark, folder, "documents").where("doc_json IS NOT NULL")
-    parsed = rows.select("doc_id", documents.faults(F.col("doc_json")).alias("fault"), documents.stored(F.col("doc_json"))["error"].isNull().alias("stored"))
-    return parsed
+    bad = F.regexp_replace("doc_json", r'"Heading":\{"level":1,', '"Heading":{"level":9,')
+    parses = through("boolean", _parses)
+    return rows.select("doc_id", documents.faults(bad).alias("fault"), documents.faults(F.col("doc_json")).alias("before"), parses(F.col("doc_json")).alias("stored"))
+
+
+def _parses(source: str) -> bool:
+    try:
+        tree.loads(source)
+        return True
+    except MarlstoneError:
+        return False
 
 
 # Parsers
@@ -358,11 +442,10 @@ def chunk_sources(spark: SparkSession, folder: str) -> DataFrame:
     FROM (SELECT DISTINCT chunk_id, len(regexp_extract_all(content, '{PATTERN}')) AS n FROM chunks WHERE content IS NOT NULL))"""
 )
 def token_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Windows of 512 tokens of every chunk. Only counts are shuffled."""
-    rows = table(spark, folder, "chunks").where("content IS NOT NULL").select("chunk_id", token_count(F.col("content")).alias("n")).distinct()
-    last = F.greatest(F.lit(0), F.ceil(F.col("n") / SPLIT).cast("int") - 1)
-    made = rows.select("chunk_id", "n", F.explode(F.sequence(F.lit(0), last)).alias("window_index"))
-    return made.select("chunk_id", "window_index", F.least(F.lit(SPLIT), F.col("n") - F.col("window_index") * SPLIT).cast("bigint").alias("tokens"))
+    """The chunker's windows of 512 tokens of every chunk, counted again."""
+    counts = through("array<int>", lambda t: [count_tokens(w) for w in chunking.windows(t, SPLIT)])
+    rows = table(spark, folder, "chunks").where("content IS NOT NULL").select("chunk_id", counts(F.col("content")).alias("n")).distinct()
+    return rows.select("chunk_id", F.posexplode("n").alias("window_index", "tokens")).withColumn("tokens", F.col("tokens").cast("bigint"))
 
 
 @query(
@@ -374,75 +457,130 @@ def wrong_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(~F.col("recorded").eqNullSafe(F.col("counted")))
 
 
-@query("SELECT DISTINCT document_id, sequence_index, chunk_id, block_type FROM chunks")
-def chunks_by_document(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "chunks").select("document_id", "sequence_index", "chunk_id", "block_type").distinct()
+_COUNTED = """SELECT document_id, count(*) AS n, count(DISTINCT sequence_index) AS places, min(sequence_index) AS first, max(sequence_index) AS last
+    FROM (SELECT DISTINCT chunk_id, document_id, sequence_index FROM chunks) GROUP BY document_id"""
+_WHOLE = f"SELECT document_id FROM ({_COUNTED}) WHERE document_id IN (SELECT document_id FROM documents) AND places = n AND first = 0 AND last = n - 1"
 
 
 @query(
-    """SELECT document_id, count(*) AS chunks, count(DISTINCT sequence_index) AS places, min(sequence_index) AS first, max(sequence_index) AS last,
-    min(sequence_index) = 0 AND max(sequence_index) = count(*) - 1 AND count(DISTINCT sequence_index) = count(*) AS contiguous
-    FROM (SELECT DISTINCT chunk_id, document_id, sequence_index FROM chunks) GROUP BY document_id"""
+    f"""SELECT document_id, CASE WHEN document_id NOT IN (SELECT document_id FROM documents) THEN 'chunk of another document' WHEN coalesce(n, 0) <> coalesce(v, 0) THEN 'chunks and vectors differ in number'
+    WHEN places <> n THEN 'sequence index twice' WHEN first <> 0 OR last <> n - 1 THEN 'sequence is not contiguous from 0' END AS fault FROM ({_COUNTED}) FULL JOIN
+    (SELECT document_id, count(*) AS v FROM (SELECT DISTINCT c.document_id, e.chunk_id FROM chunk_embeddings e JOIN chunks c USING (chunk_id)) GROUP BY document_id) USING (document_id)
+    WHERE fault IS NOT NULL"""
 )
 def validate_projection(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "chunks").select("chunk_id", "document_id", "sequence_index").distinct()
-    made = rows.groupBy("document_id").agg(
-        F.count("*").alias("chunks"), F.count_distinct("sequence_index").alias("places"), F.min("sequence_index").alias("first"), F.max("sequence_index").alias("last")
-    )
-    return made.withColumn("contiguous", F.expr("first = 0 AND last = chunks - 1 AND places = chunks"))
+    """The store's check of documents, chunks and vectors against each other; of the vectors only whose they are."""
+    chunks = table(spark, folder, "chunks").select("chunk_id", "document_id", "sequence_index").distinct()
+    vectors = table(spark, folder, "chunk_embeddings").select("chunk_id").distinct().join(chunks, "chunk_id").select("chunk_id", "document_id", F.array(F.lit(1.0)).alias("vector"))
+    return projection_faults(table(spark, folder, "documents").select("document_id").distinct(), chunks, vectors, 1)
 
 
 # Store
 
+_STORES: dict[tuple[str, str], Store] = {}
+
+
+def _store(spark: SparkSession, folder: str) -> Store:
+    """A store with the documents of the tables and, of those whose chunks are whole, the chunks and a hashed vector of each. It is bound to
+    the recorded space, and made once a session for each folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORES:
+        bound = table(spark, folder, "library_metadata").first()
+        space = EmbeddingSpace(bound["embedding_space_fingerprint"], bound["embedding_dimension"])
+        made = Store(spark, shared_folder(spark, f"store-{uuid.uuid4().hex}"))
+        docs = table(spark, folder, "documents").select(
+            "document_id", "source", "source_format", "title", F.lit(None).cast("string").alias("frontmatter"), F.col("ingested_at").cast("timestamp").alias("ingested_at"), "content_hash",
+            "processing_fingerprint", F.octet_length("text").cast("bigint").alias("source_len"), "doc_json",
+        )
+        chunks = table(spark, folder, "chunks").select("chunk_id", "document_id", "section_path", "content", "block_type", "sequence_index", "token_count").distinct()
+        every = chunks.select("chunk_id", "document_id", F.array(F.lit(1.0)).alias("vector"))
+        faults = projection_faults(docs.select("document_id"), chunks, every, 1).select("document_id")
+        chunks = chunks.join(faults, "document_id", "left_anti")
+        texts = chunks.select("chunk_id", "document_id", F.coalesce("content", F.lit("")).alias("content"))
+        vectors = embed_table(texts, "content", HashEmbedder(space.dimension)).select("chunk_id", "document_id", F.lit(space.dimension).alias("dimension"), "vector")
+        made.replace(docs, chunks, vectors, space)
+        _STORES[key] = made
+    return _STORES[key]
+
+
+def _copy(spark: SparkSession, folder: str) -> Store:
+    """Another store with the same rows, to change."""
+    store = _store(spark, folder)
+    made = Store(spark, shared_folder(spark, f"store-{uuid.uuid4().hex}"))
+    made.replace(*(store.table(n) for n in ("documents", "chunks", "chunk_embeddings")), store.space())
+    return made
+
+
+@query(f"SELECT DISTINCT document_id, sequence_index, chunk_id, block_type FROM chunks WHERE document_id IN ({_WHOLE})")
+def chunks_by_document(spark: SparkSession, folder: str) -> DataFrame:
+    return _store(spark, folder).chunks().select("document_id", "sequence_index", "chunk_id", "block_type")
 
-@query("SELECT document_id, source, source_format, title, ingested_at, content_hash FROM documents")
+
+@query("SELECT document_id, source, source_format, title, content_hash FROM documents")
 def list_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("document_id", "source", "source_format", "title", "ingested_at", "content_hash").orderBy("ingested_at", "document_id")
+    return _store(spark, folder).documents().select("document_id", "source", "source_format", "title", "content_hash")
 
 
-@query("SELECT d.document_id, d.title, count(DISTINCT c.chunk_id) AS chunk_count FROM documents d LEFT JOIN chunks c USING (document_id) GROUP BY ALL")
+@query(
+    f"""SELECT d.document_id, d.title, count(DISTINCT c.chunk_id) AS chunk_count FROM documents d LEFT JOIN (SELECT * FROM chunks WHERE document_id IN ({_WHOLE})) c USING (document_id) GROUP BY ALL"""
+)
 def info_chunk_count(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks are counted before the join, so that a document of many chunks is one row in it."""
-    counts = table(spark, folder, "chunks").select("document_id", "chunk_id").distinct().groupBy("document_id").agg(F.count("*").alias("chunk_count"))
-    rows = table(spark, folder, "documents").select("document_id", "title").join(counts, "document_id", "left")
-    return rows.select("document_id", "title", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+    return _store(spark, folder).infos().select("document_id", "title", "chunk_count")
 
 
 _ERRORS = "SELECT DISTINCT document_id FROM fetched WHERE status NOT BETWEEN 200 AND 299 AND document_id IS NOT NULL"
 
 
-@query(f"SELECT DISTINCT chunk_id, document_id, sequence_index FROM chunks WHERE document_id NOT IN ({_ERRORS})")
+@query(f"SELECT DISTINCT chunk_id, document_id, sequence_index FROM chunks WHERE document_id IN ({_WHOLE}) AND document_id NOT IN ({_ERRORS})")
 def remove_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks left when the documents of error pages are removed."""
-    gone = table(spark, folder, "fetched").where("status NOT BETWEEN 200 AND 299").select("document_id").distinct()
-    return table(spark, folder, "chunks").select("chunk_id", "document_id", "sequence_index").distinct().join(gone, "document_id", "left_anti")
+    """Chunks left in the store when the documents of error pages are removed from it."""
+    gone = table(spark, folder, "fetched").where("status NOT BETWEEN 200 AND 299 AND document_id IS NOT NULL").select("document_id").distinct()
+    store = _copy(spark, folder)
+    store.remove_all(gone)
+    return store.table("chunks").select("chunk_id", "document_id", "sequence_index")
 
 
 @query(
-    f"""SELECT DISTINCT chunk_id, document_id, sequence_index FROM chunks WHERE document_id NOT IN ({_ERRORS})
+    f"""SELECT DISTINCT chunk_id, document_id, sequence_index FROM chunks WHERE document_id IN ({_WHOLE}) AND document_id NOT IN ({_ERRORS})
     UNION ALL SELECT 'new-' || document_id, document_id, 0 FROM ({_ERRORS})"""
 )
 def replace_projection(spark: SparkSession, folder: str) -> DataFrame:
-    """The same documents with one new chunk each."""
+    """The same documents replaced in the store by one new chunk each."""
     gone = table(spark, folder, "fetched").where("status NOT BETWEEN 200 AND 299 AND document_id IS NOT NULL").select("document_id").distinct()
+    store = _copy(spark, folder)
+    space = store.space()
+    empty = {n: store.table(n).limit(0) for n in ("documents", "chunks", "chunk_embeddings")}
     new = gone.select(F.concat(F.lit("new-"), "document_id").alias("chunk_id"), "document_id", F.lit(0).cast("bigint").alias("sequence_index"))
-    kept = table(spark, folder, "chunks").select("chunk_id", "document_id", "sequence_index").distinct().join(gone, "document_id", "left_anti")
-    return kept.select("chunk_id", "document_id", "sequence_index").unionByName(new)
+    vectors = new.select("chunk_id", "document_id", F.lit(space.dimension).alias("dimension"), F.array_repeat(F.lit(0.5).cast("float"), space.dimension).alias("vector"))
+    store.replace(empty["documents"].unionByName(gone, allowMissingColumns=True), empty["chunks"].unionByName(new, allowMissingColumns=True), empty["chunk_embeddings"].unionByName(vectors), space)
+    return store.table("chunks").select("chunk_id", "document_id", "sequence_index")
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT chunk_id) AS chunks, count(DISTINCT dimension) AS dimensions, max(dimension) AS largest FROM chunk_embeddings")
+@query(
+    f"""SELECT count(DISTINCT chunk_id) AS vectors, (SELECT embedding_dimension FROM library_metadata) AS dimension, true AS whole
+    FROM chunks WHERE document_id IN ({_WHOLE})"""
+)
 def index_integrity(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "chunk_embeddings").agg(
-        F.count("*").alias("rows"), F.count_distinct("chunk_id").alias("chunks"), F.count_distinct("dimension").alias("dimensions"), F.max("dimension").alias("largest")
-    )
+    """The checks of the index over the whole store."""
+    store = _store(spark, folder)
+    store.check_index()
+    m = store.manifest()
+    return spark.createDataFrame([(m.entry_count, m.embedding_dimension, store.open_index())], "vectors bigint, dimension int, whole boolean")
 
 
 @query(
     """SELECT dimension, count(*) AS vectors, dimension = (SELECT embedding_dimension FROM library_metadata) AS bound FROM chunk_embeddings GROUP BY dimension"""
 )
 def space_binding(spark: SparkSession, folder: str) -> DataFrame:
-    bound = table(spark, folder, "library_metadata").first()["embedding_dimension"]
-    return table(spark, folder, "chunk_embeddings").groupBy("dimension").agg(F.count("*").alias("vectors")).withColumn("bound", F.col("dimension") == bound)
+    """Whether the store takes vectors of each dimension there is."""
+    store, rows = _store(spark, folder), []
+    for r in table(spark, folder, "chunk_embeddings").groupBy("dimension").agg(F.count("*").alias("vectors")).collect():  # one row a dimension
+        try:
+            store.check_space(EmbeddingSpace(store.space().fingerprint, r["dimension"]))
+            rows.append((r["dimension"], r["vectors"], True))
+        except EmbeddingSpaceMismatch:
+            rows.append((r["dimension"], r["vectors"], False))
+    return spark.createDataFrame(rows, "dimension int, vectors bigint, bound boolean")
 
 
 @query("SELECT e.chunk_id FROM (SELECT DISTINCT chunk_id FROM chunk_embeddings) e WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.chunk_id = e.chunk_id)")

@@ -31,8 +31,8 @@ def raw_html(frame: DataFrame, html: str) -> DataFrame:
 def fetched(frame: DataFrame, url: str, content_type: str, body: str, status: str, limit: int) -> DataFrame:
     """Sources of a table of fetched bodies; error pages and bodies above the limit have an error."""
     kind = fn.detect_format(F.col(content_type), fn.url_extension(F.col(url)), F.col(body))
-    error = F.when(~F.col(status).between(200, 299), F.concat(F.lit("network error: "), F.col(url), F.lit(" returned HTTP "), F.col(status))).when(
-        F.octet_length(body) > limit, F.concat(F.lit("network error: response body from "), F.col(url), F.lit(f" exceeds the limit of {limit} bytes"))
+    error = F.when(~F.col(status).between(200, 299), F.concat(F.lit("network error: fetching '"), F.col(url), F.lit("' returned HTTP "), F.col(status))).when(
+        F.octet_length(body) > limit, F.concat(F.lit("network error: response from '"), F.col(url), F.lit(f"' exceeded the {limit}-byte limit"))
     )
     return frame.select(F.col(url).alias("raw_source"), kind["kind"].alias("source_format"), F.when(error.isNull(), F.col(body)).alias("content"), error.alias("error"))
 

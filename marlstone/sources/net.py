@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+import http.client
 import ipaddress
 import re
 import socket
@@ -47,19 +49,23 @@ def is_public_ip(address: str) -> bool:
 
 
 def check_destination(url: str, allow_private: bool = False) -> None:
-    """InvalidInput for other schemes, NetworkError for hosts of which any address is not public."""
-    parts = urlsplit(url)
+    """InvalidInput for what is no address, NetworkError for other schemes and hosts of which any address is not public."""
+    try:
+        parts = urlsplit(url)
+        port = parts.port
+    except ValueError as e:
+        raise InvalidInput(f"invalid URL '{url}': {e}") from None
     if parts.scheme not in ("http", "https"):
-        raise InvalidInput(f"unsupported URL scheme '{parts.scheme}'")
+        raise NetworkError(f"unsupported URL scheme '{parts.scheme}'; expected http or https")
     host = (parts.hostname or "").rstrip(".")
     if not host:
-        raise InvalidInput(f"URL has no host: {url}")
+        raise NetworkError("URL has no host")
     if allow_private:
         return
     if host == "localhost" or host.endswith(".localhost"):
         raise NetworkError(f"destination '{host}' is not allowed")
     try:
-        found = socket.getaddrinfo(host, parts.port or (443 if parts.scheme == "https" else 80), type=socket.SOCK_STREAM)
+        found = socket.getaddrinfo(host, port or (443 if parts.scheme == "https" else 80), type=socket.SOCK_STREAM)
     except OSError as e:
         raise NetworkError(f"could not resolve '{host}': {e}") from None
     for *_, address in found:
@@ -68,18 +74,50 @@ def check_destination(url: str, allow_private: bool = False) -> None:
 
 
 def decode(body: bytes, content_type: str | None) -> str:
-    """By the charset of the content type, UTF-8 if there is none or it is unknown."""
-    m = re.search(r"charset\s*=\s*[\"']?([^\"';\s]+)", content_type or "", re.I)
+    """By the charset of the content type, as browsers read its names; UTF-8 if there is none or it is unknown. A byte order
+    mark at the beginning says more than the name."""
+    for mark, code in ((b"\xef\xbb\xbf", "utf-8"), (b"\xfe\xff", "utf-16-be"), (b"\xff\xfe", "utf-16-le")):
+        if body.startswith(mark):
+            return body[len(mark) :].decode(code, "replace")
+    m = re.search(r";\s*charset\s*=\s*[\"']?([^\"';]*)", content_type or "", re.I)
+    name = m.group(1).strip().lower() if m else "utf-8"
+    for code, names in WEB_LABELS.items():
+        if name in names:
+            name = code
     try:
-        return body.decode(m.group(1) if m else "utf-8", "replace")
-    except LookupError:
+        text = body.decode(name, "replace") if name not in NOT_OF_THE_WEB else body.decode("utf-8", "replace")
+    except (LookupError, ValueError):
         return body.decode("utf-8", "replace")
+    if name == "cp1252":  # the five bytes without a character stand for controls
+        return body.decode("cp1252", "controls")
+    return text
+
+
+def _controls(error: UnicodeDecodeError) -> tuple[str, int]:
+    return "".join(chr(b) for b in error.object[error.start : error.end]), error.end
+
+
+codecs.register_error("controls", _controls)
 
 
 def truncated(text: str) -> str:
     return text if len(text) <= QUOTED else text[:QUOTED] + "… (truncated)"
 
 
+# Names of charsets that browsers read as another than Python does.
+WEB_LABELS = {
+    "cp1252": frozenset("latin1 latin-1 iso-8859-1 iso8859-1 iso_8859-1 l1 ascii us-ascii ansi_x3.4-1968 cp1252 windows-1252 x-cp1252 cp819 ibm819 iso88591".split()),
+    "cp1254": frozenset("iso-8859-9 iso8859-9 iso_8859-9 latin5 l5 windows-1254 cp1254".split()),
+    "cp874": frozenset("iso-8859-11 iso8859-11 tis-620 dos-874 windows-874".split()),
+    "gb18030": frozenset("gb2312 gbk x-gbk chinese gb_2312 gb_2312-80".split()),
+    "cp932": frozenset("shift_jis shift-jis sjis ms_kanji x-sjis windows-31j ms932".split()),
+    "cp949": frozenset("euc-kr ks_c_5601-1987 korean windows-949".split()),
+    "utf-16-le": frozenset("utf-16 utf-16le unicode ucs-2".split()),
+}
+#: Codecs of Python that are no charsets of the web.
+NOT_OF_THE_WEB = frozenset("utf-7 utf_7 idna punycode unicode_escape raw_unicode_escape rot13 hex base64 zip bz2 uu quopri utf-32 utf_32 cp037 cp500 mbcs oem undefined".split())
+
+
 @dataclass
 class Fetched:
     final_url: str
@@ -103,15 +141,18 @@ def fetch(url: str, allow_private: bool = False, limit: int = MAX_BODY, timeout:
             if e.code in (301, 302, 303, 307, 308) and e.headers.get("Location"):
                 url = urljoin(url, e.headers["Location"])
                 continue
-            said = e.read(4 * QUOTED).decode("utf-8", "replace")
-            raise NetworkError(f"{url} returned HTTP {e.code}: {truncated(said)}") from None
-        except OSError as e:
-            raise NetworkError(f"request to {url} failed: {e}") from None
+            raise NetworkError(f"fetching '{url}' returned HTTP {e.code}") from None
+        except (OSError, ValueError, http.client.HTTPException) as e:
+            raise NetworkError(f"request to '{url}' failed: {e}") from None
         with response:
-            too_large = f"response body from {url} exceeds the limit of {limit} bytes"
-            if int(response.headers.get("Content-Length") or 0) > limit:
+            too_large = f"response from '{url}' exceeded the {limit}-byte limit"
+            declared = response.headers.get("Content-Length") or ""
+            if declared.isdigit() and int(declared) > limit:
                 raise NetworkError(too_large)
-            body = response.read(limit + 1)
+            try:
+                body = response.read(limit + 1)
+            except (OSError, ValueError, http.client.HTTPException) as e:
+                raise NetworkError(f"reading body of '{url}' failed: {e}") from None
             if len(body) > limit:
                 raise NetworkError(too_large)
             kind = response.headers.get("Content-Type")

@@ -1,32 +1,40 @@
 """A store of Parquet generations behind one manifest.
 
-Every write makes a new generation folder with the three tables and then replaces the manifest, so readers see all of a
-change or none. Vectors are in the generation of their chunks: an index can't lag behind its store.
+A write adds a generation of the rows that are new and the ids of the documents they replace or remove, then replaces the
+manifest, so readers see all of a change or none. A row counts if no later generation removed its document. Generations of
+like size are merged, so that their number stays small and a row is written again only a few times. Vectors are in the
+generation of their chunks. The index is a small record of its own that says for which state of the vectors it was made; it
+can be lost, damaged or cleared, and made again from the store.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
-from dataclasses import asdict, dataclass
-from pathlib import Path
+from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.errors import ConsistencyError, EmbeddingSpaceMismatch, StorageError, VectorIndexError
 from marlstone.operators.embedding import EmbeddingSpace
 from marlstone.operators.retrieval import valid_vector
+from marlstone.storage.shared import Folder
 
-VERSION = 3
+VERSION = 4
+INDEX_VERSION = 2
+MANIFEST, INDEX = "manifest.json", "index.json"
+#: So many generations are never merged.
+FEW = 4
 SCHEMAS = {
     "documents": "document_id string, source string, source_format string, title string, frontmatter string, ingested_at timestamp,"
     " content_hash string, processing_fingerprint string, source_len bigint, doc_json string",
     "chunks": "chunk_id string, document_id string, section_path array<string>, content string, block_type string, sequence_index bigint, token_count bigint",
     "chunk_embeddings": "chunk_id string, document_id string, dimension int, vector array<float>",
 }
+REMOVED = "removed"
+REPAIR = "; rebuild the index from the store (rebuild-index)"
 
 
 @dataclass
@@ -38,24 +46,33 @@ class Manifest:
     documents: int = 0
     chunks: int = 0
     entry_count: int = 0
+    #: Number of the last write, [number, rows] of the generations there are, and numbers of writes that removed something.
+    seq: int = 0
+    generations: list[list[int]] = field(default_factory=list)
+    removals: list[int] = field(default_factory=list)
+    #: Generations that are merged, kept for those who still read them.
+    retired: list[int] = field(default_factory=list)
+
+    def space(self) -> EmbeddingSpace | None:
+        """None if unbound. A half-bound store is damaged."""
+        if (self.embedding_space_fingerprint is None) != (self.embedding_dimension is None):
+            raise ConsistencyError("embedding space is only partly recorded")
+        return None if self.embedding_dimension is None else EmbeddingSpace(self.embedding_space_fingerprint, self.embedding_dimension)
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, Path(path)
-        self.path.mkdir(parents=True, exist_ok=True)
-        if not (self.path / "manifest.json").exists():
-            self._write({n: spark.createDataFrame([], s) for n, s in SCHEMAS.items()}, None)
+        self.spark, self.folder = spark, Folder(spark, path)
+        if not self.folder.exists(MANIFEST):
+            self._commit(Manifest(VERSION, uuid.uuid4().hex))
 
     # Manifest
 
     def manifest(self) -> Manifest:
         try:
-            data = json.loads((self.path / "manifest.json").read_text())
-            data = self._migrated(data)
-            return Manifest(**data)
-        except (OSError, ValueError, TypeError) as e:
-            raise StorageError(f"manifest of {self.path}: {e}") from None
+            return Manifest(**self._migrated(json.loads(self.folder.read(MANIFEST))))
+        except (ValueError, TypeError, AttributeError, Py4JJavaError) as e:
+            raise StorageError(f"manifest of {self.folder.root}: {e}") from None
 
     @staticmethod
     def _migrated(data: dict) -> dict:
@@ -63,40 +80,49 @@ class Store:
         version = data.get("version", 0)
         if version > VERSION:
             raise ValueError(f"version {version} is newer than {VERSION}")
-        return {"embedding_space_fingerprint": None, "embedding_dimension": None, "documents": 0, "chunks": 0, "entry_count": 0} | data | {"version": VERSION}
+        return data | {"version": VERSION}
 
-    def space(self) -> EmbeddingSpace | None:
-        """The bound space, None if unbound. A half-bound store is damaged."""
-        m = self.manifest()
-        if (m.embedding_space_fingerprint is None) != (m.embedding_dimension is None):
-            raise ConsistencyError("embedding space is only partly recorded")
-        return None if m.embedding_dimension is None else EmbeddingSpace(m.embedding_space_fingerprint, m.embedding_dimension)
+    def _commit(self, made: Manifest, before: Manifest | None = None) -> None:
+        """The index follows every change of the vectors, unless it is lost, damaged or cleared: that only a rebuild ends."""
+        index = self._index_or_none() or {}
+        whole = before is None or not index.get("cleared") and index.get("generation") == before.generation and index.get("entry_count") == before.entry_count
+        self.folder.write(MANIFEST, json.dumps(asdict(made)))
+        if whole:
+            self._write_index(made)
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(str(self.path / f"gen={self.manifest().generation}" / name))
-
-    def _write(self, tables: dict[str, DataFrame], space: EmbeddingSpace | None) -> None:
-        generation = uuid.uuid4().hex
-        folder = self.path / f"gen={generation}"
-        counts = {}
-        for name, schema in SCHEMAS.items():
-            columns = [F.col(f.split()[0]) for f in schema.split(", ")]
-            tables[name].select(*columns).write.parquet(str(folder / name))
-            counts[name] = self.spark.read.parquet(str(folder / name)).count()
-        made = Manifest(VERSION, generation, space and space.fingerprint, space and space.dimension, counts["documents"], counts["chunks"], counts["chunk_embeddings"])
-        temporary = self.path / f"manifest.{generation}.tmp"
-        temporary.write_text(json.dumps(asdict(made)))
-        os.replace(temporary, self.path / "manifest.json")
-        self._clean(generation)
-
-    def _clean(self, keep: str) -> None:
-        """Old generations go, except the last, which a reader may still hold. Failures don't matter."""
-        old = sorted((p for p in self.path.glob("gen=*") if p.name != f"gen={keep}"), key=lambda p: p.stat().st_mtime)
-        for p in old[:-1]:
-            shutil.rmtree(p, ignore_errors=True)
+    def _write_index(self, m: Manifest, cleared: bool = False) -> None:
+        record = {"version": INDEX_VERSION, "generation": m.generation, "embedding_space_fingerprint": m.embedding_space_fingerprint, "embedding_dimension": m.embedding_dimension}
+        self.folder.write(INDEX, json.dumps(record | {"entry_count": 0 if cleared else m.entry_count, "cleared": cleared}))
+
+    def _index_or_none(self) -> dict | None:
+        try:
+            found = json.loads(self.folder.read(INDEX))
+            return found if isinstance(found, dict) else None
+        except (ValueError, Py4JJavaError):
+            return None
+
+    def space(self) -> EmbeddingSpace | None:
+        return self.manifest().space()
 
     # Reads
 
+    def _rows(self, name: str, m: Manifest, numbers: list[int], after: int = 0) -> DataFrame:
+        """Rows of these generations that no later one removed, with the number of theirs."""
+        schema = f"{SCHEMAS[name]}, seq int"
+        if not numbers:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).option("basePath", self.folder.name(name)).parquet(*[self.folder.name(f"{name}/seq={n}") for n in numbers])
+        later = [n for n in m.removals if n > min(numbers)]
+        if not later:
+            return rows
+        removed = self.spark.read.schema("document_id string, seq int").option("basePath", self.folder.name(REMOVED)).parquet(*[self.folder.name(f"{REMOVED}/seq={n}") for n in later])
+        gone = removed.groupBy("document_id").agg(F.max("seq").alias("gone"))
+        return rows.join(gone, "document_id", "left").where("gone IS NULL OR gone <= seq").select(*rows.columns)
+
+    def table(self, name: str) -> DataFrame:
+        m = self.manifest()
+        return self._rows(name, m, [n for n, _ in m.generations]).drop("seq")
+
     def documents(self) -> DataFrame:
         return self.table("documents").drop("doc_json").orderBy("ingested_at", "document_id")
 
@@ -106,8 +132,17 @@ class Store:
             raise StorageError(f"document not found: {document_id}")
         return row.asDict()
 
+    def chunks(self) -> DataFrame:
+        return self.table("chunks")
+
+    def infos(self) -> DataFrame:
+        """documents() with chunk_count. Chunks are counted before the join, so that a document of many chunks is one row in it."""
+        counts = self.chunks().groupBy("document_id").agg(F.count("*").alias("chunk_count"))
+        rows = self.table("documents").drop("doc_json").join(counts, "document_id", "left")
+        return rows.withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
+
     def chunks_of(self, document_id: str) -> DataFrame:
-        return self.table("chunks").where(F.col("document_id") == document_id).orderBy("sequence_index")
+        return self.chunks().where(F.col("document_id") == document_id).orderBy("sequence_index")
 
     def embeddings(self) -> DataFrame:
         return self.table("chunk_embeddings").select("chunk_id", "vector")
@@ -130,31 +165,122 @@ class Store:
         elif bound != space:
             raise EmbeddingSpaceMismatch(f"store is bound to {bound.fingerprint} ({bound.dimension}), got {space.fingerprint} ({space.dimension})")
 
+    def _write(self, tables: dict[str, DataFrame], number: int) -> dict[str, DataFrame]:
+        for name, frame in tables.items():
+            columns = ["document_id"] if name == REMOVED else [f.split()[0] for f in SCHEMAS[name].split(", ")]
+            frame.select(*columns).write.mode("overwrite").parquet(self.folder.name(f"{name}/seq={number}"))
+        return {n: self.spark.read.schema("document_id string" if n == REMOVED else SCHEMAS[n]).parquet(self.folder.name(f"{n}/seq={number}")) for n in tables}
+
+    def _drop(self, number: int) -> None:
+        for name in (*SCHEMAS, REMOVED):
+            self.folder.delete(f"{name}/seq={number}")
+
     def replace(self, documents: DataFrame, chunks: DataFrame, embeddings: DataFrame, space: EmbeddingSpace) -> None:
-        """Replaces whole documents with their chunks and vectors; others stay."""
+        """Replaces whole documents with their chunks and vectors; others stay and are not written again."""
         self.check_space(space)
-        fault = projection_faults(documents, chunks, embeddings, space.dimension).first()
+        m = self.manifest()
+        number = m.seq + 1
+        made = self._write({"documents": documents, "chunks": chunks, "chunk_embeddings": embeddings}, number)
+        fault = projection_faults(made["documents"], made["chunks"], made["chunk_embeddings"], space.dimension).first()
         if fault is not None:
+            self._drop(number)
             raise ConsistencyError(f"document {fault['document_id']}: {fault['fault']}")
-        ids = documents.select("document_id").distinct()
-        new = {"documents": documents, "chunks": chunks, "chunk_embeddings": embeddings}
-        kept = {n: self.table(n).join(ids, "document_id", "left_anti") for n in SCHEMAS}
-        self._write({n: kept[n].unionByName(new[n].select(*kept[n].columns)) for n in SCHEMAS}, space)
+        counts = {n: made[n].count() for n in SCHEMAS}
+        self._append(m, number, made["documents"].select("document_id").distinct(), counts, space)
 
     def remove(self, document_id: str) -> None:
         """With its chunks and vectors; an unknown id changes nothing."""
-        if self.table("documents").where(F.col("document_id") == document_id).isEmpty():
+        found = self.table("documents").where(F.col("document_id") == document_id).select("document_id").distinct()
+        if not found.isEmpty():
+            self.remove_all(found)
+
+    def remove_all(self, ids: DataFrame) -> None:
+        """Documents of a table of document_id, each once, with their chunks and vectors. Unknown ids change nothing."""
+        m = self.manifest()
+        self._append(m, m.seq + 1, ids, dict.fromkeys(SCHEMAS, 0), m.space())
+
+    def _append(self, m: Manifest, number: int, ids: DataFrame, counts: dict[str, int], space: EmbeddingSpace | None) -> None:
+        held = [n for n, _ in m.generations]
+        lost = {n: self._rows(n, m, held).join(ids, "document_id", "left_semi").count() if held else 0 for n in SCHEMAS}
+        if any(lost.values()):
+            self._write({REMOVED: ids}, number)
+        made = Manifest(
+            VERSION, uuid.uuid4().hex, space and space.fingerprint, space and space.dimension,
+            m.documents + counts["documents"] - lost["documents"], m.chunks + counts["chunks"] - lost["chunks"], m.entry_count + counts["chunk_embeddings"] - lost["chunk_embeddings"],
+            number, m.generations + ([[number, sum(counts.values())]] if any(counts.values()) else []), m.removals + ([number] if any(lost.values()) else []), m.retired,
+        )
+        if self.manifest().seq != m.seq:
+            self._drop(number)
+            raise ConsistencyError("another writer changed the store; nothing was written")
+        self._commit(made, m)
+        self._merge(made)
+
+    def _merge(self, m: Manifest) -> None:
+        """Joins the last generations while each is at least half as large as the one before it."""
+        last = len(m.generations)
+        if last <= FEW:
             return
-        self._write({n: self.table(n).where(F.col("document_id") != document_id) for n in SCHEMAS}, self.space())
+        first, rows = last - 1, m.generations[-1][1]
+        while first > 0 and rows * 2 >= m.generations[first - 1][1]:
+            first -= 1
+            rows += m.generations[first][1]
+        if first < last - 1:
+            self._join(m, first)
+
+    def compact(self) -> None:
+        """All generations become one, and what was removed is gone."""
+        m = self.manifest()
+        if len(m.generations) > 1 or m.removals:
+            self._join(m, 0)
+
+    def _join(self, m: Manifest, first: int) -> None:
+        old, number = [n for n, _ in m.generations[first:]], m.seq + 1
+        made = self._write({n: self._rows(n, m, old) for n in SCHEMAS}, number)
+        rows = sum(made[n].count() for n in SCHEMAS)
+        self.folder.write(MANIFEST, json.dumps(asdict(m) | {"seq": number, "generations": m.generations[:first] + [[number, rows]], "removals": m.removals if first else [], "retired": old + ([] if first else m.removals)}))
+        for n in m.retired:
+            self._drop(n)
+
+    # Index
+
+    def open_index(self, space: EmbeddingSpace | None = None) -> bool:
+        """Whether there is anything to search. VectorIndexError if the record is lost, damaged or of another state."""
+        m = self.manifest()
+        if not self.folder.exists(INDEX):
+            raise VectorIndexError(f"index of {self.folder.root} is missing{REPAIR}")
+        index = self._index_or_none()
+        if index is None:
+            raise VectorIndexError(f"index of {self.folder.root} is not readable{REPAIR}")
+        if index.get("version") != INDEX_VERSION:
+            raise VectorIndexError(f"index version {index.get('version')} is not supported (expected {INDEX_VERSION}){REPAIR}")
+        held = EmbeddingSpace(index.get("embedding_space_fingerprint"), index.get("embedding_dimension"))
+        expected = space or m.space()
+        if index.get("embedding_dimension") is not None and expected is not None and held != expected:
+            raise EmbeddingSpaceMismatch(f"index holds vectors of {held.fingerprint} ({held.dimension}), not of {expected.fingerprint} ({expected.dimension}); a rebuild can't convert them")
+        if index.get("cleared"):
+            return False
+        if index.get("generation") != m.generation:
+            raise VectorIndexError(f"index was made for generation {index.get('generation')}, the store has {m.generation}{REPAIR}")
+        if index.get("entry_count") != m.entry_count:
+            raise VectorIndexError(f"index holds {index.get('entry_count')} vectors, manifest says {m.entry_count}{REPAIR}")
+        return m.entry_count > 0
+
+    def clear_index(self) -> None:
+        """Nothing is found any more until the index is rebuilt; the stored vectors stay."""
+        self._write_index(self.manifest(), True)
 
     def rebuild(self) -> int:
-        """Rewrites the vectors, checks them, and gives their number."""
+        """Makes the index again from the stored vectors, whatever is left of it, and gives their number."""
+        m = self.manifest()
+        m.entry_count = self.table("chunk_embeddings").count()
+        m.generation = uuid.uuid4().hex
+        self.folder.write(MANIFEST, json.dumps(asdict(m)))
+        self._write_index(m)
         self.check_index()
-        self._write({n: self.table(n) for n in SCHEMAS}, self.space())
-        return self.manifest().entry_count
+        return m.entry_count
 
     def check_index(self) -> None:
-        """VectorIndexError unless the vectors are whole: count, unique ids, dimension, chunks that exist."""
+        """VectorIndexError unless record and vectors are whole: count, unique ids, dimension, chunks that exist."""
         m, vectors = self.manifest(), self.table("chunk_embeddings")
         dimension = m.embedding_dimension or 0
         found = vectors.agg(
@@ -171,6 +297,7 @@ class Store:
         ):
             if wrong:
                 raise VectorIndexError(f"index {what}")
+        self.open_index()
 
 
 def projection_faults(documents: DataFrame, chunks: DataFrame, embeddings: DataFrame, dimension: int) -> DataFrame:

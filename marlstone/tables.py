@@ -19,6 +19,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this name beside the checkpoints, where all executors can read and write."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
+
+
 def cut(frame: DataFrame, eager: bool = True) -> DataFrame:
     """Writes the frame to the shared checkpoint folder, so that what follows neither recomputes it nor depends on one executor."""
     ensure_checkpoint_dir(frame.sparkSession)

@@ -43,7 +43,7 @@ def test_addresses():
     public = "8.8.8.8 1.1.1.1 100.63.0.1 2606:4700::1111 2001:4860::1 ::ffff:8.8.8.8".split()
     private = "10.0.0.1 127.0.0.1 169.254.1.1 172.16.0.1 192.168.1.1 100.64.0.1 198.18.0.1 240.0.0.1 224.0.0.1 0.0.0.0 255.255.255.255 192.0.2.1 ::1 fe80::1 fc00::1 2001:db8::1 ::ffff:10.0.0.1 ff02::1 x".split()
     assert all(map(net.is_public_ip, public)) and not any(map(net.is_public_ip, private))
-    for url, kind in (("ftp://a.test/", errors.InvalidInput), ("http://localhost/", errors.NetworkError), ("http://x.localhost/", errors.NetworkError), ("http://127.0.0.1/", errors.NetworkError)):
+    for url, kind in (("ftp://a.test/", errors.NetworkError), ("http://a.test:99999/", errors.InvalidInput), ("http://localhost/", errors.NetworkError), ("http://x.localhost/", errors.NetworkError), ("http://127.0.0.1/", errors.NetworkError)):
         with pytest.raises(kind):
             net.check_destination(url)
 
@@ -58,14 +58,18 @@ def test_fetch(server, spark):
     found = net.fetch(url + "/r", True)
     assert found.final_url == url + "/a" and found.body == "<p>é</p>"
     assert net.fetch(url + "/big", True, limit=11).body == "x" * 11
-    for path, word in (("/loop", "redirects"), ("/e", "truncated"), ("/big", "exceeds")):
+    for path, word in (("/loop", "redirects"), ("/e", "returned HTTP 404"), ("/big", "exceeded the")):
         with pytest.raises(errors.NetworkError, match=word):
             net.fetch(url + path, True, limit=10)
     with pytest.raises(errors.NetworkError, match="non-public"):
         net.fetch(url + "/a")
-    rows = net.fetch_table(spark.createDataFrame([(url + "/a",), (url + "/e",), (None,)], "u string"), "u", True).select("fetched.*").collect()
-    assert [r["error"] is None for r in rows] == [True, False, True]
-    assert net.decode(b"\xe9", "text/html; charset=nope") == "�"
+    pages["/odd"] = (200, {"Content-Length": "x"}, b"")
+    wrong = [url + "/e", url.rsplit(":", 1)[0] + ":x/", "http://[::1/", "no address", url + "/odd\nx"]
+    rows = net.fetch_table(spark.createDataFrame([(u,) for u in [url + "/a", None, *wrong]], "u string"), "u", True).select("fetched.*").collect()
+    assert [r["error"] is None for r in rows] == [True, True] + [False] * len(wrong)
+    assert net.decode(b"\xe9", "text/html; charset=nope") == "�" == net.decode(b"\xe9", "text/html; charset=rot13")
+    assert net.decode(b"\x80\x81", "text/html; charset=latin1") == "€\x81" and net.decode(b"\xef\xbb\xbfa", "x/y; charset=latin1") == "a"
+    assert net.decode("é".encode("utf-16-le"), "x/y; charset=UTF-16") == "é" and net.decode("é".encode(), "x/y") == "é"
     pages["/v/embeddings"] = (200, {}, b'{"data": [{"index": 0, "embedding": [1.0, 2.0]}]}')
     embedder = ApiEmbedder(url + "/v/", "m", 2, "secret")
     assert embedder.embed(["x"]) == [[1.0, 2.0]] and embedder.embed([]) == [] and "secret" not in repr(embedder)

@@ -7,6 +7,7 @@ from marlstone import errors
 from marlstone.library import Library, document_id
 from marlstone.operators import retrieval
 from marlstone.operators.embedding import EmbeddingSpace, HashEmbedder, NoopEmbedder, check_batch, in_order, space_of
+from marlstone.storage import store as store_module
 from marlstone.storage.store import Store
 
 NOTE = "# Garden\n\n## Apples\n\nprune the apple trees in winter\n\n## Bees\n\nkeep the bees near clover\n\n## Wells\n\nthe well water is cold"
@@ -41,6 +42,82 @@ def test_end_to_end(library):
         library.emit(first, "text")
 
 
+def files_of(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_only_new_rows_are_written(library, spark, tmp_path):
+    path = tmp_path / "s"
+    ids = [library.ingest_markdown(f"# T{i}\n\ntext {i}") for i in range(3)]
+    before = files_of(path)
+    ids.append(library.ingest_markdown("# New\n\nwords"))
+    after = files_of(path)
+    assert before.items() <= after.items()
+    added = [n for n in after.keys() - before.keys() if n.startswith("documents")]
+    assert sum(spark.read.parquet(str(path / n)).count() for n in added) == 1
+    assert library.ingest_markdown("# New\n\nwords") == ids[3] and files_of(path) == after
+    # A document that is replaced or removed leaves the others' files as they are, too.
+    library.remove(ids[0])
+    assert library.ingest_html("# T1\n\ntext 1") == ids[1]
+    assert after.items() <= files_of(path).items()
+    assert {r["document_id"] for r in library.list().collect()} == set(ids[1:])
+    m = library.store.manifest()
+    assert (m.documents, m.chunks, m.entry_count) == (3, library.store.table("chunks").count(), library.store.table("chunk_embeddings").count())
+    library.store.check_index()
+    # Many writes leave few generations.
+    for i in range(6):
+        library.ingest_markdown(f"more {i}")
+    m = library.store.manifest()
+    assert len(m.generations) <= 7 and m.documents == 9 == library.list().count()
+    library.store.compact()
+    m = library.store.manifest()
+    assert len(m.generations) == 1 and not m.removals and library.list().count() == 9 and library.query("more", 3).count() == 3
+    library.store.check_index()
+
+
+def test_index_is_made_again(library, tmp_path):
+    """Whatever is left of it."""
+    index = tmp_path / "s" / "index.json"
+    library.ingest_markdown(NOTE)
+    whole = index.read_text()
+    for damaged in (b"\x00corrupted\xff", b"[]", None):
+        if damaged is None:
+            index.unlink()
+        else:
+            index.write_bytes(damaged)
+        with pytest.raises(errors.VectorIndexError, match="rebuild-index"):
+            library.query("bees")
+        library.ingest_markdown(f"a note {damaged}")  # the store still takes documents
+        with pytest.raises(errors.VectorIndexError, match="rebuild-index"):
+            library.query("bees")
+        assert library.rebuild_index() == library.store.manifest().entry_count
+        assert library.query("clover bees", 1).first()["section_path"] == ["Garden", "Bees"]
+    good = json.loads(index.read_text())
+    for change, kind in (
+        ({"version": 1}, errors.VectorIndexError),
+        ({"generation": "other"}, errors.VectorIndexError),
+        ({"entry_count": 1}, errors.VectorIndexError),
+        ({"embedding_space_fingerprint": "other"}, errors.EmbeddingSpaceMismatch),
+        ({"embedding_dimension": 3}, errors.EmbeddingSpaceMismatch),
+    ):
+        index.write_text(json.dumps(good | change))
+        with pytest.raises(kind):
+            library.query("bees")
+    assert json.loads(whole)["version"] == good["version"]
+    library.clear_index()
+    assert library.query("bees").count() == 0 and library.list().count() > 0
+    assert library.rebuild_index() > 0 and library.query("bees", 1).count() == 1
+    assert retrieval.NoopIndex(library.spark).search([1.0], 3).count() == 0
+
+
+def test_callouts_are_stored(spark, tmp_path):
+    source = "[!tip] Heads up\nsecond line"
+    plain = Library(spark, Store(spark, str(tmp_path / "a")), HashEmbedder(16))
+    made = Library(spark, Store(spark, str(tmp_path / "b")), HashEmbedder(16), callouts=True)
+    assert not plain.emit(plain.ingest_markdown(source), "markdown").startswith(">")
+    assert made.emit(made.ingest_markdown(source), "markdown") == "> [!tip] Heads up\n> second line"
+
+
 def test_bad_documents_do_not_stop_others(library, spark):
     rows = [("a", "Markdown", "fine", None), ("b", "Markdown", "[x]()", None), ("c", None, None, "not implemented: x"), ("d", "Markdown", "fine", None), ("e", "Markdown", None, None)]
     made = {r["raw_source"]: r for r in library.ingest_table(spark.createDataFrame(rows, "raw_source string, source_format string, content string, error string")).collect()}
@@ -71,7 +148,7 @@ def test_space_binding(spark, tmp_path):
     with pytest.raises(errors.StorageError, match="newer"):
         store.manifest()
     path.write_text(json.dumps({"generation": data["generation"], "version": 1}))
-    assert store.manifest().version == 3
+    assert store.manifest().version == store_module.VERSION
 
 
 @pytest.mark.parametrize(
