@@ -177,6 +177,17 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.least("key_x", "key_y").alias("chunk_id_a"), F.greatest("key_x", "key_y").alias("chunk_id_b")).distinct()
 
 
+ORACLE["p4_found"] = r"""WITH c AS (SELECT DISTINCT chunk_id, document_id, content FROM chunks WHERE block_type = 'Prose' AND content IS NOT NULL AND chunk_id IS NOT NULL),
+    w AS (SELECT chunk_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS l FROM c),
+    s AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) AS g FROM w WHERE len(l) >= 60),
+    n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY chunk_id),
+    p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.chunk_id < b.chunk_id GROUP BY ALL),
+    h AS (SELECT document_id, min(lower(content_hash)) AS h FROM documents WHERE document_id IS NOT NULL GROUP BY document_id),
+    d AS (SELECT DISTINCT chunk_id, coalesce(c.document_id, chunk_id) AS d, coalesce(h, c.document_id, chunk_id) AS h FROM c LEFT JOIN h USING (document_id))
+    SELECT DISTINCT a AS chunk_id_a, b AS chunk_id_b FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b JOIN d u ON u.chunk_id = a JOIN d v ON v.chunk_id = b
+    WHERE k >= 0.5 * (x.n + y.n - k) AND u.d <> v.d AND u.h <> v.h"""
+
+
 # 6: similar vectors
 
 
@@ -194,6 +205,16 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return pair.groupBy("chunk_id_a", "chunk_id_b").agg(F.count("*").alias("n")).where("n = 2").drop("n")
 
 
+ORACLE["p6_found"] = r"""WITH t AS (SELECT chunk_id, dimension, TRY_CAST(vector_json AS DOUBLE[]) AS v FROM chunk_embeddings
+    WHERE regexp_full_match(vector_json, '\s*\[[\s0-9eE+.,-]*\]\s*') AND json_valid(vector_json)),
+    u AS (SELECT chunk_id, dimension, any_value(v) AS v FROM t WHERE len(v) = dimension AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0 GROUP BY chunk_id, dimension),
+    e AS (SELECT chunk_id, dimension, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM u),
+    p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_dot_product(a.v, b.v) AS c FROM e a JOIN e b ON a.dimension = b.dimension AND a.chunk_id <> b.chunk_id),
+    r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) AS r FROM p WHERE c >= 0.95 - 1e-9)
+    SELECT x.a AS chunk_id_a, x.b AS chunk_id_b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.r <= 10 AND y.r <= 10"""
+
+
 # 8: mixture
 
 
