@@ -404,6 +404,31 @@ def test_neighbours(spark):
     assert vectors.neighbours(frame.limit(0), "chunk_id", "dimension", "vector_json").count() == 0
 
 
+def test_recall_over_many_cells(spark):
+    """Two levels of cells, as many as a large table has: recall against brute force, and near pairs found whole."""
+    rng = np.random.default_rng(5)
+    topics = rng.normal(size=(40, 32))
+    x = topics[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 32)) * 0.5
+    x[5000:5600] = x[:600] + rng.normal(size=(600, 32)) * 0.05
+    x = np.round(x / np.linalg.norm(x, axis=1, keepdims=True), 4)
+    rows = [(f"v{i:05}", 32, json.dumps(v.tolist())) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "chunk_id string, dimension int, vector_json string")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = u @ u.T
+    np.fill_diagonal(score, -2)
+    assert len(additive.Cells(u.astype(np.float32), 6000 / 8).books) == 2
+    got = {}
+    for r in vectors.neighbours(frame, "chunk_id", "dimension", "vector_json", 10, cell=100).collect():
+        got.setdefault(r["chunk_id"], []).append(r["cosine"])
+    asked = range(0, 6000, 10)
+    worst = np.sort(score[asked], axis=1)[:, -10]
+    recall = np.mean([sum(c >= w - 1e-9 for c in got[f"v{i:05}"]) / 10 for i, w in zip(asked, worst)])
+    assert recall >= 0.9
+    near = {(r["chunk_id"], r["neighbour"]) for r in vectors.neighbours(frame, "chunk_id", "dimension", "vector_json", 10, 0.95, cell=8).collect()}
+    true = {(f"v{i:05}", f"v{j:05}") for i, j in zip(*np.nonzero(score >= 0.95)) if (score[i] > score[i, j]).sum() < 10}
+    assert len(true) >= 1000 and near <= true and len(near) >= 0.995 * len(true)
+
+
 # 7
 
 
@@ -423,6 +448,12 @@ def test_merge_replay(spark):
     counts = bpe.encode(spark.createDataFrame(rows, "doc_id int, body string"), ("doc_id",), "body", counts_only=True).collect()
     assert {r["doc_id"]: r["n_ids"] for r in counts} == {k: len(v) for k, v in got.items()}
     assert bpe.encode(spark.createDataFrame([], "doc_id int, body string"), ("doc_id",), "body").count() == 0
+    # Whatever part of the words the dictionary of the corpus holds, the ids are the same.
+    frame = spark.createDataFrame(rows, "doc_id int, body string")
+    known = bpe.dictionary(frame, "body", path, 40)
+    assert 0 < len(known) <= 40 and all(other.encode(w, add_special_tokens=False).ids == ids for w, ids in known.items())
+    for most in (0, 40):
+        assert {r["doc_id"]: r["ids"] for r in bpe.encode(frame, ("doc_id",), "body", most=most).collect()} == got
 
 
 # 8
@@ -448,7 +479,8 @@ def test_mix(spark):
     chosen = {r["doc_id"]: r for r in selection.collect()}
     reached = {r["source"]: r for r in shares.collect()}
     for s, share, cap in (("big", 0.3, 1), ("mid", 0.4, 3), ("small", 0.2, 3)):
-        assert reached[s]["actual_share"] == pytest.approx(share / 0.9, abs=0.03) and reached[s]["most_copies"] <= cap
+        # Within half of the largest document, of a few thousand tokens in all.
+        assert reached[s]["actual_share"] == pytest.approx(share / 0.9, abs=0.004) and reached[s]["most_copies"] <= cap
     assert reached["none"]["actual_share"] == 0 and not {1000, 1001} & set(chosen) and all(r["source"] in reached for r in chosen.values())
     used = sum(r["tokens"] * r["copies"] for r in chosen.values())
     assert used == sum(r["tokens_used"] for r in reached.values())
