@@ -387,13 +387,29 @@ def parse_documents(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "document.title", "document.frontmatter", "document.error", F.size("document.nodes").alias("nodes"))
 
 
+def _inner(pattern: str) -> str:
+    """The text of the first element that a pattern finds, without tags and with its references decoded."""
+    text = f"trim(regexp_replace(regexp_replace(regexp_extract(body, '{pattern}', 1), '<[^>]*>', '', 'g'), '{_SPACE}+', ' ', 'g'))"
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        text = f"replace({text}, '{a}', '{b}')"
+    return text
+
+
+@query(f"""SELECT fetch_id, coalesce(nullif({_inner("(?is)<title>(.*?)</title>")}, ''), CASE WHEN NOT regexp_matches(body, '(?i)<td[^>]*>\\s*<h1') THEN nullif({_inner("(?is)<h1[^>]*>(.*?)(?:</h1>|<h|<p)")}, '') END) AS title FROM fetched WHERE kind = 'Html'""")
+def html_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles of pages, from the title or else the first heading. One in the cell of a table is none."""
+    return table(spark, folder, "fetched").where("kind = 'Html'").select("fetch_id", documents.parsed(F.col("body"), F.col("kind"))["title"].alias("title"))
+
+
 @query(
-    r"""SELECT fetch_id, html_title AS title FROM (SELECT fetch_id, trim(regexp_replace(regexp_extract(body, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS t,
-    replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS html_title FROM fetched WHERE kind = 'Html') WHERE t <> ''"""
+    r"""SELECT doc_id, coalesce(title, nullif(array_to_string(CAST(json_extract_string(list_filter(json_extract(CASE WHEN json_valid(doc_json) THEN doc_json END, '$.body[*]'),
+    lambda b: json_extract_string(b, '$.block.Heading.level') = '1')[1], '$.block.Heading.content[*].Text') AS VARCHAR[]), ''), ''), nullif(regexp_extract(text, '(?m)^# +([^\n]*?)\s*$', 1), '')) AS title
+    FROM documents WHERE source_format = 'Markdown' AND text IS NOT NULL"""
 )
-def html_titles(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "fetched").where("kind = 'Html'").select("fetch_id", documents.parsed(F.col("body"), F.col("kind"))["title"].alias("title"), "body")
-    return rows.where(F.col("body").rlike(r"(?is)<title>\s*[^\s<]")).select("fetch_id", "title")
+def markdown_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles of parsed sources, as the stored documents have them; where a title is lost, as their trees."""
+    rows = table(spark, folder, "documents").where("source_format = 'Markdown' AND text IS NOT NULL")
+    return rows.select("doc_id", documents.parsed(F.col("text"), F.col("source_format"))["title"].alias("title"))
 
 
 @query()
