@@ -33,10 +33,10 @@ NEAR_CELL, CELL = 1_000, 8_000
 #: From this cosine on the first plan is taken. Below, the bound lets too much through.
 NEAR = 0.8
 #: Of the true neighbours, so many lie in the cells that are probed. Near ones are found from either side.
-NEAR_RECALL, CELL_RECALL = 0.98, 0.95
+NEAR_RECALL, CELL_RECALL = 0.98, 0.97
 #: Cells probed at most are the nearest so many.
 NEAR_BEAM, BEAM = 32, 64
-SHORTLIST = 160
+SHORTLIST = 480
 #: Rows of a task, as multiples of the size of a cell.
 BASE_A_TASK, QUERIES_A_TASK = 4, 8
 #: Bytes of a task's input, about.
