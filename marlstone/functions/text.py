@@ -11,7 +11,6 @@ HTML_EXTENSIONS = ("html", "htm", "xhtml")
 MARKDOWN_TYPES = ("text/markdown", "text/x-markdown")
 HTML_TYPES = ("text/html", "application/xhtml+xml")
 
-SENTENCE_ENDS = r"(?<=[.?!])\s|\n"
 UNTITLED = "untitled"
 
 
@@ -94,49 +93,10 @@ def shown_title(title: Column) -> Column:
 def source_header(title: Column, path: Column) -> Column:
     """`[Source: title > path]`; a path that begins with the title doesn't repeat it."""
     path = F.coalesce(path, F.array().cast("array<string>"))
-    rest = F.when(F.get(path, F.lit(0)) == title, F.slice(path, 2, 10_000)).otherwise(path)
+    rest = F.when(F.get(path, F.lit(0)) == title, F.slice(path, F.lit(2), F.size(path))).otherwise(path)
     return F.concat(F.lit("[Source: "), F.array_join(F.concat(F.array(title), rest), " > "), F.lit("]"))
 
 
-def sentences(text: Column) -> Column:
-    """ARRAY of trimmed sentences, empty ones dropped."""
-    parts = F.transform(F.split(text, SENTENCE_ENDS), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
-    return F.filter(parts, lambda s: s != "")
-
-
-def text_density(text: Column) -> Column:
-    """Bytes of the text without its white space."""
-    return F.octet_length(F.regexp_replace(text, r"\s+", "")).cast("bigint")
-
-
-def collapsed(text: Column) -> Column:
-    return F.when(F.regexp_replace(text, r"\s+", "") == "", "").otherwise(F.regexp_replace(text, r"\s+", " "))
-
-
-def html_escaped(text: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return text
-
-
-def newlines_decoded(text: Column) -> Column:
-    """Escaped line ends of a text that has no other ones."""
-    body = F.regexp_replace(text, r"[\r\n]+\z", "")
-    escaped = ~body.contains("\n") & body.contains("\\n")
-    return F.when(escaped, F.regexp_replace(text, r"(?:\\r)?\\n", "\n")).otherwise(text)
-
-
-def frontmatter(text: Column) -> Column:
-    """The header between two `---` lines at the beginning, null without one."""
-    header = F.regexp_extract(text, r"(?ms)\A---\r*\n(.*?)^---\r*(?:\n|\z)", 1)
-    return F.when(text.rlike(r"(?ms)\A---\r*\n.*?^---\r*(?:\n|\z)"), F.replace(header, F.lit("\r\n"), F.lit("\n")))
-
-
-def tab_widths(text: Column) -> Column:
-    """Cells of each line."""
-    return F.transform(F.split(text, "\n"), lambda x: F.size(F.split(x, "\t")))
-
-
 def is_url(text: Column) -> Column:
     return text.startswith("http://") | text.startswith("https://")
 

@@ -44,10 +44,16 @@ def valid_vector(vector: Column, dimension: int) -> Column:
     return (F.size(vector) == dimension) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
 
-def search(vectors: DataFrame, key: str, vector: str, query: list[float], limit: int) -> DataFrame:
-    """(key, distance, rank from 1): exact, ties by key. The plan keeps the best of each partition, then of all."""
+def search(vectors: DataFrame, key: str, vector: str, query: list[float], limit: int, unique: bool = True) -> DataFrame:
+    """(key, distance, rank from 1): exact, ties by key. The plan keeps the best of each partition, then of all.
+
+    Keys that may stand on several rows (not `unique`) count once, at their least distance; only keys and distances are shuffled.
+    """
     target = F.lit([float(x) for x in query])
-    found = vectors.select(F.col(key), cosine_distance(F.col(vector), target).alias("distance")).orderBy("distance", key).limit(limit)
+    found = vectors.select(F.col(key), cosine_distance(F.col(vector), target).alias("distance"))
+    if not unique:
+        found = found.groupBy(key).agg(F.min("distance").alias("distance"))
+    found = found.orderBy("distance", key).limit(limit)
     return found.withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))
 
 

@@ -13,7 +13,7 @@ from marlstone.emitters import html as html_emitter
 from marlstone.emitters import markdown as markdown_emitter
 from marlstone.functions import text as fn
 from marlstone.functions.tokens import PATTERN, count_tokens, token_count
-from marlstone.errors import EmbeddingSpaceMismatch, MarlstoneError
+from marlstone.errors import PDF_NOT_IMPLEMENTED, SUPPORTED_EXTENSIONS, EmbeddingSpaceMismatch, MarlstoneError
 from marlstone.ir import check, tree
 from marlstone.library import Library
 from marlstone.operators import chunking, documents, retrieval
@@ -216,14 +216,22 @@ def fetch_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("raw_source", "error", "content")
 
 
+_EXT = r"lower(regexp_extract(raw_source, '\.([^./\\]*)$', 1))"
+
+
 @query(
-    r"""SELECT doc_id, starts_with(raw_source, 'http://') OR starts_with(raw_source, 'https://') AS is_url,
-    CASE WHEN lower(regexp_extract(raw_source, '\.([^./\\]*)$', 1)) = 'md' THEN 'Markdown'
-    WHEN lower(regexp_extract(raw_source, '\.([^./\\]*)$', 1)) IN ('html', 'htm') THEN 'Html' END AS kind FROM documents"""
+    rf"""SELECT doc_id, starts_with(raw_source, 'http://') OR starts_with(raw_source, 'https://') AS is_url,
+    CASE WHEN {_EXT} = 'md' THEN 'Markdown' WHEN {_EXT} IN ('html', 'htm') THEN 'Html' END AS kind,
+    CASE WHEN {_EXT} = 'pdf' THEN 'not implemented: {PDF_NOT_IMPLEMENTED}' WHEN {_EXT} NOT IN ('md', 'html', 'htm')
+    THEN 'invalid input: unsupported file extension ' || chr(39) || {_EXT} || chr(39) || '. supported: {SUPPORTED_EXTENSIONS}' END AS error FROM
+    (SELECT doc_id, raw_source FROM documents UNION ALL SELECT -doc_id, replace(raw_source, '.md', '.pdf') FROM documents)"""
 )
 def source_descriptors(spark: SparkSession, folder: str) -> DataFrame:
-    raw = F.col("raw_source")
-    return table(spark, folder, "documents").select("doc_id", fn.is_url(raw).alias("is_url"), fn.file_kind(raw)["kind"].alias("kind"))
+    """Every source, and again under a negative id as if its Markdown files were PDF."""
+    rows = table(spark, folder, "documents").select("doc_id", "raw_source")
+    rows = rows.unionByName(rows.select((-F.col("doc_id")).alias("doc_id"), F.replace("raw_source", F.lit(".md"), F.lit(".pdf")).alias("raw_source")))
+    kind = fn.file_kind(F.col("raw_source"))
+    return rows.select("doc_id", fn.is_url(F.col("raw_source")).alias("is_url"), kind["kind"].alias("kind"), kind["error"].alias("error"))
 
 
 # Deduplication
@@ -264,11 +272,16 @@ _BODY = "SELECT doc_id, unnest(json_extract(doc_json, '$.body[*]')) AS b FROM do
     ELSE json_keys(b, '$.block')[1] END AS kind FROM ({_BODY})) GROUP BY ALL"""
 )
 def blocks_by_kind(spark: SparkSession, folder: str) -> DataFrame:
-    from marlstone.ir.tree import BLOCK_NAMES
+    """Only the names of the kinds leave the parser."""
+
+    def kinds(source: str) -> list[str]:
+        try:
+            return [tree.BLOCK_NAMES[b["kind"]] for b in tree.loads(source)["body"]]
+        except MarlstoneError:
+            return []
 
-    rows = table(spark, folder, "documents").select("doc_id", documents.stored(F.col("doc_json")).alias("document"))
-    names = F.create_map([F.lit(x) for pair in BLOCK_NAMES.items() for x in pair])
-    return documents.blocks(rows, "doc_id").where("depth = 0").groupBy("doc_id", names[F.col("kind")].alias("kind")).agg(F.count("*").alias("blocks"))
+    rows = table(spark, folder, "documents").select("doc_id", F.explode(through("array<string>", kinds)(F.col("doc_json"))).alias("kind"))
+    return rows.groupBy("doc_id", "kind").agg(F.count("*").alias("blocks"))
 
 
 @query(
@@ -679,12 +692,12 @@ def source_headers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, folder: str, limit: int) -> DataFrame:
-    """The chunks nearest to the fixed question, by hashed words."""
-    chunks = table(spark, folder, "chunks").where("content IS NOT NULL").dropDuplicates(["chunk_id"])
+    """The chunks nearest to the fixed question, by hashed words. Texts are fetched for the hits only."""
+    chunks = table(spark, folder, "chunks").where("content IS NOT NULL")
     embedder = HashEmbedder()
     vectors = embed_table(chunks.select("chunk_id", "content"), "content", embedder)
-    hits = retrieval.search(vectors, "chunk_id", "vector", embedder.embed([QUESTION])[0], limit)
-    return chunks.join(F.broadcast(hits), "chunk_id")  # limit rows
+    hits = retrieval.search(vectors.drop("content"), "chunk_id", "vector", embedder.embed([QUESTION])[0], limit, unique=False)
+    return chunks.join(F.broadcast(hits), "chunk_id").dropDuplicates(["chunk_id"])  # limit rows
 
 
 @query()

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.errors import InvalidInput
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's shared folder; makes a folder of its own only where the session names none (tests, one machine)."""
+    """Uses the cluster's shared folder; makes a folder of its own only on one machine (tests) whose session names none."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise InvalidInput("spark.checkpoint.dir must name a folder that all machines share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="marlstone-checkpoint-"))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
