@@ -217,6 +217,8 @@ _short = re.compile(rb"[\xe0-\xef][\x80-\xbf](?![\x80-\xbf])")
 DROPPING = ("latin-1", "cp1252", "iso8859_2")
 #: What may stand for a letter in another code, letters apart.
 _marks = frozenset("\u201c\u201d\u2018\u2019\u201e\u201a\u2026\u2013\u2014\u00ab\u00bb\u00b0\u00b5\u20ac\u00a3\u00a7\u00b6")
+#: Code between runs of as many backticks.
+_code_span = re.compile(r"(?<!`)(`+)(?!`)[^\n]*?(?<!`)\1(?!`)")
 _trim = re.compile(r"^[!-@\[-`{-~]+|[!-@\[-`{-~]+$")
 #: Cells of the sketch that counts words.
 WORDS = 1 << 20
@@ -332,7 +334,7 @@ def unescaped(text: str) -> str:
 
 def quoted_ranges(text: str, quoted: list[str] | None) -> list[tuple[int, int]]:
     """Code spans between backticks, and of each quoted string as many places, in order, as it is quoted."""
-    out = [m.span() for m in re.finditer(r"`[^`\n]+`", text)]
+    out = [m.span() for m in _code_span.finditer(text)]
     for q, n in Counter(map(unescaped, quoted or ())).items():
         if _foreign.search(q):
             out += [m.span() for m in islice(re.finditer(re.escape(q), text), n)]

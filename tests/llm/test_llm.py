@@ -528,6 +528,12 @@ def test_restore(spark):
     assert mojibake.restore(frame.limit(0), "id", "body").count() == 0
 
 
+def test_code_spans_pair_by_length():
+    text = "```sh\\nx``` then Ã© and `a` or ``b ` c`` d `é"
+    assert [text[a:b] for a, b in mojibake.quoted_ranges(text, None)] == ["```sh\\nx```", "`a`", "``b ` c``"]
+    assert mojibake.quoted_ranges("ü ü ü", ["ü", "ü"]) == [(0, 1), (2, 3)]
+
+
 def test_restore_a_large_garbled_source(spark):
     clean = ["Über den Flüssen liegt schöner Nebel, größer als früher.", "Le café déjà fermé près de la façade où l’été passe.", "Ключи или записи удаляют из очереди.", "Er rief: „Spaß“ und ging. Её нет."]
     rows = [(i, clean[i % 4]) for i in range(160)] + [(1000 + i, clean[i % 3].encode().decode("latin-1")) for i in range(120)]
