@@ -5,16 +5,15 @@ last words, and its skeleton without words; numbers and invented names are maske
 for each hash over all hosts, on how many different articles it stands, and where: above the first heading, last, next to
 last or within, and whether on a page that a site rendered or in a source that an author wrote. Short sentences recur in
 articles as well, but within them and in sources too. How often a subtree of an article and one of a template is found at
-each place is learned from these counts by a mixture; the evidence of all places together decides on a hash.
+each place is learned from the counts of all hashes by a mixture; the evidence of all places together decides on a hash.
 
 What does not recur itself, such as a list of related pages, is told by a linear model of words, links and place, which is
-trained on a bounded sample: what recurrence found against what authors wrote. No list of words is used.
+trained on all blocks that recurrence found against all that authors wrote. No list of words is used.
 """
 
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import markup
+from marlstone.llm.sums import in_few, numbers, summed
 from marlstone.parsers import dom
 from marlstone.tables import cut
 
@@ -37,13 +37,11 @@ MIN_FORMS = 5
 ODDS, HOST_ODDS, FORM_ODDS = 2.0, 4.0, 5.0
 #: A block is furniture if so many of its entries are.
 ENTRIES = 0.6
-#: Subtrees from which the rates are learned, at most, and how often each stands.
-RATE_ROWS, RATE_PAGES = 20_000, 5
-#: Blocks that recurrence found, and blocks of authors, from which the linear model is trained, at most.
-TRAINING_BLOCKS = 10_000
+#: On how many articles a subtree stands from which the rates are learned.
+RATE_PAGES = 5
 #: Log odds of the linear model from which a block is furniture.
 ALIKE = 3.0
-#: Hashed features of the linear model.
+#: Hashed features of the linear model; two bytes hold one.
 FEATURES = 1 << 16
 #: Pages that a task turns into rows at a time; bounds its memory.
 PAGES_AT_ONCE = 500
@@ -242,7 +240,7 @@ class Features:
             if f not in self.known:
                 self.known[f] = xxhash.xxh32_intdigest(f)
         own = np.array([t[3] for t in words] + [self.known[f] for f in shape], np.int64)
-        return np.unique(np.concatenate([own, pairs]) & (FEATURES - 1)).astype(np.int32)
+        return np.unique(np.concatenate([own, pairs]) & (FEATURES - 1)).astype(np.uint16)
 
 
 def article_of(blocks: list[tuple[int, str, list[Leaf]]], same: str | None) -> int:
@@ -270,7 +268,7 @@ def counted(blocks: list[tuple[int, str, list[Leaf]]], same: str | None, words:
     return article_of(real, same), out
 
 
-BLOCKS = "array<struct<block_index: bigint, place: int, whole: bigint, entries: array<bigint>, forms: array<bigint>, features: array<int>>>"
+BLOCKS = "array<struct<block_index: bigint, place: int, whole: bigint, entries: array<bigint>, forms: array<bigint>>>"
 
 
 def _lists(values: list, kind: pa.DataType) -> pa.ListArray:
@@ -283,34 +281,47 @@ def _lists(values: list, kind: pa.DataType) -> pa.ListArray:
 def blocks_array(pages: list[list[tuple]]) -> pa.ListArray:
     every = [b for blocks in pages for b in blocks]
     columns = list(zip(*every)) if every else [()] * 6
-    arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), _lists(columns[3], pa.int64()), _lists(columns[4], pa.int64()), _lists(columns[5], pa.int32())]
-    structs = pa.StructArray.from_arrays(arrays, ["block_index", "place", "whole", "entries", "forms", "features"])
+    arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), _lists(columns[3], pa.int64()), _lists(columns[4], pa.int64())]
+    structs = pa.StructArray.from_arrays(arrays, ["block_index", "place", "whole", "entries", "forms"])
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(b) for b in pages])]).astype(np.int32)), structs)
 
 
+def features_arrays(pages: list[list[tuple]]) -> list[pa.Array]:
+    """(features of all blocks of a page, two bytes each; how many each block has, four bytes each)."""
+    flat = [np.concatenate([b[5] for b in blocks]).tobytes() for blocks in pages]
+    return [pa.array(flat, pa.binary()), pa.array([np.array([len(b[5]) for b in blocks], np.int32).tobytes() for blocks in pages], pa.binary())]
+
+
 # Rates and odds
 
 
 class Rates:
     """A mixture of what stands in articles, at the top, at the bottom and within articles of rendered pages only."""
 
-    def __init__(self, counts: np.ndarray, single: np.ndarray, rounds: int = 20):
-        """counts: a row for each subtree, a column for each place; single: the places of subtrees that stand once."""
+    def __init__(self, single: np.ndarray):
+        """single: the places of subtrees that stand once."""
         # What stands once is nearly always an article's.
-        usual = PRIOR[0] * PRIOR_ROWS + single + 1e-3
-        article = usual / usual.sum()
+        self.usual = PRIOR[0] * PRIOR_ROWS + single + 1e-3
+        article = self.usual / self.usual.sum()
         # Its shape follows from the articles': as they stand, but not in sources.
         within = np.concatenate([article[:4] / article[:4].sum() * 0.98, article[4:] / max(1e-9, article[4:].sum()) * 0.02])
         self.rates, self.shares = np.stack([article, PRIOR[1], PRIOR[2], within]), SHARES.copy()
+
+    def sums(self, counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """For each part of the mixture how many of the subtrees are of it, and where these stand. counts: a row for each kind
+        of subtree, a column for each place; rows: how many subtrees there are of each kind."""
         where = counts / np.maximum(1, counts.sum(1, keepdims=True))
-        for _ in range(rounds if len(counts) else 0):
-            odds = counts @ np.log(self.rates).T + np.log(self.shares)
-            odds = np.exp(odds - odds.max(1, keepdims=True))
-            odds /= odds.sum(1, keepdims=True)
-            self.shares = (odds.sum(0) + PRIOR_ROWS * SHARES) / (len(counts) + PRIOR_ROWS)
-            for j, base in enumerate((usual, PRIOR[1] * PRIOR_ROWS, PRIOR[2] * PRIOR_ROWS)):
-                rate = (where * odds[:, j : j + 1]).sum(0) + base + 1e-3
-                self.rates[j] = rate / rate.sum()
+        odds = counts @ np.log(self.rates).T + np.log(self.shares)
+        odds = np.exp(odds - odds.max(1, keepdims=True))
+        odds *= (rows / odds.sum(1))[:, None]
+        return np.concatenate([odds.sum(0)[:, None], odds.T @ where], axis=1)
+
+    def learn(self, sums: np.ndarray) -> None:
+        """sums: those of all subtrees."""
+        self.shares = (sums[:, 0] + PRIOR_ROWS * SHARES) / (sums[:, 0].sum() + PRIOR_ROWS)
+        for j, base in enumerate((self.usual, PRIOR[1] * PRIOR_ROWS, PRIOR[2] * PRIOR_ROWS)):
+            rate = sums[j, 1:] + base + 1e-3
+            self.rates[j] = rate / rate.sum()
 
     def odds(self, count, local: bool = False) -> Column:
         """Log odds that what stands at these places is a template. count(i) is the column of place i. Local ones are those of
@@ -329,21 +340,61 @@ class Rates:
         return F.log(of(1) + of(2) if local else of(1) + of(2) + of(3))
 
 
-def train(features: list[np.ndarray], label: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """(weights, base) of a linear model of hashed features, by gradient steps that adapt to each; both labels weigh the same."""
-    sizes = np.array([len(f) for f in features])
-    flat, row = np.concatenate(features), np.repeat(np.arange(len(sizes)), sizes)
-    value = (1 / np.sqrt(np.maximum(1, sizes)))[row]
+def rates_of(over: DataFrame, rounds: int = 20) -> Rates:
+    """Rates of all subtrees. over: mark, p0 to p7, n. Those that stand alike are one row with their number."""
+    places = [f"p{i}" for i in range(PLACES)]
+    what = F.col("mark").bitwiseAND(3)
+    used = over.where((what == BLOCK) & (F.col("n") == 1) | (what != FORM) & (F.col("n") >= RATE_PAGES))
+    alike = cut(used.groupBy("n", *places).agg(F.count("*").alias("rows")))
+    single = np.zeros(PLACES)
+    for r in alike.where("n = 1").collect():  # a row for each place
+        single += np.array([r[p] for p in places], float) * r["rows"]
+    rates, many = Rates(single), in_few(alike.where("n > 1").select(*places, "rows"))
+    for _ in range(rounds if not many.isEmpty() else 0):
+        now = rates.sums
+
+        def part(batch: pa.RecordBatch) -> np.ndarray:
+            columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
+            return now(np.stack(columns[:-1], axis=1), columns[-1])
+
+        rates.learn(summed(many, part, 4 * (PLACES + 1)).reshape(4, PLACES + 1))
+    return rates
+
+
+def scores(features: np.ndarray, sizes: np.ndarray, weight: np.ndarray, base: float) -> np.ndarray:
+    """Log odds of the linear model for blocks, each with so many of the features; every block has some."""
+    if not len(sizes):
+        return np.empty(0)
+    return np.add.reduceat(weight[features], np.cumsum(sizes, dtype=np.int64) - sizes) / np.sqrt(sizes) + base
+
+
+def train(blocks: DataFrame, rounds: int = 60) -> tuple[np.ndarray, float] | None:
+    """(weights, base) of a linear model of hashed features, by gradient steps over all blocks that adapt to each feature; both
+    labels weigh the same. blocks: features, sizes, labels (a byte a block) of some blocks a row. None if a label is absent."""
+    blocks = in_few(blocks)
+
+    def sides(batch: pa.RecordBatch) -> np.ndarray:
+        label = numbers(batch.column("labels"), np.uint8)
+        return np.array([len(label), label.sum()], float)
+
+    count, true = summed(blocks.select("labels"), sides, 2)
+    if not 0 < true < count:
+        return None
     weight, base, seen = np.zeros(FEATURES), 0.0, np.full(FEATURES, 1e-6)
-    cost = np.where(label, len(label) / 2 / max(1, label.sum()), len(label) / 2 / max(1, (~label).sum()))
+    cost = np.array([count / 2 / (count - true), count / 2 / true])
     for _ in range(rounds):
-        z = np.bincount(row, weight[flat] * value, len(sizes)) + base
-        slope = (1 / (1 + np.exp(-z)) - label) * cost
-        step = np.bincount(flat, slope[row] * value, FEATURES) + 1e-6 * len(label) * weight
-        seen += step * step
-        weight -= 2.0 * step / np.sqrt(seen)
-        base -= 0.5 * slope.mean()
-    return weight, float(base)
+
+        def part(batch: pa.RecordBatch, weight=weight, base=base) -> np.ndarray:
+            flat, sizes, label = (numbers(batch.column(c), k) for c, k in (("features", np.uint16), ("sizes", np.int32), ("labels", np.uint8)))
+            slope = (1 / (1 + np.exp(-scores(flat, sizes, weight, base))) - label) * cost[label]
+            return np.append(np.bincount(flat, np.repeat(slope / np.sqrt(sizes), sizes), FEATURES), slope.sum())
+
+        made = summed(blocks, part, FEATURES + 1)
+        step = made[:-1] + 1e-6 * count * weight
+        seen = seen + step * step
+        weight = weight - 2.0 * step / np.sqrt(seen)
+        base -= 0.5 * float(made[-1]) / count
+    return weight, base
 
 
 def _sum_places(name) -> list[Column]:
@@ -351,7 +402,8 @@ def _sum_places(name) -> list[Column]:
 
 
 def furniture_of(pages: DataFrame) -> DataFrame:
-    """(key, block_index, reason, pages, score) of the blocks that are furniture. pages: key, host, rendered, article, blocks.
+    """(key, block_index, reason, pages, score) of the blocks that are furniture. pages: key, host, rendered, article, blocks,
+    features, sizes.
 
     reason: recurs (the whole block), entries (most of its entries), form (its first or last words or its skeleton), alike
     (the linear model). pages: on how many articles of the host the block stands; score: the log odds.
@@ -368,19 +420,7 @@ def furniture_of(pages: DataFrame) -> DataFrame:
     over = here.groupBy("mark").agg(*_sum_places(lambda i: F.sum(f"p{i}")), F.sum("n").alias("n"))
     what = F.col("mark").bitwiseAND(3)
 
-    # The rates, from a bounded sample of the subtrees that recur, and from all that stand once.
-    wholes = cut(over.where((what == BLOCK) & (F.col("n") == 1) | (what != FORM) & (F.col("n") >= RATE_PAGES)))
-    sums = wholes.groupBy((F.col("n") == 1).alias("single")).agg(F.count("*").alias("rows"), *_sum_places(lambda i: F.sum(f"p{i}"))).collect()  # two rows
-    single, many = np.zeros(PLACES), 0
-    for r in sums:
-        if r["single"]:
-            single = np.array([float(r[f"p{i}"]) for i in range(PLACES)])
-        else:
-            many = r["rows"]
-    part = math.ceil(1_000_000 * min(1.0, RATE_ROWS / max(1, many)))
-    some = wholes.where((F.col("n") > 1) & (F.pmod(F.xxhash64("mark"), F.lit(1_000_000)) < part)).limit(2 * RATE_ROWS).collect()
-    counts = np.array([[r[f"p{i}"] for i in range(PLACES)] for r in some], float).reshape(-1, PLACES)
-    rates = Rates(counts, single)
+    rates = rates_of(over)
 
     # Templates: hashes with good odds over all hosts, or on one.
     odds = rates.odds(lambda i: F.col(f"p{i}"))
@@ -409,34 +449,45 @@ def furniture_of(pages: DataFrame) -> DataFrame:
     score = F.coalesce("whole", F.when(listed, F.col("entry")), F.col("form"))
     found = cut(met.select("key", "block_index", reason.alias("reason"), "pages", score.alias("score")).where("reason IS NOT NULL"))
 
-    # The linear model. Where no author's source is there, what stands within articles takes its part. Only the sample moves.
-    written = ~F.col("rendered") if not pages.where("NOT rendered").isEmpty() else F.col("place") == 3
-    hits, rest = found.count(), blocks.where(written).count()
-    drawn = F.pmod(F.xxhash64("key", "block_index"), F.lit(1_000_000))
-
-    def below(rows: int) -> int:
-        return math.ceil(1_000_000 * min(1.0, TRAINING_BLOCKS / max(1, rows)))
+    # The linear model. Where no author's source is there, what stands within articles takes its part. Each page's features
+    # meet the blocks found on it.
+    authors = not pages.where("NOT rendered").isEmpty()
+    hits = found.groupBy(F.col("key").alias("at")).agg(F.collect_list("block_index").alias("hits"))  # of a page at most its own blocks
+    index, place_of = F.col("blocks.block_index").alias("index"), F.col("blocks.place").alias("place")
+    told = pages.select("key", (~F.col("rendered")).alias("written"), index, place_of, "features", "sizes").join(hits, F.col("key").eqNullSafe(F.col("at")), "left")
+    told = told.where(F.col("hits").isNotNull() | F.col("written") | F.lit(not authors)).select("written", "index", "place", "features", "sizes", "hits")
 
-    place_of = ["key", "block_index"]
-    yes = found.where(drawn < below(hits)).select(*place_of).limit(2 * TRAINING_BLOCKS)
-    yes = blocks.join(F.broadcast(yes), place_of).select(*place_of, F.lit(True).alias("hit"), "features")  # 2 * TRAINING_BLOCKS rows
-    no = blocks.where(written & (drawn < below(rest))).select(*place_of, F.lit(False).alias("hit"), "features").join(found.select(*place_of), place_of, "left_anti").limit(2 * TRAINING_BLOCKS)
-    sample = sorted(yes.unionByName(no).collect()) if hits and rest else []
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each page the blocks found and those that count as written."""
+        for batch in batches:
+            made = []
+            for written, index, place, flat, sizes, hits in zip(*(c.to_pylist() for c in batch.columns)):
+                sizes = np.frombuffer(sizes, np.int32)
+                hit = np.isin(index, hits or [])
+                kept = hit | (written if authors else np.array(place) == 3)
+                if kept.any():
+                    some = np.frombuffer(flat, np.uint16)[np.repeat(kept, sizes)]
+                    made.append((some.tobytes(), sizes[kept].tobytes(), hit[kept].astype(np.uint8).tobytes()))
+            columns = list(zip(*made)) if made else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["features", "sizes", "labels"])
+
+    model = train(cut(told.mapInArrow(label, "features binary, sizes binary, labels binary")))
     columns = ["key", "block_index", "reason", "pages", "score"]
-    if not any(r["hit"] for r in sample) or all(r["hit"] for r in sample):
+    if model is None:
         return found.select(*columns)
-    shared = spark.sparkContext.broadcast(train([np.array(r["features"], np.int64) for r in sample], np.array([r["hit"] for r in sample])))  # FEATURES weights
-
-    @F.pandas_udf("double")
-    def alike(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weight, base = shared.value
-        for features in batches:
-            sizes = np.array([len(f) for f in features])
-            flat = np.concatenate(features.tolist()) if len(features) else np.empty(0, np.int64)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            yield pd.Series(np.bincount(row, weight[flat], len(sizes)) / np.sqrt(np.maximum(1, sizes)) + base)
-
-    likely = blocks.select("key", "block_index", alike("features").alias("score")).where(F.col("score") >= ALIKE)
+    shared = spark.sparkContext.broadcast(model)  # FEATURES weights
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = numbers(batch.column("sizes"), np.int32)
+            score = scores(numbers(batch.column("features"), np.uint16), sizes, *shared.value)
+            index = batch.column("index")
+            good = np.flatnonzero(score >= ALIKE)
+            row = pa.array(np.repeat(np.arange(batch.num_rows), index.value_lengths().to_numpy(zero_copy_only=False))[good])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(row), index.flatten().take(pa.array(good)), pa.array(score[good])], names=["key", "block_index", "score"])
+
+    kind = pages.schema["key"].dataType.simpleString()
+    likely = pages.select("key", index, "features", "sizes").mapInArrow(alike, f"key {kind}, block_index bigint, score double")
     likely = likely.select("key", "block_index", F.lit("alike").alias("reason"), F.lit(None).cast("bigint").alias("pages"), "score")
     first = F.when(F.col("reason") == "alike", 1).otherwise(0)
     both = found.select(*columns).unionByName(likely)
@@ -445,6 +496,7 @@ def furniture_of(pages: DataFrame) -> DataFrame:
 
 def _pages(frame: DataFrame, key: str, content: str, host, same, rendered, read) -> DataFrame:
     """One row a page of the frame, counted."""
+    names = ["key", "host", "rendered", "article", "blocks", "features", "sizes"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, features = Words(), Features()
@@ -455,12 +507,13 @@ def _pages(frame: DataFrame, key: str, content: str, host, same, rendered, read)
                 kept = [n for n, (_, blocks) in enumerate(made) if blocks]
                 columns = some.select(["key", "host", "rendered"]).take(pa.array(kept, pa.int64())).columns
                 articles = pa.array([made[n][0] for n in kept], pa.int64())
-                yield pa.RecordBatch.from_arrays([*columns, articles, blocks_array([made[n][1] for n in kept])], names=["key", "host", "rendered", "article", "blocks"])
+                blocks = [made[n][1] for n in kept]
+                yield pa.RecordBatch.from_arrays([*columns, articles, blocks_array(blocks), *features_arrays(blocks)], names=names)
 
     same = F.lit(None).cast("string") if same is None else same.cast("string")
     rendered = F.lit(True) if rendered is None else F.coalesce(rendered, F.lit(True))
     rows = frame.select(F.col(key).alias("key"), F.coalesce(host, F.lit("")).alias("host"), rendered.alias("rendered"), F.col(content).alias("content"), same.alias("same"))
-    return rows.mapInArrow(count, f"key {rows.schema['key'].dataType.simpleString()}, host string, rendered boolean, article bigint, blocks {BLOCKS}")
+    return rows.mapInArrow(count, f"key {rows.schema['key'].dataType.simpleString()}, host string, rendered boolean, article bigint, blocks {BLOCKS}, features binary, sizes binary")
 
 
 def tree_furniture(frame: DataFrame, key: str, tree: str, host, same=None, rendered=None) -> DataFrame:

@@ -329,6 +329,57 @@ def test_templates_of_a_large_host(spark):
     assert {k for k in made} == {(i, 6) for i in range(1500) if i % 150 == 7}
 
 
+def test_all_blocks_train(spark, monkeypatch):
+    """More blocks of authors than a sample once held: each of them, and each hit, is in the rows the model is fitted to."""
+    seen, fit = [], furniture.train
+
+    def spy(blocks, *more):
+        seen.append(len(blocks) if isinstance(blocks, list) else sum(len(r["labels"]) for r in blocks.collect()))
+        return fit(blocks, *more)
+
+    monkeypatch.setattr(furniture, "train", spy)
+    foot = ("Paragraph", "Altra roba qui, dal sito")
+    rows = [(i, tree(("Paragraph", f"{WORDS[i % 500]} {WORDS[i // 500]} x{i}y"), ("Paragraph", f"{WORDS[i // 500]} z{i}u")), "writers", f"s{i}", False) for i in range(12_000)]
+    rows += [(20_000 + i, tree(*article(20_000 + i), foot), "a.test", f"s{20_000 + i}", True) for i in range(40)]
+    made = furniture_in(spark, rows)
+    hits = {k for k, (r, _) in made.items() if r != "alike"}
+    assert hits >= {(20_000 + i, 6) for i in range(40)}
+    assert seen == [24_000 + sum(i >= 20_000 for i, _ in hits)]
+
+
+def test_models_of_all_rows(spark):
+    """Fitted over tasks as over one array of all rows."""
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(rng.choice([[6, 1, 1, 1, 0, 0, 0, 0], [0, 5, 3, 1, 0, 0, 0, 0], [0, 1, 1, 3, 0, 0, 0, 3]], 45_000))
+    counts = np.concatenate([counts[counts.sum(1) >= furniture.RATE_PAGES], np.eye(8, dtype=int)[rng.integers(0, 8, 500)]])
+    marks = [(4 * n + furniture.BLOCK, *c, sum(c)) for n, c in enumerate(counts.tolist())]
+    rates = furniture.rates_of(spark.createDataFrame(marks, "mark long, " + ", ".join(f"p{i} long" for i in range(8)) + ", n long").repartition(3))
+    single = counts.sum(1) == 1
+    whole = furniture.Rates(counts[single].sum(0).astype(float))
+    for _ in range(20):
+        whole.learn(whole.sums(counts[~single].astype(float), np.ones((~single).sum())))
+    np.testing.assert_allclose(rates.rates, whole.rates, rtol=1e-8)
+    np.testing.assert_allclose(rates.shares, whole.shares, rtol=1e-8)
+
+    features = [np.unique(rng.integers(0, 300, rng.integers(1, 30))).astype(np.uint16) for _ in range(3_000)]
+    label = np.array([f[0] < 9 for f in features])
+    pages = [(np.concatenate(features[i : i + 3]).tobytes(), np.array([len(f) for f in features[i : i + 3]], np.int32).tobytes(), label[i : i + 3].astype(np.uint8).tobytes()) for i in range(0, 3_000, 3)]
+    frame = spark.createDataFrame(pages, "features binary, sizes binary, labels binary")
+    weight, base = furniture.train(frame.repartition(3), 20)
+    dense = np.zeros((3_000, 300))
+    for n, f in enumerate(features):
+        dense[n, f] = len(f) ** -0.5
+    w, b, seen = np.zeros(300), 0.0, np.full(300, 1e-6)
+    cost = np.where(label, 1_500 / label.sum(), 1_500 / (~label).sum())
+    for _ in range(20):
+        slope = (1 / (1 + np.exp(-dense @ w - b)) - label) * cost
+        step = slope @ dense + 1e-6 * 3_000 * w
+        seen += step * step
+        w, b = w - 2.0 * step / np.sqrt(seen), b - 0.5 * slope.mean()
+    np.testing.assert_allclose(weight[:300], w, atol=1e-5)
+    assert base == pytest.approx(b, abs=1e-5) and furniture.train(frame.limit(0)) is None
+
+
 def test_copies_are_one_page(spark):
     foot = ("Paragraph", "Altra roba qui, dal sito")
     rows = [(i, tree(*article(i)), "b.test", f"s{i}", i % 2 == 0) for i in range(40)]
