@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe
-from marlstone.llm.additive import spread, unit
+from marlstone.llm.additive import one_thread, unit
+from marlstone.llm.sums import in_few, numbers, summed
 from marlstone.tables import cut
 
-#: Rows read to place the topics; every document gets one.
-TOPIC_ROWS = 5_000
 TOPICS = 8
+#: Rounds in which the centres of the topics move, each over all documents.
+TOPIC_ROUNDS = 10
 FEATURES = 64
 #: Steps of a single document each that bring a source to its share.
 CORRECTIONS = 12
@@ -33,7 +34,7 @@ DOCS_A_BUCKET = 50_000
 
 def sized(documents: DataFrame, folder: str = bpe.FOLDER) -> DataFrame:
     """(doc_id, source, lang, tokens, profile): source trimmed in lower case, lang its two letters or `und`, profile the
-    frequencies of hashed token ids."""
+    frequencies of hashed token ids, as bytes of FEATURES floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, flat, offsets in bpe.Encoder(f"{folder}/{bpe.NAME}.json").batches(batches):
@@ -43,31 +44,65 @@ def sized(documents: DataFrame, folder: str = bpe.FOLDER) -> DataFrame:
             profile = np.bincount(rows * FEATURES + hashed, minlength=(len(at) - 1) * FEATURES).reshape(-1, FEATURES)
             profile = np.sqrt(profile / np.maximum(profile.sum(1, keepdims=True), 1)).astype(np.float32)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(np.diff(at), pa.int64()), pa.array(list(profile), pa.list_(pa.float32()))],
+                [*batch.columns[:-1], pa.array(np.diff(at), pa.int64()), pa.array([p.tobytes() for p in profile], pa.binary())],
                 names=["doc_id", "source", "lang", "tokens", "profile"],
             )
 
     lang = F.lower(F.regexp_extract("lang", r"^\s*([A-Za-z]{2})(?:[-_].*)?\s*$", 1))
     source = documents.select("doc_id", F.lower(F.trim("source")).alias("source"), F.when(lang != "", lang).otherwise("und").alias("lang"), F.col("text").alias("t"))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, source string, lang string, tokens bigint, profile array<float>")
+    return source.mapInArrow(run, f"doc_id {kind}, source string, lang string, tokens bigint, profile binary")
+
+
+def profiles_of(column: pa.Array) -> np.ndarray:
+    return numbers(column, np.float32).reshape(-1, FEATURES)
+
+
+def firsts(documents: DataFrame) -> np.ndarray:
+    """The TOPICS different profiles with the smallest hashes, or all if there are fewer, as rows of length 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, bytes] = {}
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            for n in np.unique(h, return_index=True)[1][:TOPICS]:
+                best[int(h[n])] = batch.column("profile")[int(n)].as_py()
+            best = dict(sorted(best.items())[:TOPICS])
+        yield pa.RecordBatch.from_arrays([pa.array(best.keys(), pa.int64()), pa.array(best.values(), pa.binary())], names=["h", "profile"])
+
+    rows = in_few(documents.select(F.xxhash64("profile").alias("h"), "profile")).mapInArrow(run, "h bigint, profile binary").collect()  # TOPICS a task
+    best = dict(sorted((r["h"], bytes(r["profile"])) for r in rows))
+    return unit(np.array([np.frombuffer(p, np.float32) for p in list(best.values())[:TOPICS]], np.float32).reshape(-1, FEATURES))
+
+
+def centres_of(documents: DataFrame) -> np.ndarray:
+    """TOPICS centres of the profiles of all documents, as rows of length 1; of fewer different profiles these themselves. A
+    centre that is nearest to none stays where it is."""
+    centres = firsts(documents)
+    profiles = in_few(documents.select("profile"))
+    for _ in range(TOPIC_ROUNDS if len(centres) == TOPICS else 0):
+
+        def part(batch: pa.RecordBatch, centres=centres) -> np.ndarray:
+            one_thread()
+            rows = unit(profiles_of(batch.column("profile")))
+            near = (rows @ centres.T).argmax(1)
+            return np.eye(TOPICS)[near].T @ rows
+
+        sums = summed(profiles, part, TOPICS * FEATURES).reshape(TOPICS, FEATURES)
+        centres = np.where(sums.any(1, keepdims=True), unit(sums), centres)
+    return centres
 
 
 def with_topics(documents: DataFrame) -> DataFrame:
     """Adds topic INT: the nearest of TOPICS centres of profiles."""
-    full = documents.where("tokens > 0")
-    # Drawn by a hash below a bound that follows the count: no more than the sample leaves the executors, and nothing is sorted.
-    part = math.ceil(1_000_000 * min(1.0, TOPIC_ROWS / max(1, full.count())))
-    drawn = full.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part).select(F.xxhash64("doc_id", "tokens").alias("h"), "profile")
-    rows = sorted((r["h"], r["profile"]) for r in drawn.limit(2 * TOPIC_ROWS).collect())
-    if not rows:
+    centres = centres_of(documents.where("tokens > 0"))
+    if not len(centres):
         return documents.withColumn("topic", F.lit(0))
-    sample = unit(np.array([p for _, p in rows], np.float32))
-    centres = spread(sample, TOPICS, 10, 1, True)
 
     @F.pandas_udf("int")
     def nearest(profiles: pd.Series) -> pd.Series:
-        return pd.Series((np.stack(profiles) @ centres.T).argmax(1), dtype="int32") if len(profiles) else pd.Series([], dtype="int32")
+        rows = np.frombuffer(b"".join(profiles), np.float32).reshape(-1, FEATURES)
+        return pd.Series((rows @ centres.T).argmax(1), dtype="int32")
 
     return documents.withColumn("topic", nearest("profile"))
 

@@ -539,6 +539,37 @@ def test_mix(spark):
     assert empty.count() == 0 and [r["actual_share"] for r in none.collect()] == [0.0] * 4
 
 
+def test_topics_of_all_documents(spark):
+    """Topics as over one array of all profiles."""
+    rng = np.random.default_rng(5)
+    kinds = rng.dirichlet(np.full(mixing.FEATURES, 0.1), 11)[rng.integers(0, 11, 12_000)]
+    profiles = np.sqrt(np.array([rng.multinomial(40, k) for k in kinds]) / 40).astype(np.float32)
+    rows = [(f"d{n // 4}" if n % 2 else "same", 40, p.tobytes()) for n, p in enumerate(profiles)] + [(None, 0, bytes(4 * mixing.FEATURES))]
+    frame = spark.createDataFrame(rows, "doc_id string, tokens long, profile binary").repartition(5)
+    unit = profiles / np.linalg.norm(profiles, axis=1, keepdims=True)
+    centres = mixing.firsts(frame.where("tokens > 0"))
+    assert len(np.unique(centres, axis=0)) == mixing.TOPICS
+    for _ in range(mixing.TOPIC_ROUNDS):
+        near = (unit @ centres.T).argmax(1)
+        sums = np.array([unit[near == k].sum(0) for k in range(mixing.TOPICS)])
+        centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    np.testing.assert_allclose(mixing.centres_of(frame.where("tokens > 0")), centres, atol=1e-3)
+    near = dict(zip([p.tobytes() for p in profiles], (unit @ centres.T).argmax(1)))
+    made = [(near[r["profile"]], r["topic"]) for r in mixing.with_topics(frame).where("tokens > 0").collect()]
+    assert len(made) == 12_000 and sum(a == b for a, b in made) >= 11_990
+    few = mixing.with_topics(frame.limit(3))
+    assert few.count() == 3 and len(mixing.centres_of(frame.limit(0))) == 0
+
+
+def test_topics_of_repeated_ids(spark):
+    """Documents of one id; a sample drawn by ids once held none of these."""
+    drawn = F.pmod(F.xxhash64(F.lit("twice")), F.lit(1_000_000))
+    documents = spark.range(20_000).select(F.lit("twice").alias("doc_id"), F.lit("a").alias("source"), F.lit("en").alias("lang"), F.when(F.col("id") % 3 > 0, "alpha ").otherwise("beta gamma ").alias("text"))
+    assert spark.range(1).select(drawn.alias("d")).first()["d"] > 250_001
+    topics = mixing.with_topics(mixing.sized(documents)).groupBy("topic").count().collect()
+    assert sorted(r["count"] for r in topics) == [6_667, 13_333]
+
+
 # 9
 
 
